@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that define ``QUERIES`` and ``SQL``.
-MODULES: list[str] = []
+MODULES = ["columns", "statistics", "hierarchy", "edits", "sets", "evaluation", "connectors"]
 
 
 def _collect(name: str) -> dict:
