@@ -92,7 +92,7 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def _mixed(col):
     """A reversible shuffling of the bits of a long, so that no input order is the worst one."""
-    for shift, right in ((13, False), (7, True), (17, False)):
+    for shift, right in ((13, False), (7, True), (17, False)) * 3:  # three times, for small ids to reach the high bits
         moved = F.shiftrightunsigned(col, shift) if right else F.shiftleft(col, shift)
         col = col.bitwiseXOR(moved)
     return col
