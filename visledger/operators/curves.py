@@ -54,11 +54,15 @@ def _ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 
 def metrics(c: DataFrame, keys: list[str] | None = None, monotonic: bool = True) -> DataFrame:
-    """Derived columns of a curve: precision (its upper envelope unless told otherwise), recall and the rest."""
+    """Derived columns of a curve: precision (its upper envelope unless told otherwise), recall and the rest.
+
+    At the threshold -inf, where objects that were never found would count,
+    anything would be predicted: precision is 0 there.
+    """
     keys = keys or []
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     c = c.withColumns({
-        "ppv": _ratio(tp, tp + fp), "tpr": _ratio(tp, tp + fn, 1.0), "fpr": _ratio(fp, fp + tn), "tnr": _ratio(tn, tn + fp, 1.0), "npv": _ratio(tn, tn + fn),
+        "ppv": F.when(F.col("thresh") == NEVER_SEEN, 0.0).otherwise(_ratio(tp, tp + fp)), "tpr": _ratio(tp, tp + fn, 1.0), "fpr": _ratio(fp, fp + tn), "tnr": _ratio(tn, tn + fp, 1.0), "npv": _ratio(tn, tn + fn),
         "acc": _ratio(tp + tn, tp + tn + fp + fn),
     })
     if monotonic:

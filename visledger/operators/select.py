@@ -205,7 +205,7 @@ def query_images(m: Manifest, images: str | Column | None = None, videos: str |
 def channel_list(col: Column) -> Column:
     """Channels of a specification: commas part streams, bars part channels, ``rgb`` is three."""
     parts = F.split(F.regexp_replace(F.coalesce(col, F.lit("")), r"\brgb\b", "red|green|blue"), r"[|,]")
-    return F.filter(F.transform(parts, F.trim), lambda c: c != "")
+    return F.filter(F.transform(parts, lambda c: F.trim(c)), lambda c: c != "")
 
 
 def query_subset(m: Manifest, images=None, videos=None, categories: list[str] | None = None, channels: list[str] | None = None) -> DataFrame:
@@ -303,9 +303,9 @@ def asset_with(images: DataFrame, channels: list[str]) -> DataFrame:
 
 def primary_asset(images: DataFrame) -> DataFrame:
     """The main file of each image: its own, else the largest."""
-    own = F.when(F.col("nth") == 0, 0).otherwise(1)
-    key = F.struct(own, -(F.coalesce("width", F.lit(0)) * F.coalesce("height", F.lit(0))), F.col("nth"))
-    return assets(images).groupBy("image_id").agg(F.min_by("file_name", key).alias("file_name"))
+    key = F.struct(-(F.coalesce("width", F.lit(0)) * F.coalesce("height", F.lit(0))), F.col("nth"))
+    largest = assets(images.where("file_name is null")).groupBy("image_id").agg(F.min_by("file_name", key).alias("file_name"))
+    return images.where("file_name is not null").select(F.col("id").alias("image_id"), "file_name").unionByName(largest)
 
 
 def frame_rank(images: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ _OVR = """, ovr AS (SELECT p AS cls, CAST(t = p AS BIGINT) AS is_true, score, we
 _CURVE = """, steps AS (SELECT cls, score AS thresh, sum(weight * is_true) AS t, sum(weight * (1 - is_true)) AS f FROM ovr GROUP BY 1, 2),
 curve AS (SELECT cls, thresh, sum(t) OVER w AS tp, sum(f) OVER w AS fp, sum(t) OVER (PARTITION BY cls) AS pos, sum(f) OVER (PARTITION BY cls) AS neg
   FROM steps WINDOW w AS (PARTITION BY cls ORDER BY thresh DESC)),
-m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS raw, coalesce(tp / nullif(pos, 0), 1) AS tpr, coalesce(fp / nullif(neg, 0), 0) AS fpr FROM curve),
+m AS (SELECT *, CASE WHEN isfinite(thresh) THEN coalesce(tp / nullif(tp + fp, 0), 0) ELSE 0 END AS raw, coalesce(tp / nullif(pos, 0), 1) AS tpr, coalesce(fp / nullif(neg, 0), 0) AS fpr FROM curve),
 e AS (SELECT *, max(raw) OVER (PARTITION BY cls ORDER BY thresh DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ppv FROM m)"""
 
 
