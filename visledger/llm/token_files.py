@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from .common import new_path, open_shared, rename_shared
 MAGIC = b"S8BTOK01"
 BLOCK = 4096
 #: Ids that are decoded or packed at a time.
-CHUNK = 128 * BLOCK
+CHUNK = 24 * BLOCK
 #: Ids in a word by selector, and bits of each; 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
@@ -41,23 +43,25 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n_blocks):
         part = ids[i * BLOCK : (i + 1) * BLOCK]
         flat[i, : len(part)] = part
-    best = np.zeros((n_blocks, BLOCK), np.int8)
+    narrow = flat.astype(np.uint32) if len(ids) and int(ids.max()) < 1 << 32 else flat
+    fitting = np.zeros((n_blocks, BLOCK), np.uint8)  # a selector with fewer and wider ids fits wherever one with more does
     for sel in range(14, 0, -1):
-        n, top = int(COUNTS[sel]), np.uint64(1 << int(BITS[sel]))
-        wide = flat >= top
-        if not wide.any():
-            best[:] = sel
-            continue
-        over = np.zeros((n_blocks, flat.shape[1] + 1), np.int32)
-        np.cumsum(wide, axis=1, out=over[:, 1:])
-        fits = over[:, n : n + BLOCK] == over[:, :BLOCK]
-        if not fits.any():
+        n, bits = int(COUNTS[sel]), int(BITS[sel])
+        ok = narrow < narrow.dtype.type(1 << bits) if bits < 8 * narrow.dtype.itemsize else np.ones(narrow.shape, bool)
+        have = 1
+        while have < n:  # all of the next ``n`` are narrow enough
+            more = min(have, n - have)
+            ok = ok[:, : ok.shape[1] - more] & ok[:, more:]
+            have += more
+        ok = ok[:, :BLOCK]
+        if not ok.any():
             break
-        best[fits] = sel
-    step = COUNTS[best]
+        fitting += ok
+    best = np.where(fitting == 0, 0, 15 - fitting).astype(np.int8)
+    step = COUNTS[best].astype(np.uint8)
     starts, sels, sizes = [], [], []
     for i in range(n_blocks):
-        hop, here, end, at = step[i].tolist(), [], min(BLOCK, len(ids) - i * BLOCK), 0
+        hop, here, end, at = step[i].tobytes(), [], min(BLOCK, len(ids) - i * BLOCK), 0
         while at < end:
             here.append(at)
             at += hop[at]
@@ -76,9 +80,9 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if sel == 0:
             words[place[mine] + 1] = flat[starts[mine]]
             continue
-        word = np.full(int(mine.sum()), np.uint64(int(sel) << 60))
+        at, word = starts[mine], np.full(int(mine.sum()), np.uint64(int(sel) << 60))
         for k in range(int(COUNTS[sel])):
-            word |= flat[starts[mine] + k] << np.uint64(k * int(BITS[sel]))
+            word |= flat[at + k] << np.uint64(k * int(BITS[sel]))
         words[place[mine]] = word
     return words, offsets
 
@@ -123,12 +127,13 @@ class FileWriter:
         self.offsets, self.doc_ids, self.nulls, self.lengths = [0], [], [], []
         stream.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, *ids: np.ndarray) -> None:
+        n = sum(map(len, ids))
         self.doc_ids.append(doc_id or 0)
         self.nulls.append(doc_id is None)
-        self.lengths.append(len(ids))
-        self.waiting.append(ids)
-        self.n_waiting += len(ids)
+        self.lengths.append(n)
+        self.waiting += ids
+        self.n_waiting += n
         if self.n_waiting >= CHUNK:
             self._flush(self.n_waiting // BLOCK * BLOCK)
 
@@ -197,8 +202,10 @@ def read_file(stream, chunk: int = CHUNK):
 
 # ---------------------------------------------------------------- tokenizing
 
-#: Entries of each of the two word memories of a worker.
-MEMORY = 250_000
+#: Entries of each of the two memories of a worker, about 200 bytes each.
+MEMORY = 700_000
+#: Documents that are encoded together; each different word of theirs is looked up once.
+TOGETHER = 1500
 _ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: Texts with other characters are given to the tokenizer whole; up to here word cuts are the same (tested for each).
 _OTHER = re.compile("[^\x00-ɏ]")
@@ -225,35 +232,73 @@ class WordEncoder:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            shown = word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], np.uint32).tobytes()
-        return found
-
-    def _piece(self, piece: str, memory: dict, lead: str) -> bytes:
-        if len(memory) >= MEMORY:
-            memory.clear()
-        found = memory[piece] = b"".join(map(self._word, self.cut(lead + piece)))
-        return found
-
-    def encode(self, text: str) -> np.ndarray:
-        if (not text.isascii() and _OTHER.search(text)) or _ODD_SPACE.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        head, *tail = text.split(" ")
-        out = list(map(self.later.get, tail))
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = self.later.get(tail[i]) or self._piece(tail[i], self.later, " ")
-        return np.frombuffer((self.first.get(head) or self._piece(head, self.first, "")) + b"".join(out), np.uint32)
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces, each with a space before it.
+
+        Joined by single spaces they are cut at every space, and no pre-token
+        has a space but as its first character, so one starts each piece.
+        """
+        if not pieces:
+            return
+        names = list(pieces)
+        cut = self.cut(" " + " ".join(names))
+        fresh = list(set(cut).difference(self.words))
+        if len(self.words) + len(fresh) > MEMORY:
+            self.words.clear()
+            fresh = list(set(cut))
+        tokenize, letters, words = self.model.tokenize, self.letters, self.words
+        for word in fresh:
+            shown = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(letters)
+            words[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+        found, at = list(map(words.__getitem__, cut)), -1
+        begin = [i for i, w in enumerate(cut) if w[0] == " "]
+        begin.append(len(cut))
+        for name, i, j in zip(names, begin, begin[1:]):
+            self.pieces[name] = found[i] if j == i + 1 else b"".join(found[i:j])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list = [None] * len(texts)
+        for lo in range(0, len(texts), TOGETHER):
+            usual = []
+            for i in range(lo, min(lo + TOGETHER, len(texts))):
+                text = texts[i]
+                if (not text.isascii() and _OTHER.search(text)) or _ODD_SPACE.search(text):
+                    out[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+                else:
+                    usual.append(i)
+            for i, ids in zip(usual, self._joined([texts[i] for i in usual])):
+                out[i] = ids
+        return out
+
+    def _joined(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that may be cut at every space: each different piece is looked up once."""
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begin = np.asarray(cut.offsets)[:-1].astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = np.asarray(coded.indices).astype(np.int64)
+        heads = [names[k] for k in which[begin].tolist()]  # no space before these
+        fresh = set(names).difference(self.pieces)
+        if len(self.pieces) + len(fresh) > MEMORY:
+            self.pieces.clear()
+            fresh = set(names)
+        self._learn(fresh)
+        found = list(map(self.pieces.__getitem__, names))
+        found += [array("I", e.ids).tobytes() for e in self.tok.encode_batch(heads, add_special_tokens=False)]
+        which[begin] = len(names) + np.arange(len(heads))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        each = size[which]
+        end = np.cumsum(each)
+        at = np.repeat(start[which] - (end - each), each) + np.arange(int(end[-1]))
+        ids = np.frombuffer(b"".join(found), np.uint32)[at]
+        return np.split(ids, (end[begin[1:] - 1]) if len(begin) > 1 else [])
 
 
 def encoder(path: str) -> WordEncoder:
@@ -301,10 +346,10 @@ def write_tokens(
         tried = f"{folder}/_tried-{shard:06d}-{task.taskAttemptId()}.s8b"
         words, out, end = encoder(tokenizer), None, np.array([end_id], np.uint32)
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            texts = [(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()]
+            for doc, ids in zip(b.column(0).to_pylist(), words.encode(texts)):
                 out = out or FileWriter(open_shared(tried, "wb"))
-                ids = words.encode((text.as_py() or b"").decode("utf-8", "replace"))
-                out.add(doc, np.concatenate([ids, end]))
+                out.add(doc, ids, end)
         if out:
             out.close()
             rename_shared(tried, final)
