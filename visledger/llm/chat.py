@@ -32,7 +32,8 @@ class Mapping:
     ``example`` is a record of the layout, whose fingerprint selects the mapping.
     Either ``messages`` names an array with the fields ``role`` and ``text``, or
     ``fields`` lists (role, JSON path) pairs in the order of turns; empty and
-    missing fields give no turn there.
+    missing fields give no turn there. ``roles`` are (name, canonical role) pairs;
+    other roles stay as they are.
     """
 
     name: str
@@ -41,12 +42,16 @@ class Mapping:
     role: str = ""
     text: str = ""
     fields: tuple = ()
+    roles: tuple = ()
 
 
 #: Layouts known from public instruction and chat sets.
 MAPPINGS = (
     Mapping("messages", '{"messages":[{"role":"a","content":"b"}]}', "$.messages", "$.role", "$.content"),
-    Mapping("from_value", '{"conversations":[{"from":"a","value":"b"}]}', "$.conversations", "$.from", "$.value"),
+    Mapping(
+        "from_value", '{"conversations":[{"from":"a","value":"b"}]}', "$.conversations", "$.from", "$.value",
+        roles=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant")),
+    ),
     Mapping("prompt_completion", '{"prompt":"a","completion":"b"}', fields=(("user", "$.prompt"), ("assistant", "$.completion"))),
     Mapping("prompt_response", '{"prompt":"a","response":"b"}', fields=(("user", "$.prompt"), ("assistant", "$.response"))),
     Mapping(
@@ -55,9 +60,6 @@ MAPPINGS = (
     ),
     Mapping("question_answer", '{"question":"a","answer":"b"}', fields=(("user", "$.question"), ("assistant", "$.answer"))),
 )
-#: Other names for roles.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-
 
 def fingerprint(record):
     """Hash of the sorted nested field paths of a JSON string column; null if it isn't JSON.
@@ -89,14 +91,15 @@ def to_turns(records: DataFrame, record_col: str = "record", mappings=MAPPINGS)
     )
     value = F.try_parse_json(F.col(record_col))
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    role_map = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
 
-    def turn(role, text):
-        return F.struct(F.coalesce(role_map[role], role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    def turn(role, text, names=()):
+        for name, canonical in names:
+            role = F.when(role == name, canonical).otherwise(role)
+        return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
     def from_items(m):
         items = F.try_variant_get(value, m.messages, "array<variant>")
-        return F.transform(items, lambda v: turn(F.try_variant_get(v, m.role, "string"), F.try_variant_get(v, m.text, "string")))
+        return F.transform(items, lambda v: turn(F.try_variant_get(v, m.role, "string"), F.try_variant_get(v, m.text, "string"), m.roles))
 
     for i, m in enumerate(mappings):
         if m.messages:

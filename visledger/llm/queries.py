@@ -103,6 +103,15 @@ _RULE_CASES = """
   END AS rule FROM parsed
 """
 
+
+def _escaped(column: str) -> str:
+    """The template's escapes in SQL."""
+    out = f"replace({column}, chr(92), chr(92) || 'e')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || 'c{c[1:]}')"
+    return out
+
+
 SQL = {
     "op3_url_filter": f"""
 WITH rest AS (
@@ -134,5 +143,23 @@ WITH dw AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (
+  SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, sha1(b) AS h FROM p), k AS (
+  SELECT *, row_number() OVER (PARTITION BY n, h ORDER BY page_id DESC NULLS LAST) AS r, max(page_id) OVER (PARTITION BY n, h) AS top FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n < 1000 OR r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n >= 1000 AND r > 1 THEN top END AS refers_to FROM k
+""",
+    "op10_chat": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (SELECT *, {_escaped('role')} AS er, {_escaped('text')} AS et FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|turn|>' || replace(er, chr(10), '\\n') || chr(10) || et || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
 """,
 }
