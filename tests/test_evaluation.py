@@ -34,7 +34,7 @@ def test_reuse_policies(spark):
     pairs = X.candidates(true, pred, "all")
     never = [r["tx"] for r in X.match(true, pred, pairs, (0.1,)).collect()]
     assert sorted(never) == [1, 2]
-    again = [r["tx"] for r in X.match_reusing(pred, pairs, 0.1).collect()]
+    again = [r["tx"] for r in X.match(true, pred, pairs, (0.1,), reuse=True).collect()]
     assert sorted(again) == [1, 1, 2, 2]
 
 

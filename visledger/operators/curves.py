@@ -6,6 +6,8 @@ row for each key and distinct score with the counts at or above that score.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,28 @@ def curve(binary: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return g.select(*keys, "thresh", "tp", "fp", (F.col("pos") - F.col("tp")).alias("fn"), (F.col("neg") - F.col("fp")).alias("tn"))
 
 
+def stabilized(binary: DataFrame, keys: list[str], least: int = 7) -> DataFrame:
+    """A binary table whose small groups get ``least`` well calibrated rows of total weight 1, as a prior.
+
+    Groups with fewer than ``least`` rows are padded: scores evenly from the
+    lowest to the highest (0 to 1 if all are probabilities), the upper half
+    true, weights falling geometrically from low to high scores.
+    """
+    s = F.when(F.abs("pred_score") < float("inf"), F.col("pred_score"))
+    small = binary.groupBy(*keys).agg(F.count("*").alias("n"), F.min(s).alias("lo"), F.max(s).alias("hi")).where(F.col("n") < least)
+    share = (F.coalesce("lo", F.lit(0.0)) >= 0) & (F.coalesce("hi", F.lit(1.0)) <= 1)
+    small = small.withColumns({"lo": F.when(share, 0.0).otherwise(F.col("lo")), "hi": F.when(share, 1.0).otherwise(F.col("hi"))})
+    falls = [2.7 + (0.01 - 2.7) * i / max(1, least - 1) for i in range(least)]
+    total = sum(math.exp(x) for x in falls)
+    rows = F.array(*[
+        F.struct(F.lit(int(i >= least // 2)).cast("long").alias("is_true"), F.lit(i / max(1, least - 1)).alias("at"), F.lit(math.exp(x) / total).alias("weight"))
+        for i, x in enumerate(falls)
+    ])
+    pad = small.select(*keys, "lo", "hi", F.explode(rows).alias("r"))
+    pad = pad.select(*keys, "r.is_true", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("r.at")).alias("pred_score"), "r.weight")
+    return binary.select(*keys, "is_true", "pred_score", "weight").unionByName(pad)
+
+
 def _ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(empty))
 
@@ -119,8 +143,12 @@ def best_thresholds(m: DataFrame, keys: list[str] | None = None, names: tuple =
     return long.groupBy(*keys, "metric").agg(F.max(F.struct("value", "thresh")).alias("b")).select(*keys, "metric", "b.value", "b.thresh")
 
 
-def combine(curves: DataFrame, keys: list[str] | None = None, digits: int | None = None) -> DataFrame:
-    """One curve of several (told apart by ``part``): steps between thresholds add up; thresholds rounded to ``digits`` first."""
+def combine(curves: DataFrame, keys: list[str] | None = None, digits: int | None = None, bins: int | None = None) -> DataFrame:
+    """One curve of several (told apart by ``part``): steps between thresholds add up.
+
+    Thresholds stay as they are, are rounded to ``digits``, or lowered to the
+    edges of ``bins`` even bins of 0 to 1.
+    """
     keys = keys or []
     w = Window.partitionBy(*keys, "part").orderBy(F.desc("thresh"))
     step = lambda c: F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0.0))
@@ -128,6 +156,8 @@ def combine(curves: DataFrame, keys: list[str] | None = None, digits: int | None
     ends = d.groupBy(*keys, "part").agg(F.min_by("fn", "thresh").alias("fn0"), F.min_by("tn", "thresh").alias("tn0"))
     rest = ends.groupBy(*keys).agg(F.sum("fn0").alias("fn0"), F.sum("tn0").alias("tn0"))
     thresh = F.col("thresh") if digits is None else F.round("thresh", digits)
+    if bins is not None:  # -inf stays
+        thresh = F.when(F.col("thresh") == NEVER_SEEN, F.col("thresh")).otherwise(F.floor(F.col("thresh") * bins) / bins)
     g = d.groupBy(*keys, thresh.alias("thresh")).agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     run = part.orderBy(F.desc("thresh"))

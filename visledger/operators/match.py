@@ -7,7 +7,6 @@ iou, txs, pxs, iou_thresh``, with -1 for what has no partner.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,50 +63,68 @@ def unify_classes(true_names: DataFrame, pred_names: DataFrame) -> DataFrame:
 
 
 def candidates(true: DataFrame, pred: DataFrame, compat: str = "mutex", bias: float = 0.0, closure: DataFrame | None = None) -> DataFrame:
-    """Pairs that may match with their IoU above 0: one equi-join on the image (and class), the rest a filter.
+    """Pairs that may match, with their IoU (above 0) and ``apart``: one equi-join on the image (and class), the rest a filter.
 
     ``compat``: ``mutex`` (same class), ``all`` (any), or ``ancestors`` (the true
-    class is the predicted one or above it, by a table ``ancestor, descendant``).
+    class is the predicted one or above it, by a table ``ancestor, descendant,
+    dist``). ``apart`` is 0 for equal classes, the steps up for ancestors, else 1.
     """
     t = true.select("gid", F.col("id").alias("tx"), F.col("cls").alias("tcls"), F.col("bbox").alias("tbox"), F.col("weight").alias("tweight"))
     p = pred.select("gid", F.col("id").alias("px"), F.col("cls").alias("pcls"), F.col("bbox").alias("pbox"))
+    apart = F.when(F.col("tcls").eqNullSafe(F.col("pcls")), 0).otherwise(1).cast("long")
     if compat == "mutex":
         pairs = t.join(p, (t["gid"] == p["gid"]) & (F.col("tcls") == F.col("pcls"))).drop(p["gid"])
     else:
         pairs = t.join(p, "gid")
         if compat == "ancestors":
-            c = F.broadcast(closure.select(F.col("ancestor").alias("tcls"), F.col("descendant").alias("pcls")))
-            pairs = pairs.join(c, ["tcls", "pcls"], "left_semi")
+            steps = F.col("dist") if "dist" in closure.columns else F.when(F.col("ancestor") == F.col("descendant"), 0).otherwise(1)
+            up = F.broadcast(closure.select(F.col("ancestor").alias("tcls"), F.col("descendant").alias("pcls"), steps.cast("long").alias("steps")))
+            pairs, apart = pairs.join(up, ["tcls", "pcls"]), F.col("steps")
     overlap = iou(F.col("tbox"), F.col("pbox"), bias)
-    return pairs.withColumn("iou", overlap).where("iou > 0").select("gid", "px", "tx", "tweight", "iou")
+    return pairs.withColumn("iou", overlap).where("iou > 0").select("gid", "px", "tx", "tweight", "iou", apart.alias("apart"))
 
 
-def _greedy(ordered: Column) -> Column:
-    """Fold over predictions in order: each takes the first of its candidates that is still free."""
+def _greedy(ordered: Column, reuse: bool = False) -> Column:
+    """Fold over predictions in order: each takes the first of its candidates that is free, or with ``reuse`` least used."""
     zero = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<px:bigint,tx:bigint,iou:double>>").alias("out"))
 
+    def choice(state, p):
+        if not reuse:
+            return F.get(F.filter(p["cands"], lambda c: ~F.array_contains(state["used"], c["tx"])), F.lit(0))
+        counted = F.transform(
+            p["cands"],
+            lambda c: F.struct(F.size(F.filter(state["used"], lambda u: u == c["tx"])).alias("uses"), c["nth"].alias("nth"), c["tx"].alias("tx"), c["iou"].alias("iou")),
+        )
+        return F.array_min(counted)
+
     def step(state, p):
-        best = F.get(F.filter(p["cands"], lambda c: ~F.array_contains(state["used"], c["tx"])), F.lit(0))
-        match = F.struct(p["px"].alias("px"), best["tx"].alias("tx"), best["iou"].alias("iou"))
+        best = choice(state, p)
+        taken = F.struct(p["px"].alias("px"), best["tx"].alias("tx"), best["iou"].alias("iou"))
         return F.struct(
             F.when(best.isNotNull(), F.array_append(state["used"], best["tx"])).otherwise(state["used"]).alias("used"),
-            F.when(best.isNotNull(), F.array_append(state["out"], match)).otherwise(state["out"]).alias("out"),
+            F.when(best.isNotNull(), F.array_append(state["out"], taken)).otherwise(state["out"]).alias("out"),
         )
 
     return F.aggregate(ordered, zero, step, lambda s: s["out"])
 
 
-def match(true: DataFrame, pred: DataFrame, pairs: DataFrame, thresholds: tuple = (0.5,), max_dets: int | None = None) -> DataFrame:
+def match(
+    true: DataFrame, pred: DataFrame, pairs: DataFrame, thresholds: tuple = (0.5,), max_dets: int | None = None, prioritize: str = "iou",
+    reuse: bool = False,
+) -> DataFrame:
     """``gid, px, tx, iou, iou_thresh`` of the greedy assignment.
 
     Predictions go by descending score (the larger id first among equals) and
     take the free truth of the largest IoU above the threshold (the lesser id
-    first among equals). One image is one fold; only its candidates are gathered.
+    first among equals); with ``prioritize="class"`` the nearest class comes
+    before the overlap. With ``reuse`` a truth may serve again, the least used
+    one first. One image is one fold; only its candidates are gathered.
     """
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     some = pairs.withColumn("iou_thresh", thr).where("iou > iou_thresh")
-    lists = some.groupBy("gid", "iou_thresh", "px").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("neg"), "tx"))).alias("c"))
-    cands = F.transform("c", lambda c: F.struct(c["tx"].alias("tx"), (-c["neg"]).alias("iou")))
+    first = F.col("apart") if prioritize == "class" else F.lit(0).cast("long")
+    lists = some.groupBy("gid", "iou_thresh", "px").agg(F.array_sort(F.collect_list(F.struct(first.alias("first"), (-F.col("iou")).alias("neg"), "tx"))).alias("c"))
+    cands = F.transform("c", lambda c, i: F.struct(i.alias("nth"), c["tx"].alias("tx"), (-c["neg"]).alias("iou")))
     ranked = pred.select("gid", F.col("id").alias("px"), "score")
     if max_dets is not None:
         from pyspark.sql import Window
@@ -117,23 +134,7 @@ def match(true: DataFrame, pred: DataFrame, pairs: DataFrame, thresholds: tuple
     rows = lists.withColumn("cands", cands).join(ranked, ["gid", "px"])
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg_score"), (-F.col("px")).alias("neg_px"), "px", "cands")))
     out = rows.groupBy("gid", "iou_thresh").agg(ordered.alias("ps"))
-    return out.select("gid", "iou_thresh", F.explode(_greedy(F.col("ps"))).alias("m")).select("gid", "m.px", "m.tx", "m.iou", "iou_thresh")
-
-
-def match_reusing(pred: DataFrame, pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """As :func:`match`, but a truth may serve again: the least used one first, then the largest IoU."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        uses: dict[int, int] = {}
-        out = []
-        for (_, px), c in sorted(pdf.groupby(["score", "px"]), key=lambda g: (-g[0][0], -g[0][1])):
-            tx, overlap = min(zip(c["tx"], c["iou"]), key=lambda k: (uses.get(k[0], 0), -k[1], k[0]))
-            uses[tx] = uses.get(tx, 0) + 1
-            out.append((pdf["gid"].iloc[0], px, tx, overlap, threshold))
-        return pd.DataFrame(out, columns=["gid", "px", "tx", "iou", "iou_thresh"])
-
-    rows = pairs.where(F.col("iou") > threshold).join(pred.select("gid", F.col("id").alias("px"), "score"), ["gid", "px"])
-    return rows.groupBy("gid").applyInPandas(run, "gid bigint, px bigint, tx bigint, iou double, iou_thresh double")
+    return out.select("gid", "iou_thresh", F.explode(_greedy(F.col("ps"), reuse)).alias("m")).select("gid", "m.px", "m.tx", "m.iou", "iou_thresh")
 
 
 def confusion_vectors(

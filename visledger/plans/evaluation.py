@@ -90,7 +90,16 @@ def m2_greedy_match_any_class(spark, sf):
 @query()
 def m2_reusing_match(spark, sf):
     true, pred = sides(spark, sf)
-    return X.match_reusing(pred, X.candidates(true, pred, "mutex")).select("gid", "px", "tx")
+    return X.match(true, pred, X.candidates(true, pred, "mutex"), reuse=True).select("gid", "px", "tx")
+
+
+_NEAREST_CLASS = _ALL.replace("{'n': -iou, 'tx': tx} ORDER BY -iou, tx", "{'n': -iou, 'tx': tx} ORDER BY CAST(tcls <> pcls AS INT), -iou, tx")
+
+
+@query(f"{_NEAREST_CLASS} SELECT gid, px, tx FROM matched")
+def m5_class_priority(spark, sf):
+    true, pred = sides(spark, sf)
+    return X.match(true, pred, X.candidates(true, pred, "all"), prioritize="class").select("gid", "px", "tx")
 
 
 @query(f"""{_SIDES}, covered AS (SELECT p.gid, p.id AS px, sum(least(1, greatest(least(p.x + p.w, t.x + t.w) - greatest(p.x, t.x), 0) * greatest(least(p.y + p.h, t.y + t.h) - greatest(p.y, t.y), 0) / (p.w * p.h))) AS c

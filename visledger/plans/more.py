@@ -119,3 +119,21 @@ def fn_coerce_times(spark, sf):
     unix = F.unix_timestamp("ts").cast("string")
     text = F.when(F.col("event_id") % 2 == 0, iso).otherwise(unix)
     return e.select("event_id", F.unix_timestamp(scalars.coerce_time(text)).alias("seconds"))
+
+
+@query("""WITH b AS (SELECT CAST(nation.n_nationkey AS BIGINT) AS g, CAST(s_suppkey % 2 AS BIGINT) AS y FROM supplier JOIN nation ON n_nationkey = s_nationkey), n AS (SELECT g, count(*) AS n, sum(y) AS t FROM b GROUP BY g)
+SELECT g, CASE WHEN n < 7 THEN n + 7 ELSE n END AS n, CASE WHEN n < 7 THEN CAST(t AS BIGINT) + 4 ELSE CAST(t AS BIGINT) END AS n_true FROM n""", tables=False)
+def m15_stabilized(spark, sf):
+    s = star.table(spark, sf, "supplier").select(
+        F.col("s_nationkey").cast("long").alias("g"), (F.col("s_suppkey") % 2).alias("is_true"), F.lit(0.5).alias("pred_score"), F.lit(1.0).alias("weight")
+    )
+    return E.stabilized(s, ["g"]).groupBy("g").agg(F.count("*").alias("n"), F.sum("is_true").alias("n_true"))
+
+
+@query(f"""{_ALL}, k AS (SELECT CAST(t >= 0 AS BIGINT) AS y, floor(score * 10) / 10 AS b, weight FROM cfsn WHERE isfinite(score)),
+g AS (SELECT b, sum(weight * y) AS t, sum(weight * (1 - y)) AS f FROM k GROUP BY b)
+SELECT b AS thresh, CAST(sum(t) OVER w AS DOUBLE) AS tp, CAST(sum(f) OVER w AS DOUBLE) AS fp FROM g WINDOW w AS (ORDER BY b DESC)""")
+def m20_binned_thresholds(spark, sf):
+    v = vectors(spark, sf, "all").withColumn("part", F.pmod("gid", F.lit(3)))
+    parts = E.curve(v.select("part", (F.col("true") >= 0).cast("long").alias("is_true"), F.col("score").alias("pred_score"), "weight"), ["part"])
+    return E.combine(parts, bins=10).where(F.col("thresh") > E.NEVER_SEEN).select("thresh", "tp", "fp")
