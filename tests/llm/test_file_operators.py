@@ -82,6 +82,23 @@ def test_word_memory_equals_tokenizer(tokenizer):
         token_files.MEMORY = was
 
 
+def test_word_memory_with_white_space_at_the_ends_of_pieces(tokenizer):
+    from itertools import permutations
+
+    from tokenizers import Tokenizer
+
+    path, _ = tokenizer
+    tok = Tokenizer.from_file(path)  # as it is: no special tokens in these texts
+    texts = ["foo\n bar", "foo \nbar", "a  b", "x\t y \tz", "one\r\n two \r\nthree", "\u00a0u v\u00a0 w", "p\x1c q \x1cr", "n \n m", "last \n"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in token_files.WordEncoder(path).encode(texts)] == want
+    alone = lambda p: tok.encode(" " + p, add_special_tokens=False).ids
+    for names in permutations(["foo\n", "", "\nbar", "\n", "x"]):  # the order of a set is any of these
+        fast = token_files.WordEncoder(path)
+        fast._learn(names)
+        assert {p: np.frombuffer(b, np.uint32).tolist() for p, b in fast.pieces.items()} == {p: alone(p) for p in names}
+
+
 def test_token_dataset(spark, tokenizer):
     path, tok = tokenizer
     got = token_files.read_tokens(token_files.write_tokens(documents(spark), path, shards=3)).collect()

@@ -239,12 +239,22 @@ class WordEncoder:
         """Remember the ids of pieces, each with a space before it.
 
         Joined by single spaces they are cut at every space, and no pre-token
-        has a space but as its first character, so one starts each piece.
+        has a space but as its first character, so one starts each piece. Beside
+        a piece that is empty or begins or ends with white space the join may
+        make white space that is one pre-token, so such a piece is cut alone.
         """
         if not pieces:
             return
-        names = list(pieces)
-        cut = self.cut(" " + " ".join(names))
+        names = [p for p in pieces if p and p == p.strip()]
+        cut = self.cut(" " + " ".join(names)) if names else []
+        begin = [i for i, w in enumerate(cut) if w[0] == " "]
+        for piece in pieces:
+            if not piece or piece != piece.strip():
+                names.append(piece)
+                begin.append(len(cut))
+                cut += self.cut(" " + piece)
+        if len(begin) != len(names):
+            raise AssertionError(f"{len(names)} pieces have {len(begin)} starts")
         fresh = list(set(cut).difference(self.words))
         if len(self.words) + len(fresh) > MEMORY:
             self.words.clear()
@@ -253,8 +263,7 @@ class WordEncoder:
         for word in fresh:
             shown = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(letters)
             words[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
-        found, at = list(map(words.__getitem__, cut)), -1
-        begin = [i for i, w in enumerate(cut) if w[0] == " "]
+        found = list(map(words.__getitem__, cut))
         begin.append(len(cut))
         for name, i, j in zip(names, begin, begin[1:]):
             self.pieces[name] = found[i] if j == i + 1 else b"".join(found[i:j])
