@@ -213,6 +213,24 @@ def test_budget_is_met_exactly_where_it_can_be():
     assert (take * np.arange(1, 3000)).sum() == 5_000_001
 
 
+def test_budget_is_met_by_a_few_long_documents():
+    lengths = np.array([9000, 10000, 11000, 12000])
+    assert (mixing.fit_budget(lengths, np.ones(4, int), 20_000) * lengths).sum() == 20_000
+    rng = np.random.default_rng(5)
+    for top in (20_000, 3_000_000):
+        for _ in range(15):
+            lengths = rng.choice(np.arange(top // 3, top), 9, replace=False)
+            counts = rng.integers(1, 3, 9)
+            budget = int(rng.integers(0, (lengths * counts).sum() + 1))
+            sums = {0}
+            for n, c in zip(lengths.tolist(), counts.tolist()):
+                sums |= {s + k * n for s in sums for k in range(1, c + 1)}
+            got = int((mixing.fit_budget(lengths, counts, budget) * lengths).sum())
+            nearest = max(s for s in sums if s <= budget)
+            slack = 0 if budget <= mixing.WIDER_WORDS[-1] else int(counts.sum()) * -(-budget // mixing.WIDER_WORDS[-1])
+            assert nearest - slack <= got <= nearest, (lengths, counts, budget)
+
+
 def brute_targets(sizes, total):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}

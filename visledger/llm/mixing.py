@@ -18,10 +18,12 @@ from .common import materialize
 
 #: Hash buckets of the documents of one length, so that no length is ranked in one task.
 SALTS = 4096
-#: Words that the dynamic program covers at most; what is beyond is met by longest lengths first.
+#: Words that the first program covers, and its distinct lengths: the shortest ones, of which small sums are made.
 PROGRAM_WORDS = 1 << 13
-#: Distinct lengths in the program: the shortest ones, of which small sums are made.
 PROGRAM_LENGTHS = 256
+#: Words that the programs over all lengths cover, tried in turn until the budget is met. What is within the
+#: last is fitted exactly; a larger budget that none meets is also fitted as a whole, in so many units.
+WIDER_WORDS = (1 << 17, 1 << 21, 1 << 24)
 MOST_COPIES = 3
 
 
@@ -55,58 +57,90 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), share: float = 1.0, ca
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _fill(size: np.ndarray, rest: np.ndarray, left: int) -> np.ndarray:
+    """How many of each to take, at most ``rest``, so that the sum is the reachable one nearest ``left``, never above."""
+    take = np.zeros(len(size), np.int64)
+    items = []
+    for i in np.flatnonzero((rest > 0) & (size <= left)):
+        n, part = min(int(rest[i]), left // int(size[i])), 1
+        while n > 0:  # counts as powers of two
+            part = min(part, n)
+            items.append((int(i), part))
+            n -= part
+            part *= 2
+    reach = np.zeros(left + 1, bool)
+    reach[0] = True
+    via = np.full(left + 1, -1, np.int32)
+    top = 0
+    for k, (i, n) in enumerate(items):
+        step = int(size[i]) * n
+        if step > left:
+            continue
+        if reach[left]:
+            break
+        top = min(left, top + step)
+        fresh = np.flatnonzero(reach[: top - step + 1] & ~reach[step : top + 1]) + step
+        via[fresh] = k
+        reach[fresh] = True
+    at = int(np.flatnonzero(reach).max())
+    while at > 0:
+        i, n = items[via[at]]
+        take[i] += n
+        at -= int(size[i]) * n
+    return take
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take so that their sum comes as near ``budget`` as can be found, never above.
 
     ``lengths`` are distinct and positive. An equal share of every count is
     rounded down; then long lengths are taken while more than ``PROGRAM_WORDS``
-    is left; then the program takes the reachable sum nearest the rest.
+    is left; then the program takes the reachable sum nearest the rest. Where
+    that leaves a gap, less is shared and wider programs over all lengths fit
+    more: all of a budget up to the last of ``WIDER_WORDS`` times the lengths'
+    common divisor, so that no sum is nearer. A larger budget that is still not
+    met is fitted whole in units of its part by that number, lengths rounded
+    up, so that each document taken leaves less than a unit.
     """
     order = np.argsort(lengths)
     size, have = lengths[order].astype(np.int64), counts[order].astype(np.int64)
-    total = int((size * have).sum())
-    take = np.zeros(len(size), np.int64)
-    if total and budget > 0:
-        budget = min(budget, total)
-        take = np.array([int(c) * budget // total for c in have], np.int64)
-        left = budget - int((take * size).sum())
-        short = np.flatnonzero(have > take)[:PROGRAM_LENGTHS]
-        reachable = min(PROGRAM_WORDS, int((size[short] * (have - take)[short]).sum()))
-        for i in range(len(size) - 1, -1, -1):
-            if left <= reachable:
+    best = np.zeros(len(size), np.int64)
+    if int((size * have).sum()) and budget > 0:
+        unit = int(np.gcd.reduce(size[have > 0]))
+        size = size // unit
+        total = int((size * have).sum())
+        budget = min(budget // unit, total)
+        gap = budget
+        for window in (PROGRAM_WORDS, *WIDER_WORDS):
+            first = window == PROGRAM_WORDS
+            shared = budget if first else max(0, budget - window)
+            take = np.array([int(c) * shared // total for c in have], np.int64)
+            left = budget - int((take * size).sum())
+            usable = np.flatnonzero(have > take)[: PROGRAM_LENGTHS if first else None]
+            reachable = min(window, int((size[usable] * (have - take)[usable]).sum()))
+            for i in range(len(size) - 1, -1, -1):
+                if left <= reachable:
+                    break
+                n = min(int(have[i] - take[i]), -(-(left - reachable) // int(size[i])), left // int(size[i]))
+                take[i] += n
+                left -= n * int(size[i])
+            usable = np.flatnonzero((have > take) & (size <= left))[: PROGRAM_LENGTHS if first else None]
+            if left <= window:
+                take[usable] += _fill(size[usable], (have - take)[usable], left)
+            left = budget - int((take * size).sum())
+            if left < gap:
+                best, gap = take, left
+            if not gap or (not first and window >= budget):
                 break
-            n = min(int(have[i] - take[i]), -(-(left - reachable) // int(size[i])), left // int(size[i]))
-            take[i] += n
-            left -= n * int(size[i])
-        rest = have - take
-        usable = np.flatnonzero((rest > 0) & (size <= left))
-        items = []
-        for i in usable[:PROGRAM_LENGTHS]:
-            n, part = min(int(rest[i]), left // int(size[i])), 1
-            while n > 0:  # counts as powers of two
-                part = min(part, n)
-                items.append((int(i), part))
-                n -= part
-                part *= 2
-        reach = np.zeros(left + 1, bool)
-        reach[0] = True
-        via = np.full(left + 1, -1, np.int32)
-        for k, (i, n) in enumerate(items):
-            step = int(size[i]) * n
-            if step > left or reach[left]:
-                continue
-            fresh = np.zeros_like(reach)
-            fresh[step:] = reach[:-step]
-            fresh &= ~reach
-            via[fresh] = k
-            reach |= fresh
-        at = int(np.flatnonzero(reach).max())
-        while at > 0:
-            i, n = items[via[at]]
-            take[i] += n
-            at -= int(size[i]) * n
+        if gap and budget > WIDER_WORDS[-1]:
+            coarse = -(-budget // WIDER_WORDS[-1])
+            take = _fill(-(-size // coarse), have, budget // coarse)
+            left = budget - int((take * size).sum())
+            take += _fill(size, have - take, min(left, WIDER_WORDS[-1]))
+            if budget - int((take * size).sum()) < gap:
+                best = take
     out = np.zeros(len(lengths), np.int64)
-    out[order] = take
+    out[order] = best
     return out
 
 
