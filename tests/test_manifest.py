@@ -214,3 +214,16 @@ def test_class_folders_and_roots(spark):
     assert dict(table(stats.category_frequency(documents.from_class_folders(spark, files)), "category", "n")) == {"cat": 2, "dog": 1}
     assert setops.common_root(["/a/b/c", "/a/b", "/a/bd"]) == "/a"
     assert isinstance(documents.read_any(spark, {"images": []}), Manifest)
+
+
+def test_lines_round_trip(spark, tmp_path):
+    m = from_rows(spark, PHOTOS | {"images": [*PHOTOS["images"], {"id": 4, "name": "two\nlines", "timestamp": "2020-01-02T03:04:05.123456"}]})
+    for name, df in m.tables().items():
+        df = df.repartition(3)
+        documents.write_lines(df, name, str(tmp_path / name))
+        back = documents.read_lines(spark, name, str(tmp_path / name))
+        shown = [c for c in df.columns if c != "extra"]
+        assert table(back, *shown) == table(df, *shown), name
+        extra = lambda d: sorted((str(r["id"]), json.loads(r["extra"] or "{}")) for r in d.select("id", "extra").collect())
+        assert [(i, {k: v for k, v in x.items() if k != "timestamp"}) for i, x in extra(df)] == extra(back), name
+    assert len(list((tmp_path / "annotations").glob("part-*"))) == 3  # no task holds the whole table
