@@ -34,10 +34,15 @@ def d1_add_video(spark, sf):
     return D.append(M(spark, sf), "videos", new, ("id", "name")).videos.select("id", "name", "caption")
 
 
+@query("SELECT id, name FROM images UNION ALL SELECT CAST(-1 AS BIGINT), 'extra'")
+def d2_add_image_whole(spark, sf):
+    new = spark.createDataFrame([(-1, "extra", "extra.png")], "id bigint, name string, file_name string")
+    return D.append(M(spark, sf), "images", new, ("id", "name", "file_name")).images.select("id", "name")
+
+
 @query("SELECT id, name FROM images WHERE id < 20 UNION ALL SELECT CAST(-1 AS BIGINT), 'extra'")
 def d2_add_image(spark, sf):
-    new = spark.createDataFrame([(-1, "extra", "extra.png")], "id bigint, name string, file_name string")
-    return D.append(M(spark, sf), "images", new, ("id", "name", "file_name")).images.where("id < 20").select("id", "name")
+    return d2_add_image_whole(spark, sf).where("id < 20")
 
 
 @query("SELECT id AS image_id, CAST(1 AS BIGINT) AS nth, 'depth/' || id || '.png' AS file_name, 'depth' AS channels FROM images WHERE id % 4 = 0")

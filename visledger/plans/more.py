@@ -97,14 +97,19 @@ def fn_human_bytes(spark, sf):
     return e.select("event_id", F.element_at(F.split(scalars.human_bytes(F.col("event_id") * 37), " "), -1).alias("unit"))
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'clip' ELSE 'clip_x' END AS stem, CASE WHEN id % 2 = 0 THEN CAST(id AS BIGINT) END AS number FROM videos WHERE id < 100")
-def fn_name_versions(spark, sf):
-    v = M(spark, sf).videos.where("id < 100")
-    name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("clip_v"), F.lpad(F.col("id").cast("string"), 3, "0"))).otherwise("clip_x")
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'clip' ELSE 'clip_x' END AS stem, CASE WHEN id % 2 = 0 THEN CAST(id AS BIGINT) END AS number FROM videos")
+def fn_name_versions_whole(spark, sf):
+    v = M(spark, sf).videos
+    name = F.when(F.col("id") % 2 == 0, F.format_string("clip_v%03d", "id")).otherwise("clip_x")
     stem, number = scalars.split_version(name)
     return v.select("id", stem.alias("stem"), number.cast("long").alias("number"))
 
 
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'clip' ELSE 'clip_x' END AS stem, CASE WHEN id % 2 = 0 THEN CAST(id AS BIGINT) END AS number FROM videos WHERE id < 100")
+def fn_name_versions(spark, sf):
+    return fn_name_versions_whole(spark, sf).where("id < 100")
+
+
 @query("SELECT event_id, CAST(event_id % 50 AS DOUBLE) + 0.5 AS mag, 'meters' AS unit FROM events", tables=False)
 def fn_resolutions(spark, sf):
     e = star.table(spark, sf, "events")
