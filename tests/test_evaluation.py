@@ -126,3 +126,21 @@ def test_hierarchy(spark):
 def test_set_cover(spark):
     sets = spark.createDataFrame([(1, [1, 2]), (2, [2, 3, 4]), (3, [5]), (4, [1])], "id bigint, members array<bigint>")
     assert A.set_cover(sets) == [2, 1, 3]
+
+
+def test_three_covers(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.sample(range(40), rng.randint(1, 6)), rng.randint(1, 12)) for i in range(60)]
+    want, left = [], {i: (set(s), n) for i, s, n in rows}
+    for k, cost in enumerate((lambda n: 1, lambda n: n, lambda n: 1 / (n + 1))):
+        covered, picked = set(), []
+        while any(s - covered for s, _ in left.values()):
+            i = min(left, key=lambda i: (-len(left[i][0] - covered) / cost(left[i][1]), i))
+            picked.append(i)
+            covered |= left[i][0]
+        want += [(k, nth, i) for nth, i in enumerate(picked)]
+        left = {i: x for i, x in left.items() if i not in picked}
+    sets = spark.createDataFrame(rows, "id bigint, members array<bigint>, n bigint")
+    assert sorted(tuple(r) for r in A.representative(sets).collect()) == want

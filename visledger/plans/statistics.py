@@ -78,9 +78,11 @@ def a8_type_frequency(spark, sf):
 @query()
 def a9_representative_images(spark, sf):
     m = M(spark, sf)
-    sets = m.annotations.where("category_id is not null").groupBy(F.col("image_id").alias("id")).agg(F.array_sort(F.collect_set("category_id")).alias("members"))
-    picked = A.set_cover(sets)
-    return spark.createDataFrame([(i, g) for i, g in enumerate(picked)], "nth int, image_id bigint")
+    each = m.annotations.groupBy(F.col("image_id").alias("id")).agg(F.collect_set("category_id").alias("members"), F.count("*").alias("n"))
+    sets = m.images.select("id").join(each, "id", "left").select(
+        "id", F.coalesce("members", F.array(F.lit(-1).cast("long"))).alias("members"), F.coalesce("n", F.lit(0)).alias("n")  # -1: no annotations
+    )
+    return A.representative(sets).select("cover", "nth", F.col("id").alias("image_id"))
 
 
 @query("SELECT category_id, string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY image_id) AS image_ids FROM (SELECT DISTINCT category_id, image_id FROM annotations WHERE category_id IS NOT NULL) GROUP BY 1")
