@@ -1,27 +1,45 @@
-"""Numbers of rows in an order of the whole table, without a task that holds it."""
+"""Numbers of rows and running sums in an order of the whole table, without a task that holds it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 
-def number_rows(df: DataFrame, order: list, folder: str, name: str = "nth") -> DataFrame:
-    """Rows numbered from 1 by ``order``, in which no two rows should be equal.
 
-    Rows are dealt by ranges, sorted in each, and written into ``folder``, a new
-    one that all executors see; each range's numbers start after the counts of
-    those before it.
-    """
-    spark = df.sparkSession
+def _ranged(df: DataFrame, order: list) -> tuple[DataFrame, list[Column]]:
+    """Rows dealt by ranges of ``order``, sorted in each and written; ``_place`` has the range above bit 33, the row in it below."""
     order = [o if isinstance(o, Column) else F.col(o) for o in order]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.monotonically_increasing_id()  # the partition above bit 33, the row in it below
-    df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", place).write.parquet(folder)
-    rows = spark.read.schema(df.withColumn("_place", place).schema).parquet(folder)
-    part = F.shiftright("_place", 33)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    return materialize(dealt, "ordered").withColumn("_part", F.shiftright("_place", 33)), order
+
+
+def number_rows(df: DataFrame, order: list, name: str = "nth", start: int = 1) -> DataFrame:
+    """Rows numbered from ``start`` by ``order``, in which no two rows should be equal.
+
+    Rows are dealt by ranges, sorted in each, and written; each range's numbers
+    start after the counts of those before it.
+    """
+    rows, _ = _ranged(df, order)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    nth = F.col("_start") + F.col("_place") - F.shiftleft("_part", 33) + 1
-    return rows.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*df.columns, nth.cast("long").alias(name))
+    nth = F.col("_start") + F.col("_place") - F.shiftleft("_part", 33) + start
+    return rows.join(F.broadcast(starts), "_part").select(*[c for c in df.columns if c != name], nth.cast("long").alias(name))
+
+
+def running_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """``df`` with a running sum (names: new column to summed one) along ``order``, over the whole table.
+
+    Sums of the ranges come first, then those within each range. Rows that are
+    equal in ``order`` should have been grouped.
+    """
+    rows, order = _ranged(df, order)
+    totals = rows.groupBy("_part").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    heads = totals.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_h{i}") for i in range(len(sums))])
+    within = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.join(F.broadcast(heads), "_part")
+    return found.select(*df.columns, *[(F.col(f"_h{i}") + F.sum(c).over(within)).alias(new) for i, (new, c) in enumerate(sums.items())])

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..manifest import Manifest
+from ..storage import forget, materialize
 from .select import assets, channel_list
 
 
@@ -198,15 +196,6 @@ def accuracy(matrix: DataFrame) -> DataFrame:
     return per.agg(F.try_divide(F.sum("hit"), F.sum("all")).alias("global_accuracy"), F.avg(F.try_divide("hit", "all")).alias("class_accuracy"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written where driver and executors see it, and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cover-")
-    path = f"{base.rstrip('/')}/cover-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def greedy_cover(sets: DataFrame, cost: Column | None = None) -> DataFrame:
     """``nth, id`` of a greedy cover of ``id, members``, from 0: each picks the most members not yet covered for its ``cost``, least id first among equals.
 
@@ -216,16 +205,17 @@ def greedy_cover(sets: DataFrame, cost: Column | None = None) -> DataFrame:
     """
     cost = F.lit(1.0) if cost is None else cost.cast("double")
     pairs = sets.select("id", cost.alias("cost"), F.explode(F.array_distinct("members")).alias("member")).where("member is not null")
-    pairs, picked = _kept(pairs), None
+    pairs, picked = materialize(pairs, "cover"), None
     while not pairs.isEmpty():
         gains = pairs.groupBy("id").agg(F.count("*").alias("gain"), (F.count("*") / F.first("cost")).alias("value"))
         valued = pairs.join(gains, "id")
         best = valued.groupBy("member").agg(F.min_by("id", F.struct(-F.col("value"), "id")).alias("best"))
         firsts = best.groupBy(F.col("best").alias("id")).agg(F.count("*").alias("firsts"))
-        won = _kept(gains.join(firsts, "id").where("gain = firsts").select("id", "value"))
+        won = materialize(gains.join(firsts, "id").where("gain = firsts").select("id", "value"), "cover")
         picked = won if picked is None else picked.unionByName(won)
         covered = pairs.join(won, "id", "left_semi").select("member")
-        pairs = _kept(pairs.join(covered, "member", "left_anti"))
+        pairs, old = materialize(pairs.join(covered, "member", "left_anti"), "cover"), pairs
+        forget(old)
     if picked is None:
         picked = sets.select("id", F.lit(0.0).alias("value")).limit(0)
     nth = F.row_number().over(Window.orderBy(F.desc("value"), "id")) - 1  # at most a row for each member
@@ -241,7 +231,7 @@ def representative(sets: DataFrame) -> DataFrame:
     """``cover, nth, id`` of three greedy covers of ``id, members, n``: plain, at a cost of ``n``, and of ``1 / (n + 1)``; each of the sets that are left."""
     out = None
     for k, cost in enumerate((None, F.greatest("n", F.lit(1)), 1 / (F.col("n") + 1))):
-        cover = _kept(greedy_cover(sets, cost)).select(F.lit(k).alias("cover"), "nth", "id")
+        cover = materialize(greedy_cover(sets, cost), "cover").select(F.lit(k).alias("cover"), "nth", "id")
         sets = sets.join(cover, "id", "left_anti")
         out = cover if out is None else out.unionByName(cover)
     return out

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import select as S
 from ..sources import formats, star
+from ..storage import new_path as scratch
 from ..streaming import online
 from ._register import registrar
 
@@ -15,14 +14,6 @@ QUERIES, SQL, query = registrar()
 M = star.manifest
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder that the driver and all executors see."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT id, name, width FROM images")
 def s10_document_round_trip_whole(spark, sf):
     from ..sources.documents import read_lines, write_lines

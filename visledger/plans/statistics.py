@@ -201,10 +201,9 @@ def w12_first_appearance(spark, sf):
 @query("SELECT id, file_name, row_number() OVER (ORDER BY width DESC, file_name) AS nth FROM images")
 def t1_sort_values_whole(spark, sf):
     from ..operators.order import number_rows
-    from .connectors import scratch
 
     im = M(spark, sf).images.select("id", "file_name", "width")
-    return number_rows(im, [F.desc("width"), "file_name"], scratch(spark, "sorted")).select("id", "file_name", "nth")
+    return number_rows(im, [F.desc("width"), "file_name"]).select("id", "file_name", "nth")
 
 
 @query("SELECT id, file_name FROM images ORDER BY width DESC, file_name LIMIT 20")
