@@ -60,16 +60,14 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return path, tok
+    return path, Tokenizer.from_file(path)
 
 
 def test_word_memory_equals_tokenizer(tokenizer):
     path, tok = tokenizer
     fast = token_files.WordEncoder(path)
     odd = [chr(c) for c in range(1, 0x250)]
-    texts = ["", " ", "  a", "a  b", "a   b", "a \n b", "x\n \nb", "x\n  y", "end ", "end \n ", "\n x", "it's  don't I'LL", "<|endoftext|> a", "日本 a b", "a\u00a0b c\u2003d"]
+    texts = ["", " ", "  a", "a  b", "a   b", "a \n b", "x\n \nb", "x\n  y", "end ", "end \n ", "\n x", "it's  don't I'LL", "<|endoftext|> a", "a<|endoftext|>b <|endoftext|>", "a <|endoftext |> b", "日本 a b", "a\u00a0b c\u2003d"]
     texts += [f"a{c}b 1{c}2 {c} {c}{c}x{c}" for c in odd] + [t[1] or "" for t in TEXTS]
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in fast.encode(texts)] == want

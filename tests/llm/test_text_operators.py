@@ -136,11 +136,8 @@ def test_wu_manber_random(spark):
         vocab = [f"t{i}" for i in range(rng.choice([2, 4, 30]))]
         items = [(str(k), " ".join(rng.choices(vocab, k=rng.randint(0, 14))).encode()) for k in range(6)]
         text = " ".join(rng.choices(vocab, k=80)).encode()
-        hit, names = set(), set()
-        for machine in decontam.build(items):
-            for start, found in machine.find(decontam.words_of(text)):
-                hit.update(range(start, start + machine.length))
-                names.update(found)
+        marks, names = decontam.build(items).search(decontam.words_of(text))
+        hit = {k for start, stop in marks for k in range(start, stop)}
         n, count, want, _ = decontam.brute_force(text, items)
         assert (len(hit), sorted(names)) == (count, want)
 

@@ -12,6 +12,7 @@ turning ``\\e`` back gives the text again.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -61,16 +62,50 @@ MAPPINGS = (
     Mapping("question_answer", '{"question":"a","answer":"b"}', fields=(("user", "$.question"), ("assistant", "$.answer"))),
 )
 
+def _shape(record):
+    """A record of the same layout with short texts: escapes go, and every string is cut to 255 characters.
+
+    So a record of any size has a fingerprint, though the variant parser has a bound.
+    """
+    for escaped in ("\\\\", '\\"', "\\"):
+        record = F.replace(record, F.lit(escaped), F.lit(""))
+    return F.regexp_replace(record, '"([^"]{0,255})[^"]*+"', '"$1"')
+
+
 def fingerprint(record):
     """Hash of the sorted nested field paths of a JSON string column; null if it isn't JSON.
 
-    Types don't count, so a null or number where others have a string is the same layout.
+    Types don't count, so a null or number where others have a string is the same
+    layout. A record is the first JSON value of its string; what follows it is
+    passed over. An object that has a field twice is not a record.
     """
-    layout = F.schema_of_variant(F.try_parse_json(record))
+    layout = F.schema_of_variant(F.try_parse_json(_shape(record)))
     paths = F.regexp_replace(layout, r": (?!OBJECT<|ARRAY<)[A-Z]+(\([0-9,]*\))?", ":")
     return F.xxhash64(F.regexp_replace(paths, r"ARRAY<[A-Z]+>", "ARRAY<>"))
 
 
+def _layout(paths: dict[str, str]) -> str:
+    """The type of a record that has something (path to type) at some JSON paths."""
+    heads: dict[str, dict[str, str]] = {}
+    for path, kind in paths.items():
+        head, _, rest = path.removeprefix("$.").partition(".")
+        heads.setdefault(head, {})[rest] = kind
+    return "struct<" + ",".join(f"`{h}`:{rest[''] if '' in rest else _layout(rest)}" for h, rest in heads.items()) + ">"
+
+
+def _read(record, paths: dict[str, str]):
+    """A record's values at some paths; null where it is malformed."""
+    layout = _layout({**paths, "$._malformed": "string"})
+    value = F.from_json(record, layout, {"columnNameOfCorruptRecord": "_malformed", "maxStringLen": str((1 << 31) - 1)})
+    return F.when(value["_malformed"].isNull(), value)
+
+
+def _at(value, path: str):
+    for name in path.removeprefix("$.").split("."):
+        value = value[name]
+    return value
+
+
 def mapping_table(spark, mappings=MAPPINGS) -> DataFrame:
     """Fingerprint and number of each mapping; a row for each, so always small."""
     rows = spark.createDataFrame([(i, m.example) for i, m in enumerate(mappings)], "mapping int, example string")
@@ -83,13 +118,13 @@ def to_turns(records: DataFrame, record_col: str = "record", mappings=MAPPINGS)
     Null roles and texts are empty. Records that are null, malformed or of an
     unknown layout have null turns; an array without elements has the layout of
     no mapping unless the mapping's example is without elements too, so an empty
-    conversation has null turns as well.
+    conversation has null turns as well. Further columns pass through, whatever
+    their names, but for ``turns``, which is replaced. Repeated rows are
+    converted alike; an empty table gives an empty one.
     """
-    table = F.broadcast(mapping_table(records.sparkSession, mappings))
-    known = records.withColumn("_print", fingerprint(F.col(record_col))).join(
-        table.withColumnRenamed("print", "_print"), "_print", "left"
-    )
-    value = F.try_parse_json(F.col(record_col))
+    table = mapping_table(records.sparkSession, mappings).select(F.col("print").alias("_chat_print"), F.col("mapping").alias("_chat_mapping"))
+    text = F.col(record_col)
+    known = records.withColumn("_chat_print", fingerprint(text)).join(F.broadcast(table), "_chat_print", "left")
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
 
     def turn(role, text, names=()):
@@ -97,21 +132,21 @@ def to_turns(records: DataFrame, record_col: str = "record", mappings=MAPPINGS)
             role = F.when(role == name, canonical).otherwise(role)
         return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
-    def from_items(m):
-        items = F.try_variant_get(value, m.messages, "array<variant>")
-        return F.transform(items, lambda v: turn(F.try_variant_get(v, m.role, "string"), F.try_variant_get(v, m.text, "string"), m.roles))
+    def from_item(m, value):
+        return turn(_at(value, m.role), _at(value, m.text), m.roles)
 
     for i, m in enumerate(mappings):
         if m.messages:
-            each = from_items(m)
+            item = _layout({m.role: "string", m.text: "string"})
+            items = _at(_read(text, {m.messages: f"array<{item}>"}), m.messages)
+            each = F.transform(items, functools.partial(from_item, m))
         else:
-            every = F.array(*[turn(F.lit(r), F.try_variant_get(value, path, "string")) for r, path in m.fields])
-            each = F.filter(every, lambda t: (t["text"] != "") | (t["role"] == "assistant"))
-        turns = F.when(F.col("mapping") == i, each).otherwise(turns)
-    large = F.from_json(record_col, "struct<messages:array<struct<role:string,content:string>>>")["messages"]
-    oversized = F.transform(large, lambda t: turn(t["role"], t["content"]))  # a valid record that a variant can't hold
-    turns = F.coalesce(turns, F.when(value.isNull(), oversized))
-    return known.withColumn("turns", turns).drop("_print", "mapping")
+            value = _read(text, {path: "string" for _, path in m.fields})
+            every = F.array(*[turn(F.lit(r), _at(value, path)) for r, path in m.fields])
+            each = F.when(value.isNotNull(), F.filter(every, lambda t: (t["text"] != "") | (t["role"] == "assistant")))
+        turns = F.when(F.col("_chat_mapping") == i, each).otherwise(turns)
+    others = [c for c in records.columns if c != "turns"]
+    return known.select(*[F.col(f"`{c}`") for c in others], turns.alias("turns"))
 
 
 def escape(text):
@@ -139,8 +174,10 @@ def render(turned: DataFrame, trained_role: str = "assistant") -> DataFrame:
     A turn is ``<|turn|>role``, a line feed, the escaped text, ``<|end|>`` and a
     line feed. ``loss_mask`` lists the stretches of ``formatted`` that are trained
     on, as struct ``turn, begin, length``: ``length`` code points (escapes
-    included) from the ``begin``-th behind that turn's marker. Null turns give an
-    empty string and mask.
+    included) from the ``begin``-th behind that turn's marker. Null turns, as
+    those of an unknown layout, and empty ones give an empty string and mask.
+    Further columns pass through; repeated rows are alike; an empty table gives
+    an empty one.
     """
     text = F.transform("turns", lambda t: F.struct(_role_out(t["role"]).alias("r"), escape(t["text"]).alias("t"), t["role"].alias("role")))
     rows = turned.withColumn("_parts", F.coalesce(text, F.array().cast("array<struct<r:string,t:string,role:string>>")))
@@ -157,7 +194,11 @@ def render(turned: DataFrame, trained_role: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds ``read_turns`` and ``loss_texts`` (unescaped, by the mask), from ``formatted`` and ``loss_mask`` alone."""
+    """Adds ``read_turns`` and ``loss_texts`` (unescaped, by the mask), from ``formatted`` and ``loss_mask`` alone.
+
+    An empty string has neither turns nor texts. Further columns pass through;
+    repeated rows are alike; an empty table gives an empty one.
+    """
     cut = F.filter(F.split("formatted", "<\\|turn\\|>"), lambda s: s != "")
     rows = formatted.withColumn("_cut", cut)
     turns = F.transform(

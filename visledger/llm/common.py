@@ -1,50 +1,21 @@
-"""Helpers shared by the training-data operators: shared storage and components."""
+"""Helpers shared by the training-data operators: shared storage, joins and components."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL_FALLBACK: dict[str, str] = {}
+from ..storage import forget, materialize, new_path, shared_dir  # noqa: F401  (used by the operators)
 
 #: Rows below which a table of ids or keys may be broadcast (8 to 40 bytes a row).
 BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (as in tests) a temporary folder of this
-    machine takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _LOCAL_FALLBACK.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: its lineage ends there."""
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared storage through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: A key with more than one in so many rows is hot; there are fewer such keys than this.
+HOT_SHARE = 1000
+#: Parts that the rows of a hot key are dealt to.
+HOT_PARTS = 64
 
 
 def open_shared(uri: str, mode: str):
@@ -90,6 +61,34 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def with_row_key(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written with a number for each row, unlike all others, and that column's name (one that ``df`` hasn't)."""
+    name = "_row"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), tag), name
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The keys of ``counts`` with more than one in ``HOT_SHARE`` of all rows: fewer than ``HOT_SHARE``, whatever the input."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) * F.lit(HOT_SHARE) > F.lit(total)).select(*keys)
+
+
+def skewed_join(many: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few`` (one row a key) by ``keys``; rows of ``hot`` keys are dealt to ``HOT_PARTS`` parts by a hash of ``spread``.
+
+    ``hot`` is a table of :func:`hot_keys`, so that it may be broadcast. Only the
+    rows of ``few`` that have hot keys are repeated.
+    """
+    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
+    left = many.join(mark, keys, "left").withColumn("_part", part).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = few.join(mark, keys, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
 def _mixed(col):
     """A reversible shuffling of the bits of a long, so that no input order is the worst one."""
     for shift, right in ((13, False), (7, True), (17, False)) * 3:  # three times, for small ids to reach the high bits
@@ -113,19 +112,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.where("a is not null and b is not null and a <> b")
         .select(_mixed(F.col("a")).alias("a"), _mixed(F.col("b")).alias("b"), F.col("a").alias("ra"), F.col("b").alias("rb"))
     )
-    todo = materialize(todo, "cc-edges")
-    names = todo.select(F.col("a").alias("node"), F.col("ra").alias("raw")).union(todo.select("b", "rb")).distinct()
+    given = materialize(todo, "cc-edges")
+    names = given.select(F.col("a").alias("node"), F.col("ra").alias("raw")).union(given.select("b", "rb")).distinct()
     names = materialize(names, "cc-names")
-    labels = names.select("node", F.col("node").alias("root"))
-    todo = todo.select("a", "b")
+    labels, held = names.select("node", F.col("node").alias("root")), None
+    todo, edges_held = given.select("a", "b"), given
     for _ in range(max_rounds):
         if todo.isEmpty():
             break
         both = todo.union(todo.select("b", "a"))
         point = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
-        point = materialize(point, "cc-point")
-        up = point.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        point = materialize(point.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "cc-jump")
+        first = materialize(point, "cc-point")
+        up = first.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+        point = materialize(first.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "cc-jump")
         pa = point.select(F.col("v").alias("a"), F.col("p").alias("na"))
         pb = point.select(F.col("v").alias("b"), F.col("p").alias("nb"))
         todo = materialize(
@@ -135,12 +134,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         step = point.select(F.col("v").alias("root"), F.col("p").alias("next"))
         labels = materialize(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "cc-labels")
+        forget(first, point, edges_held, held)
+        held, edges_held = labels, todo
     else:
         raise RuntimeError("components did not settle")
     raw = names.select(F.col("node").alias("root"), F.col("raw").alias("root_raw"))
-    return (
-        labels.join(names, "node").join(raw, "root").select(F.col("raw").alias("node"), F.col("root_raw").alias("root"))
-    )
+    found = labels.join(names, "node").join(raw, "root").select(F.col("raw").alias("node"), F.col("root_raw").alias("root"))
+    found = materialize(found, "cc-found")
+    forget(names, edges_held, held)
+    return found
 
 
 def ascii_lower_words(text: bytes) -> list[bytes]:

@@ -13,17 +13,21 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, forget, hot_keys, materialize, skewed_join
 
 NEAREST = 8
 SHARED = 2
-#: Reference points: four times the root of the number of vectors, within these bounds.
-PIVOTS = (16, 4096)
+#: Reference points: four times the root of the number of vectors, within these bounds. The upper one (reached at a
+#: thousand million vectors) bounds what is broadcast: so many vectors.
+PIVOTS = (16, 1 << 17)
 #: Vectors of a list that are compared at a time; longer lists are taken in pairs of such blocks.
-BLOCK = 1536
+BLOCK = 6144
+#: Rows of a block whose cosines are held at a time.
+STRIPE = 256
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
@@ -42,15 +46,18 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
 def _pivots(kinds: DataFrame, n: int) -> np.ndarray | None:
     """A bounded sample of unit vectors, by hash; all of the commonest length."""
     want = min(PIVOTS[1], max(PIVOTS[0], math.ceil(4 * math.sqrt(n))))
-    rate = int(min(1.0, 2.0 * want / max(1, n)) * 1_000_000)
-    drawn = kinds.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < rate).select("v").limit(4 * want).collect()
-    rows = [np.array(r["v"]) for r in drawn]
-    if not rows:
+    rate = min(1.0, 1.2 * want / max(1, n) + 1e-12)
+    draw = F.shiftrightunsigned(F.xxhash64("v"), 11) / float(1 << 53)
+    drawn = kinds.where(draw < rate).select(F.transform("v", lambda x: x).alias("v")).limit(2 * want).toArrow().column("v")
+    sizes = np.asarray(pc.list_value_length(drawn))
+    if not len(sizes):
         return None
-    size = max({len(r) for r in rows}, key=[len(r) for r in rows].count)
-    rows = sorted((r for r in rows if len(r) == size), key=lambda r: r.tolist())[:: max(1, len(rows) // want)][:want]
-    top = np.stack(rows)
-    top /= np.abs(top).max(1, keepdims=True)
+    size = int(np.bincount(sizes).argmax())
+    kept = drawn.filter(pc.equal(pc.list_value_length(drawn), size)).combine_chunks()
+    top = np.asarray(pc.list_flatten(kept), np.float64).reshape(-1, size)
+    top = top[np.lexsort(top.T[::-1])]
+    top = top[:: max(1, len(top) // want)][:want]
+    top = top / np.abs(top).max(1, keepdims=True)
     return top / np.linalg.norm(top, axis=1, keepdims=True)
 
 
@@ -91,45 +98,46 @@ def describe(kinds: DataFrame, pivots: np.ndarray | None) -> DataFrame:
     return kinds.select("class", "v", "n").mapInArrow(run, "class long, n long, unit binary, perm array<int>")
 
 
-def _matrix(perms, ids: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(perms), len(ids)), np.float32)
-    for i, p in enumerate(perms):
-        out[i, np.searchsorted(ids, p)] = 1
-    return out
+def _merge(label: np.ndarray, i: int, near: np.ndarray) -> None:
+    """Give the groups of row ``i`` and of the rows ``near`` the least of their labels."""
+    labels = label[near]
+    low, high = min(int(labels.min()), int(label[i])), max(int(labels.max()), int(label[i]))
+    if low != high:
+        label[np.isin(label, np.append(labels, label[i]))] = low
 
 
 def _compare(threshold: float, shared: int):
-    """Verified links within a list, or between two of its blocks: counts of each vector and a spanning forest."""
+    """Verified links within a list, or between two of its blocks: counts of each vector and a spanning forest.
+
+    Of the pairs whose cosine reaches the threshold, those count here that share
+    ``shared`` pivots of which the least is the list's.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pivot, one, two = (int(pdf[c].iloc[0]) for c in ("pivot", "one", "two"))
         pdf = pdf.sort_values(["block", "class"], kind="stable")
         x = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
-        perms = [np.asarray(p) for p in pdf["perm"]]
-        ids = np.unique(np.concatenate(perms))
-        has, less = _matrix(perms, ids), int(np.searchsorted(ids, pivot))
-        cls, n = pdf["class"].to_numpy(), pdf["n"].to_numpy()
-        block = pdf["block"].to_numpy()
+        perms = np.stack([np.asarray(p, np.int32) for p in pdf["perm"]])
+        cls, n, block = pdf["class"].to_numpy(), pdf["n"].to_numpy(), pdf["block"].to_numpy()
         a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        ok = x[a] @ x[b].T >= threshold
-        both = has[a] @ has[b].T
-        ok &= both >= min(shared, both.max(initial=0))
-        ok &= has[a][:, :less] @ has[b][:, :less].T == 0
-        if one == two:
-            np.fill_diagonal(ok, False)
-        links = np.zeros(len(pdf), np.int64)
-        links[a] += ok @ n[b]
-        if one != two:
-            links[b] += ok.T @ n[a]
-        label = np.arange(len(pdf))
-        while ok.any():  # least label among neighbours until nothing changes
-            far = len(pdf)
-            new = label.copy()
-            new[a] = np.minimum(new[a], np.where(ok, label[b][None, :], far).min(1))
-            new[b] = np.minimum(new[b], np.where(ok, new[a][:, None], far).min(0))
-            if (new == label).all():
-                break
-            label = new
+        links, label = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        right, right_perms = x[b].T, perms[b]
+        for lo in range(0, len(a), STRIPE):
+            rows = a[lo : lo + STRIPE]
+            for i, near in zip(rows.tolist(), x[rows] @ right >= threshold):
+                j = np.flatnonzero(near)
+                j = j[b[j] != i]
+                if not len(j):
+                    continue
+                same = perms[i][:, None, None] == right_perms[j].T[None, :, :]  # own pivots, theirs, candidates
+                both = same.any(1)
+                least = np.where(both, perms[i][:, None], np.iinfo(np.int32).max).min(0)
+                j = j[(both.sum(0) >= shared) & (least == pivot)]
+                if len(j):
+                    links[i] += n[b[j]].sum()
+                    if one != two:
+                        links[b[j]] += n[i]
+                    _merge(label, i, b[j])
         used = links > 0
         return pd.DataFrame({"class": cls[used], "links": links[used], "to": cls[label[used]]})
 
@@ -155,11 +163,12 @@ def near_duplicates(
     of its own; a task returns counts and a spanning forest, not pairs.
     """
     rows, kinds = _classes(vectors, id_col, vector_col)
-    n = kinds.count()
-    index = materialize(describe(kinds, _pivots(kinds, n)), "embed-index")
+    pivots = _pivots(kinds, kinds.count())
+    shared = min(shared, NEAREST, 2 if pivots is None else len(pivots))  # as many as any description has
+    index = materialize(describe(kinds, pivots), "embed-index")
     lists = index.select("class", F.explode("perm").alias("pivot"))
     sizes = lists.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    posted = index.withColumn("pivot", F.explode("perm")).join(F.broadcast(sizes), "pivot")  # at most PIVOTS[1] lists
+    posted = index.withColumn("pivot", F.explode("perm")).join(F.broadcast(sizes), "pivot")  # a row for each of PIVOTS at most, and each other length
     posted = posted.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     posted = posted.withColumn("other", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
@@ -167,16 +176,21 @@ def near_duplicates(
         _compare(threshold, shared), "class long, links long, to long"
     )
     found = materialize(found, "embed-links")
+    forget(index)
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("class").alias("a"), F.col("to").alias("b")))
-    comps = materialize(comps.select(F.col("node").alias("class"), "root"), "embed-comps")
-    least = kinds.join(comps, "class").groupBy("root").agg(F.min("least").alias("comp"))
-    known = kinds.join(counts, "class", "left").join(comps, "class", "left").join(least, "root", "left")
+    of = comps.select(F.col("node").alias("class"), "root").join(kinds.select("class", "least"), "class")
+    roots = materialize(of.groupBy("root").agg(F.min("least").alias("comp"), F.count("*").alias("n")), "embed-roots")
+    comp = skewed_join(of.select("class", "root"), roots.select("root", "comp"), ["root"], hot_keys(roots, ["root"]), "class").select("class", "comp")
+    known = kinds.join(counts, "class", "left").join(comp, "class", "left")
     known = known.select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("comp", "least").alias("component_id")
+        F.col("v").alias("kv"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("comp", "least").alias("component_id"), "n",
     )
-    known = known.withColumnRenamed("v", "kv")
-    out = rows.join(known, F.col("v") == F.col("kv"), "left")
+    known = materialize(known, "embed-known")
+    hot = hot_keys(known, ["kv"])
+    usable = skewed_join(rows.where("v is not null").withColumnRenamed("v", "kv"), known.drop("n"), ["kv"], hot, "id")
+    alone = rows.where("v is null").select("id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast(known.schema["component_id"].dataType).alias("component_id"))
+    out = usable.select("id", "n_links", "component_id").unionByName(alone)
     comp = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"),

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, maybe_broadcast, with_row_key
 
 #: Hash buckets of the documents of one length, so that no length is ranked in one task.
 SALTS = 4096
@@ -160,13 +160,13 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix(
     docs: DataFrame, weights: tuple = (1, 2, 3), share: float = 1.0, seed: int = 1,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: str | None = None,
 ) -> DataFrame:
     """How often the mix takes each document.
 
     Returns one row per input row: the id column, ``size`` (words), ``source``,
     ``source_size``, ``target`` (words, of its source), ``copies`` (0 to 3) and
-    ``taken`` (``copies * size``). A null source is a source; null and empty
+    ``taken`` (``copies * size``); with ``keep`` also that column. A null source is a source; null and empty
     texts have size 0, and are taken as often as their source goes round whole;
     null ids are hashed like any other. Repeated rows are documents of their own,
     taken alike or not as their rank falls. An empty table gives an empty one.
@@ -176,7 +176,8 @@ def mix(
     ranked in ``SALTS`` hash buckets, of which all but one are taken whole or not
     at all. One task plans a source from its counts by length.
     """
-    rows = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"))
+    more = [F.col(keep).alias("kept_col")] if keep else []
+    rows = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), *more)
     draw = F.xxhash64(F.lit(seed), "id", "size")
     rows = materialize(rows.withColumn("draw", draw), "mix-sizes").withColumn("salt", F.pmod("draw", F.lit(SALTS)))
     by_salt = materialize(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-salts")
@@ -194,27 +195,28 @@ def mix(
         F.col("source").alias("ks"), F.col("size").alias("kz"), F.col("salt").alias("kk"), "source_size", "target", "rounds",
         F.greatest(F.lit(0), F.least("n", F.col("more") - F.col("before"))).alias("more"),
     )
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "id")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "id", *(["kept_col"] if keep else []))))
     chosen = ranked.join(
         salts, F.col("source").eqNullSafe(F.col("ks")) & (F.col("size") == F.col("kz")) & (F.col("salt") == F.col("kk"))
     )
     copies = F.col("rounds") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)
     return chosen.select(
         F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.cast("int").alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"),
+        (copies * F.col("size")).cast("long").alias("taken"), *([F.col("kept_col").alias(keep)] if keep else []),
     )
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` repeated as often as the mix takes them.
+    """The rows of ``docs`` repeated as often as the mix takes each of them.
 
-    Rows that share an id are taken as often as the first of them; null ids are
-    matched with each other.
+    Rows are told apart by numbers of their own, so rows that share an id, and
+    those without one, are taken each as :func:`mix` says, and the words of the
+    result are the sum of its ``taken``. Further columns pass through, whatever
+    their names; an empty table gives an empty one.
     """
-    from .common import maybe_broadcast
-
-    taken = mix(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max("copies").alias("copies"))
-    taken = materialize(taken.where("copies > 0").select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_mix_copies")), "mix-taken")
-    joined = docs.join(maybe_broadcast(taken), docs[id_col].eqNullSafe(F.col("_mix_id")))
-    again = joined.withColumn("_mix_again", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    rows, row = with_row_key(docs, "mix-input")
+    copies = f"{row}_copies"
+    taken = mix(rows, id_col=id_col, keep=row, **options).where("copies > 0").select(row, F.col("copies").alias(copies))
+    taken = materialize(taken, "mix-taken")
+    again = rows.join(maybe_broadcast(taken), row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return again.select(*docs.columns)

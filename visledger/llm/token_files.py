@@ -13,6 +13,7 @@ of documents gives their ids and lengths::
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -212,13 +213,25 @@ _OTHER = re.compile("[^\x00-ɏ]")
 _loaded: dict[str, "WordEncoder"] = {}
 
 
+def _splits_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE without anything that works across a space."""
+    model, before = tokenizer["model"], tokenizer.get("pre_tokenizer") or {}
+    plain = not tokenizer.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    kept = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges") or model.get("byte_fallback"))
+    whole = not (tokenizer.get("truncation") or tokenizer.get("padding"))
+    added = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in tokenizer.get("added_tokens") or [])
+    return plain and model.get("type") == "BPE" and kept and whole and added
+
+
 class WordEncoder:
     """A byte-level BPE tokenizer with a memory of words.
 
     Such a tokenizer treats each pre-token alone, and a pre-token never spans
     the place before a single space, so ids of space-separated pieces are
     remembered and joined. Texts for which that does not hold (a space between
-    white space, or characters outside Latin script) are encoded whole.
+    white space, characters outside Latin script, or the content of a special
+    token, which the tokenizer takes for that token) are encoded whole, and so
+    is every text where the file is of another kind.
     """
 
     def __init__(self, path: str):
@@ -226,7 +239,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.by_words = _splits_at_spaces(json.loads(self.tok.to_str()))
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added)).search if added else lambda text: None
         self.model = self.tok.model
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -275,7 +290,7 @@ class WordEncoder:
             usual = []
             for i in range(lo, min(lo + TOGETHER, len(texts))):
                 text = texts[i]
-                if (not text.isascii() and _OTHER.search(text)) or _ODD_SPACE.search(text):
+                if not self.by_words or (not text.isascii() and _OTHER.search(text)) or _ODD_SPACE.search(text) or self.special(text):
                     out[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
                 else:
                     usual.append(i)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_keys, materialize, skewed_join
 
 #: Ranges of sorted keys that are swept apart.
 RANGES = 64
@@ -54,13 +54,14 @@ def judge(
     (``default`` if none). Null URLs and those without ``://`` have an empty host
     and path and no rule; a URL without a path fits no rule whose path is ``/``.
     Rules with a null or empty host or verdict are ignored, a null path is empty;
-    of repeated rules with several verdicts the least applies. Hosts, of
-    which a hot one may have a third of the pages, are swept once each.
+    of repeated rules with several verdicts the least applies. Hosts are swept
+    once each; the pages of a hot one, which may have a third of them, are dealt
+    to many parts when the swept rules are joined.
     """
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    hosts = parsed.where("host <> ''").groupBy("host").agg(F.lit(1).alias("one"))
-    hosts = materialize(hosts.select("host", host_key(F.col("host")).alias("key")), "url-hosts")
+    hosts = parsed.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
+    hosts = materialize(hosts.select("host", host_key(F.col("host")).alias("key"), "n"), "url-hosts")
 
     clean = rules.select(
         F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"
@@ -100,7 +101,7 @@ def judge(
 
     fits = F.filter("active", lambda r: F.substring(F.col("path"), F.lit(1), F.length(r["path"])) == r["path"])
     best = F.array_max(F.coalesce(fits, empty))
-    joined = parsed.join(stacks, "host", "left").withColumn("best", best)
+    joined = skewed_join(parsed, stacks, ["host"], hot_keys(hosts, ["host"]), "id", "left").withColumn("best", best)
     return joined.select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, open_shared, rename_shared
+from .common import hot_keys, materialize, new_path, open_shared, rename_shared, skewed_join
 
 CHUNK = 256 << 10
 #: Equal payloads of at least so many bytes are written once and revisited.
@@ -27,6 +27,8 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     ``sha1`` covers the payload up to and including the row's chunk; ``n_bytes``
     is the whole payload's length. A null or empty payload is one empty chunk.
+    Null ids and URLs stay null; repeated rows are records of their own; further
+    columns are not read; an empty table gives an empty one.
     """
     rows = pages.select(
         F.monotonically_increasing_id().alias("record"), F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"),
@@ -61,11 +63,14 @@ def plan_revisits(chunks: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFr
     """Rows ``record, to_record, to_page`` for each record that revisits another of equal payload.
 
     Of equal payloads of at least ``least_bytes``, the record with the largest
-    page id (null least; of equal ones the last record) is written out.
+    page id (null least; of equal ones the last record) is written out. The
+    records of a payload that very many share are dealt to many parts.
     """
-    whole = chunks.where(F.col("last") & (F.col("n_bytes") >= least_bytes)).select("record", "page", "n_bytes", "sha1")
-    first = whole.groupBy("n_bytes", "sha1").agg(F.max(F.struct("page", "record")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    joined = whole.join(first, ["n_bytes", "sha1"]).where(F.col("record") != F.col("kept.record"))
+    keys = ["n_bytes", "sha1"]
+    whole = chunks.where(F.col("last") & (F.col("n_bytes") >= least_bytes)).select("record", "page", *keys)
+    first = whole.groupBy(*keys).agg(F.max(F.struct("page", "record")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, "warc-repeated")
+    joined = skewed_join(whole, first.drop("n"), keys, hot_keys(first, keys), "record").where(F.col("record") != F.col("kept.record"))
     return joined.select("record", F.col("kept.record").alias("to_record"), F.col("kept.page").alias("to_page"))
 
 
