@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .manifest import TABLES, Manifest
 from .operators import check, curves, edit, match, select, setops, stats
+from .operators import evaluate as scoring
 from .sources import documents
 
 
@@ -30,8 +31,8 @@ def show(df: DataFrame, rows: int = 1000) -> None:
         print(r)
 
 
-def evaluate(true: Manifest, pred: Manifest, thresholds: tuple = (0.5,), compat: str = "mutex", fallback: str | None = "file_name") -> DataFrame:
-    """Scores of predicted against true boxes: ``iou_thresh, cls, ap, auc``, class by name; images are matched by name."""
+def evaluate(true: Manifest, pred: Manifest, thresholds: tuple = (0.5,), compat: str = "mutex", fallback: str | None = "file_name", ranges: tuple = scoring.AREA_RANGES) -> DataFrame:
+    """Scores of predicted against true boxes, class by name (null: whatever the class); images are matched by name."""
     def side(m: Manifest) -> DataFrame:
         v = m.videos.select(F.col("id").alias("video_id"), F.col("name").alias("video"))
         return m.images.join(v, "video_id", "left").select("id", "name", "file_name", "video")
@@ -41,20 +42,13 @@ def evaluate(true: Manifest, pred: Manifest, thresholds: tuple = (0.5,), compat:
 
     def dets(m: Manifest, gid: str) -> DataFrame:
         ids = m.categories.select(F.col("id").alias("cls"), "name").join(classes.withColumnRenamed("cls", "new"), "name").select("cls", "new")
-        d = match.detections(m).join(pairs.select(F.col(gid).alias("gid"), F.col("gid1").alias("pair")), "gid").join(F.broadcast(ids), "cls", "left")
+        d = match.detections(m).join(pairs.select(F.col(gid).alias("gid"), F.col("gid1").alias("pair")), "gid").join(ids, "cls", "left")
         return d.select(F.col("pair").alias("gid"), "id", F.col("new").alias("cls"), "bbox", "score", "weight")
 
-    vectors = match.confusion_vectors(dets(true, "gid1"), dets(pred, "gid2"), thresholds, compat)
-    found = vectors.where(F.col("pred") >= 0).select(
-        "iou_thresh", F.col("pred").alias("cls"), (F.col("true") == F.col("pred")).cast("long").alias("is_true"), F.col("score").alias("pred_score"), "weight"
-    )
-    missed = vectors.where((F.col("true") >= 0) & (F.col("true") != F.col("pred"))).select(
-        "iou_thresh", F.col("true").alias("cls"), F.lit(1).cast("long").alias("is_true"), F.lit(curves.NEVER_SEEN).alias("pred_score"), "weight"
-    )
-    keys = ["iou_thresh", "cls"]
-    m = curves.metrics(curves.curve(found.unionByName(missed), keys), keys)
     names = classes.groupBy("cls").agg(F.min("name").alias("name"))
-    return curves.average_precision(m, keys).join(curves.auc(m, keys), keys).join(F.broadcast(names), "cls").select("iou_thresh", "name", "ap", "auc")
+    rest = curves.rest_classes(names.withColumnRenamed("cls", "id"))
+    found = scoring.evaluate(dets(true, "gid1"), dets(pred, "gid2"), rest, thresholds, ranges, compat)
+    return found.join(names, "cls", "left").drop("cls")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:

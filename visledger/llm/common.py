@@ -12,6 +12,8 @@ from ..storage import forget, materialize, new_path, shared_dir  # noqa: F401  (
 
 #: Rows below which a table of ids or keys may be broadcast (8 to 40 bytes a row).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that a Python worker gets at a time (at least a row).
+BATCH_BYTES = 4 << 20
 #: A key with more than one in so many rows is hot; there are fewer such keys than this.
 HOT_SHARE = 1000
 #: Parts that the rows of a hot key are dealt to.
@@ -61,6 +63,14 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, for a pass through Python workers: texts may be long, so their session hands over ``BATCH_BYTES`` at a time unless it says otherwise."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def with_row_key(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` written with a number for each row, unlike all others, and that column's name (one that ``df`` hasn't)."""
     name = "_row"

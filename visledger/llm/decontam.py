@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, with_row_key
+from .common import forget, materialize, small_batches, with_row_key
 
 WINDOW = 10
 BLOCK = 2
@@ -181,7 +181,7 @@ def _portions(bench: DataFrame, item_col: str, text_col: str, window: int) -> tu
                 ["item", "size", "n", "words"],
             )
 
-    cuts = materialize(rows.mapInArrow(pieces, "item string, size int, n long, words binary").distinct(), "decontam-pieces")
+    cuts = materialize(small_batches(rows).mapInArrow(pieces, "item string, size int, n long, words binary").distinct(), "decontam-pieces")
     total = cuts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     different = cuts.select(F.explode(F.split(F.col("words").cast("string"), " ")).alias("w")).agg(F.approx_count_distinct("w")).first()[0]
     letters = total[1] / max(1, total[0])
@@ -231,7 +231,7 @@ def _search(rows: DataFrame, shared, everything: bool) -> DataFrame:
                 ["id", "n_words", "spans", "items"],
             )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_FOUND}")
+    return small_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {_FOUND}")
 
 
 def find_overlap(
@@ -311,7 +311,7 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id
     built, n = _portions(bench, item_col, bench_col, window)
     for k in range(n):
         shared = _load(built, k)
-        left = docs.mapInArrow(_clean(shared, text_col), docs.schema)
+        left = small_batches(docs).mapInArrow(_clean(shared, text_col), docs.schema)
         if k == n - 1:
             return left
         last, docs = docs if k else None, materialize(left, "decontam-left")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize
+from .common import forget, materialize, small_batches
 
 MAX_GRAM = 5
 #: Bound of the labelled rows that are learned from: expected documents of each language. All that they hold is counted and kept.
@@ -88,7 +88,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return {"langs": [], "w": (pa.array([], pa.string()), np.zeros((0, 0), np.float32)), "g": (pa.array([], pa.string()), np.zeros((0, 0), np.float32))}
     chance = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, SAMPLE_DOCS / sizes[lang]))])[F.col("lang")]
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    words = rows.where(draw < chance).select("lang", "text").mapInArrow(_count, "lang string, key string, n long")
+    words = small_batches(rows.where(draw < chance).select("lang", "text")).mapInArrow(_count, "lang string, key string, n long")
     words = materialize(words.groupBy("lang", "key").agg(F.sum("n").alias("n")), "lang-words")
     grams = words.select("lang", F.explode(_gram_columns()).alias("key"), "n").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     model = {"langs": langs}
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             )
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -203,4 +203,4 @@ def keep_known(docs: DataFrame, model: dict, text_col: str = "text", least: floa
                 keep.append(lang != UNKNOWN and score >= least)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, connected_components, forget, hot_keys, materialize, maybe_broadcast, skewed_join, with_row_key
+from .common import ascii_lower_words, connected_components, forget, hot_keys, materialize, maybe_broadcast, skewed_join, small_batches, with_row_key
 
 SHINGLE = 3
 SEED = 42
@@ -54,11 +54,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()]
+            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, fp long")
+    return small_batches(rows).mapInArrow(run, f"id {id_type}, fp long")
 
 
 def _variants(fps: DataFrame) -> DataFrame:

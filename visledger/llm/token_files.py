@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, open_shared, rename_shared
+from .common import materialize, new_path, open_shared, rename_shared, small_batches
 
 MAGIC = b"S8BTOK01"
 BLOCK = 4096
@@ -351,8 +351,6 @@ def write_tokens(
     with equal ids stand in the order of their texts' hashes, each with its own
     entry. An empty table gives a manifest without rows.
     """
-    from .common import materialize
-
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -382,7 +380,7 @@ def write_tokens(
                 pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
             )
 
-    manifest = materialize(rows.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "tokens-manifest")
+    manifest = materialize(small_batches(rows).mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "tokens-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
 

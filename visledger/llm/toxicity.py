@@ -18,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import maybe_broadcast, small_batches
+
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
 #: Words of a passage; passages start at every word.
 PASSAGE = 12
-#: Bounds of the training sample: documents of each label (expected), and the longest text learned from.
+#: Bounds of the training sample: documents of each label (expected, and four times as many rows at most), whatever
+#: their length; of a text with more characters than STRETCH a stretch of so many from a place chosen by a hash.
 SAMPLE_DOCS = 1200
-SAMPLE_CHARS = 12_000
+STRETCH = 250_000
 #: Words whose scores a worker remembers.
 MEMORY = 400_000
 
@@ -206,17 +209,22 @@ def fit(
     """Train on documents with a label 0 or 1; ``None`` where a label is missing altogether.
 
     The sample is an expected ``SAMPLE_DOCS`` documents of each label chosen by a
-    hash of their ids, of texts up to ``SAMPLE_CHARS`` characters. Null texts,
-    null ids and other labels are passed over.
+    hash of their ids, short and long ones alike. Null texts, null ids and other
+    labels are passed over; an id with both labels is toxic; repeated ids of
+    documents are rows of their own, up to the bound of all.
     """
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
+    marked = marked.groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
     share = F.when(F.col("y") == 1, F.lit(min(1.0, SAMPLE_DOCS / sizes[1]))).otherwise(min(1.0, SAMPLE_DOCS / sizes[0]))
     drawn = marked.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1e6 < share)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(drawn), "id").orderBy("id", "y", "t").collect()  # 2 x SAMPLE_DOCS rows at most, as expected
+    place = F.pmod(F.xxhash64("t", F.lit(seed)), F.greatest(F.lit(1), F.length("t") - STRETCH + 1)).cast("int") + 1
+    part = F.when(F.length("t") > STRETCH, F.substring(F.col("t"), place, F.lit(STRETCH))).otherwise(F.col("t"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
+    rows = texts.join(maybe_broadcast(drawn), "id").select("id", "y", part.alias("t"), F.xxhash64("id", "t", F.lit(seed)).alias("h"))
+    rows = sorted(rows.orderBy("h").limit(4 * SAMPLE_DOCS).collect(), key=lambda r: (r["id"], r["y"], r["t"]))
     return train([r["t"] for r in rows], [r["y"] for r in rows], seed)
 
 
@@ -236,4 +244,4 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], [id_col, "score"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return small_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, score double")

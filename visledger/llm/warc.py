@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialize, new_path, open_shared, rename_shared, skewed_join
+from .common import hot_keys, materialize, new_path, open_shared, rename_shared, skewed_join, small_batches
 
 CHUNK = 256 << 10
 #: Equal payloads of at least so many bytes are written once and revisited.
@@ -54,7 +54,7 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 out.append(running.hexdigest())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "sha1"])
 
-    return parts.mapInArrow(
+    return small_batches(parts).mapInArrow(
         digest, "record long, page long, url string, chunk_no int, last boolean, n_bytes long, data binary, sha1 string"
     )
 
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, chunk: int = CHU
             rename_shared(tried, final)
             yield pa.RecordBatch.from_pydict({"path": [final], "n_records": [n]}, pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
 
-    return materialize(rows.mapInArrow(run, "path string, n_records long"), "warc-manifest")
+    return materialize(small_batches(rows).mapInArrow(run, "path string, n_records long"), "warc-manifest")
 
 
 class _Members:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import curves as E
+from ..operators import evaluate
 from ..operators import match as X
 from ..operators import stats as A
 from ..operators import tree as C
 from ..sources import star
+from ..storage import materialize
 from ._register import registrar
 
 QUERIES, SQL, query = registrar()
@@ -128,59 +132,141 @@ def m11_classless(spark, sf):
     return b.groupBy("is_true").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-_OVR = """, ovr AS (SELECT p AS cls, CAST(t = p AS BIGINT) AS is_true, score, weight FROM cfsn WHERE p >= 0
-  UNION ALL SELECT t, 1, CAST('-inf' AS DOUBLE), weight FROM cfsn WHERE t >= 0 AND t <> p)"""
-_CURVE = """, steps AS (SELECT cls, score AS thresh, sum(weight * is_true) AS t, sum(weight * (1 - is_true)) AS f FROM ovr GROUP BY 1, 2),
-curve AS (SELECT cls, thresh, sum(t) OVER w AS tp, sum(f) OVER w AS fp, sum(t) OVER (PARTITION BY cls) AS pos, sum(f) OVER (PARTITION BY cls) AS neg
-  FROM steps WINDOW w AS (PARTITION BY cls ORDER BY thresh DESC)),
-m AS (SELECT *, CASE WHEN isfinite(thresh) THEN coalesce(tp / nullif(tp + fp, 0), 0) ELSE 0 END AS raw, coalesce(tp / nullif(pos, 0), 1) AS tpr, coalesce(fp / nullif(neg, 0), 0) AS fpr FROM curve),
-e AS (SELECT *, max(raw) OVER (PARTITION BY cls ORDER BY thresh DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ppv FROM m)"""
+_OVR = """, ovr AS (SELECT c.id AS cls, CAST(coalesce(t = c.id, false) AS BIGINT) AS is_true, CASE WHEN p = c.id THEN score ELSE CAST('-inf' AS DOUBLE) END AS score, weight
+  FROM cfsn CROSS JOIN categories c WHERE c.name NOT IN ('background', 'ignore'))"""
+
+
+def _curves(keys: str) -> str:
+    """Curves of the rows of ``ovr`` in SQL: counts, precision with its envelope, recall and the rest."""
+    return f""", steps AS (SELECT {keys}, score AS thresh, sum(weight * is_true) AS t, sum(weight * (1 - is_true)) AS f FROM ovr GROUP BY {keys}, score),
+curve AS (SELECT {keys}, thresh, sum(t) OVER w AS tp, CASE WHEN isfinite(thresh) THEN sum(f) OVER w ELSE CAST('inf' AS DOUBLE) END AS fp, sum(t) OVER k AS pos, sum(f) OVER k AS neg
+  FROM steps WINDOW w AS (PARTITION BY {keys} ORDER BY thresh DESC), k AS (PARTITION BY {keys})),
+m AS (SELECT *, CASE WHEN isfinite(thresh) THEN coalesce(tp / nullif(tp + fp, 0), 0) ELSE 0 END AS raw, CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS tpr,
+  CASE WHEN isfinite(thresh) THEN fp / coalesce(nullif(max(CASE WHEN isfinite(thresh) THEN fp END) OVER (PARTITION BY {keys}), 0), 1) END AS fpr,
+  CASE WHEN isfinite(thresh) THEN coalesce((neg - fp) / nullif(neg, 0), 0) END AS tnr,
+  CASE WHEN isfinite(thresh) THEN coalesce((neg - fp) / nullif(neg - fp + pos - tp, 0), 0) END AS npv,
+  CASE WHEN isfinite(thresh) THEN coalesce((tp + (neg - fp)) / nullif(tp + (neg - fp) + fp + (pos - tp), 0), 0) END AS acc FROM curve),
+e AS (SELECT *, max(raw) OVER (PARTITION BY {keys} ORDER BY thresh DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ppv FROM m),
+d AS (SELECT {keys}, tpr, fpr, tp, pos, thresh, lag(tpr) OVER w AS pt, lag(fpr) OVER w AS pf, ppv FROM e WINDOW w AS (PARTITION BY {keys} ORDER BY thresh DESC)),
+areas AS (SELECT {keys}, CASE WHEN max(pos) > 0 THEN CASE WHEN max(fpr) = min(fpr) THEN max(tpr - fpr) ELSE sum((fpr - pf) * (tpr + pt) / 2) END END AS auc FROM d WHERE isfinite(thresh) GROUP BY {keys}),
+levels AS (SELECT {keys}, i, max(ppv) AS p FROM e, range(101) r(i) WHERE tp * 100 >= i * pos AND pos > 0 GROUP BY {keys}, i),
+means AS (SELECT {keys}, sum(p) / 101 AS ap FROM levels GROUP BY {keys}),
+scores AS (SELECT {', '.join('k.' + x.strip() for x in keys.split(','))}, CASE WHEN seen THEN coalesce(ap, 0) END AS ap, auc, sklish
+  FROM (SELECT {keys}, bool_or(isfinite(thresh)) AS seen, sum((tpr - coalesce(pt, 0)) * ppv) AS sklish FROM d GROUP BY {keys}) k LEFT JOIN means USING ({keys}) LEFT JOIN areas USING ({keys}))"""
+
+
+_CURVE = _curves("cls")
+
+
+def _units(col: str) -> str:
+    return f"coalesce(CAST(floor({col} * 1e5 + 1e-6) AS BIGINT), -1)"
+
+
+def units(col):
+    """A score in whole units of a hundred thousandth; -1 where it is undefined."""
+    return F.coalesce(whole(F.col(col), 5), F.lit(-1).cast("long"))
 
 
 def _ovr(spark, sf):
-    return E.one_vs_rest(vectors(spark, sf), star.categories(spark, sf).select(F.col("id").alias("cls")))
+    return E.one_vs_rest(vectors(spark, sf), E.rest_classes(star.categories(spark, sf)))
+
+
+def _measured(spark, sf):
+    """The curves of all classes with their metrics, made once for all that is read off them."""
+    return materialize(E.metrics(E.curve(_ovr(spark, sf), ["cls"]), ["cls"]), "curves")
+
+
+def _finite(col: str):
+    return F.when(F.col("thresh") == E.NEVER_SEEN, -1.0).otherwise(F.col(col)).alias(col)
 
 
 @query(f"{_MUTEX}{_OVR} SELECT cls, is_true, count(*) AS n, CAST(sum(weight) AS DOUBLE) AS weight FROM ovr GROUP BY 1, 2")
 def m12_one_vs_rest(spark, sf):
-    return _ovr(spark, sf).groupBy("cls", "is_true").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    return _ovr(spark, sf).groupBy("cls", "is_true").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+
+
+@query(f"""{_MUTEX}, ovr AS (SELECT c.id AS cls, CAST(coalesce(t = c.id, false) AS BIGINT) AS is_true, weight,
+  CASE WHEN p = c.id THEN score WHEN p = -1 THEN -1 ELSE (1 - score) / (SELECT count(*) - 1 FROM categories) END AS score FROM cfsn CROSS JOIN categories c)
+SELECT cls, is_true, count(*) AS n, CAST(sum(weight) AS DOUBLE) AS weight, CAST(floor(sum(score) * 1000 + 1e-4) AS BIGINT) AS scores FROM ovr GROUP BY 1, 2""")
+def m12_one_vs_rest_approximate(spark, sf):
+    b = E.one_vs_rest(vectors(spark, sf), E.rest_classes(star.categories(spark, sf)), approx=True)
+    score = F.when(F.col("pred_score") == E.NEVER_SEEN, -1.0).otherwise(F.col("pred_score"))
+    return b.groupBy("cls", "is_true").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.floor(F.sum(score) * 1000 + 1e-4).cast("long").alias("scores"))
 
 
-@query(f"{_MUTEX}{_OVR}{_CURVE} SELECT cls, CASE WHEN isfinite(thresh) THEN thresh ELSE -1 END AS thresh, CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(pos - tp AS DOUBLE) AS fn, CAST(neg - fp AS DOUBLE) AS tn FROM curve")
+@query(f"""{_MUTEX}{_OVR}{_CURVE} SELECT cls, CASE WHEN isfinite(thresh) THEN thresh ELSE -1 END AS thresh, CAST(tp AS DOUBLE) AS tp,
+  CAST(CASE WHEN isfinite(thresh) THEN fp ELSE -1 END AS DOUBLE) AS fp, CAST(pos - tp AS DOUBLE) AS fn, CAST(CASE WHEN isfinite(thresh) THEN neg - fp ELSE -1 END AS DOUBLE) AS tn FROM curve""")
 def m13_curves(spark, sf):
     c = E.curve(_ovr(spark, sf), ["cls"])
-    return c.withColumn("thresh", F.when(F.col("thresh") == E.NEVER_SEEN, -1.0).otherwise(F.col("thresh")))
+    return c.select("cls", _finite("thresh"), "tp", _finite("fp"), "fn", _finite("tn"))
 
 
-@query(f"{_MUTEX}{_OVR}{_CURVE} SELECT cls, CASE WHEN isfinite(thresh) THEN thresh ELSE -1 END AS thresh, round(ppv, 6) AS ppv, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(coalesce(2 * ppv * tpr / nullif(ppv + tpr, 0), 0), 6) AS f1, round(sqrt(ppv * tpr), 6) AS g1 FROM e")
+@query(f"""{_MUTEX}{_OVR}{_CURVE} SELECT cls, CASE WHEN isfinite(thresh) THEN thresh ELSE -1 END AS thresh, round(ppv, 6) AS ppv, round(tpr, 6) AS tpr, round(coalesce(fpr, -1), 6) AS fpr,
+  round(coalesce(2 * ppv * tpr / nullif(ppv + tpr, 0), 0), 6) AS f1, round(sqrt(ppv * tpr), 6) AS g1, round(coalesce(tnr, -1), 6) AS tnr, round(coalesce(npv, -1), 6) AS npv,
+  round(coalesce(acc, -1), 6) AS acc, round(CASE WHEN isfinite(thresh) THEN tpr + tnr - 1 ELSE -1 END, 5) + 0 AS bm, round(CASE WHEN isfinite(thresh) THEN ppv + npv - 1 ELSE -1 END, 5) + 0 AS mk FROM e""")
 def m14_metrics(spark, sf):
     m = E.metrics(E.curve(_ovr(spark, sf), ["cls"]), ["cls"])
-    m = m.withColumn("thresh", F.when(F.col("thresh") == E.NEVER_SEEN, -1.0).otherwise(F.col("thresh")))
-    return m.select("cls", "thresh", *[F.round(c, 6).alias(c) for c in ("ppv", "tpr", "fpr", "f1", "g1")])
+    m = m.select("cls", "ppv", "tpr", "f1", "g1", *[_finite(c) for c in ("fpr", "tnr", "npv", "acc", "bm", "mk", "thresh")])
+    six = [F.round(c, 6).alias(c) for c in ("ppv", "tpr", "fpr", "f1", "g1", "tnr", "npv", "acc")]
+    return m.select("cls", "thresh", *six, *[(F.round(c, 5) + 0.0).alias(c) for c in ("bm", "mk")])
 
 
-@query(f"""{_MUTEX}{_OVR}{_CURVE}, g AS (SELECT cls, coalesce(max(ppv), 0) AS p FROM e, range(101) r(i) WHERE tp * 100 >= i * pos AND pos > 0 GROUP BY cls, i)
-SELECT cls, CAST(floor((CASE WHEN max(pos) > 0 THEN coalesce((SELECT sum(p) FROM g WHERE g.cls = e.cls), 0) / 101 ELSE 0 END) * 1e5 + 1e-6) AS BIGINT) AS ap FROM e GROUP BY cls""")
+@query(f"""{_MUTEX}{_OVR}{_CURVE} SELECT cls, max(CAST(floor((sqrt(ppv * tpr * tnr * npv) - sqrt((1 - ppv) * CASE WHEN pos > 0 THEN (pos - tp) / pos ELSE 0 END * fpr * (1 - npv))) * 1e4 + 1e-3) AS BIGINT)) AS mcc
+FROM e WHERE isfinite(thresh) GROUP BY cls""")
+def m14_best_correlation(spark, sf):
+    m = E.metrics(E.curve(_ovr(spark, sf), ["cls"]), ["cls"])
+    best = E.best_thresholds(m, ["cls"], ("mcc",))
+    return best.select("cls", F.floor(F.col("value") * 1e4 + 1e-3).cast("long").alias("mcc"))
+
+
+@query(f"{_MUTEX}{_OVR}{_CURVE} SELECT cls, {_units('ap')} AS ap FROM scores")
 def m14_average_precision(spark, sf):
     m = E.metrics(E.curve(_ovr(spark, sf), ["cls"]), ["cls"])
-    return E.average_precision(m, ["cls"]).withColumn("ap", whole(F.col("ap"), 5))
+    return E.average_precision(m, ["cls"]).withColumn("ap", units("ap"))
 
 
-@query(f"""{_MUTEX}{_OVR}{_CURVE}, d AS (SELECT cls, tpr, fpr, coalesce(lag(tpr) OVER w, 0) AS pt, coalesce(lag(fpr) OVER w, 0) AS pf, ppv FROM e WINDOW w AS (PARTITION BY cls ORDER BY thresh DESC))
-SELECT cls, CAST(floor((CASE WHEN max(fpr) = min(fpr) THEN max(tpr - fpr) ELSE sum((fpr - pf) * (tpr + pt) / 2) END) * 1e5 + 1e-6) AS BIGINT) AS auc, CAST(floor(sum((tpr - pt) * ppv) * 1e5 + 1e-6) AS BIGINT) AS ap FROM d GROUP BY cls""")
+@query(f"{_MUTEX}{_OVR}{_CURVE} SELECT cls, {_units('auc')} AS auc, {_units('sklish')} AS ap FROM scores")
 def m14_auc_and_sklish(spark, sf):
-    m = E.metrics(E.curve(_ovr(spark, sf), ["cls"]), ["cls"])
+    m = _measured(spark, sf)
     out = E.auc(m, ["cls"]).join(E.sklish_precision(m, ["cls"]), "cls")
-    return out.select("cls", whole(F.col("auc"), 5).alias("auc"), whole(F.col("ap"), 5).alias("ap"))
+    return out.select("cls", units("auc").alias("auc"), units("ap").alias("ap"))
+
+
+@query(f"""{_MUTEX}{_OVR}{_CURVE}, cut AS (SELECT cls, thresh, tp, fp, pos FROM curve WHERE isfinite(thresh) AND fp <= 20
+  UNION ALL SELECT cls, CAST('-inf' AS DOUBLE), coalesce(max(CASE WHEN isfinite(thresh) AND fp <= 20 THEN tp END), 0), 20, max(pos) FROM curve GROUP BY cls),
+r AS (SELECT cls, fp / 20 AS x, tp / nullif(pos, 0) AS y, lag(fp / 20) OVER w AS px, lag(tp / nullif(pos, 0)) OVER w AS py FROM cut WINDOW w AS (PARTITION BY cls ORDER BY thresh DESC)),
+a AS (SELECT cls, CASE WHEN max(x) = min(x) THEN max(y - x) ELSE sum((x - px) * (y + py) / 2) END AS auc FROM r GROUP BY cls) SELECT cls, {_units('auc')} AS auc FROM a""")
+def w5_truncated_auc(spark, sf):
+    c = E.curve(_ovr(spark, sf), ["cls"])
+    return E.auc(c, ["cls"], cutoff=20.0).select("cls", units("auc").alias("auc"))
 
 
-@query(f"""{_MUTEX}{_OVR}{_CURVE}, f AS (SELECT cls, thresh, coalesce(2 * ppv * tpr / nullif(ppv + tpr, 0), 0) AS v FROM e)
+@query(f"""{_MUTEX}{_OVR}{_CURVE}, voc AS (SELECT cls, i, max(ppv) AS p FROM e, range(11) r(i) WHERE tp * 10 >= i * pos AND pos > 0 GROUP BY cls, i), v AS (SELECT cls, sum(p) / 11 AS voc FROM voc GROUP BY cls),
+z AS (SELECT cls, sum((tpr - coalesce(pt, 0)) * (ppv + coalesce(pp, 1)) / 2) AS z FROM (SELECT cls, thresh, tpr, ppv, lag(tpr) OVER w AS pt, lag(ppv) OVER w AS pp FROM e WINDOW w AS (PARTITION BY cls ORDER BY thresh DESC)) WHERE isfinite(thresh) GROUP BY cls)
+SELECT cls, CASE WHEN ap IS NULL THEN -1 ELSE {_units('coalesce(voc, 0)')} END AS voc2007, {_units('sklish')} AS voc2012, {_units('z')} AS trapezoid FROM scores LEFT JOIN v USING (cls) LEFT JOIN z USING (cls)""")
+def m36_average_precisions(spark, sf):
+    m, keys = _measured(spark, sf), ["cls"]
+    parts = [E.average_precision(m, keys, 11), E.sklish_precision(m, keys), E.trapezoid_precision(m, keys)]
+    out = parts[0].withColumn("voc2007", units("ap")).drop("ap")
+    for name, part in zip(("voc2012", "trapezoid"), parts[1:]):
+        out = out.join(part.withColumn(name, units("ap")).drop("ap"), keys)
+    return out
+
+
+@query(f"""{_MUTEX}{_OVR}{_CURVE}, f AS (SELECT cls, thresh, coalesce(2 * ppv * tpr / nullif(ppv + tpr, 0), 0) AS v FROM e WHERE isfinite(thresh))
 SELECT cls, 'f1' AS metric, round(max(v), 6) AS value FROM f GROUP BY cls""")
 def r5_best_thresholds(spark, sf):
     m = E.metrics(E.curve(_ovr(spark, sf), ["cls"]), ["cls"])
     return E.best_thresholds(m, ["cls"], ("f1",)).select("cls", "metric", F.round("value", 6).alias("value"))
 
 
+@query(f"""{_MUTEX}{_OVR}{_CURVE}, f AS (SELECT cls, round(max(coalesce(2 * ppv * tpr / nullif(ppv + tpr, 0), 0)), 6) AS f FROM e WHERE isfinite(thresh) GROUP BY cls), n AS (SELECT cls, max(pos) AS pos, max(neg + pos) AS support FROM curve GROUP BY cls)
+SELECT cls, {_units('ap')} AS ap, {_units('auc')} AS auc, coalesce(f, -1) AS max_f1, CAST(pos AS DOUBLE) AS positives, CAST(support AS DOUBLE) AS support FROM scores JOIN n USING (cls) LEFT JOIN f USING (cls)""")
+def r4_summary(spark, sf):
+    s = E.summary(materialize(E.curve(_ovr(spark, sf), ["cls"]), "curves"), ["cls"])
+    return s.select("cls", units("ap").alias("ap"), units("auc").alias("auc"), F.coalesce(F.round("max_f1", 6), F.lit(-1.0)).alias("max_f1"), "positives", "support")
+
+
 @query(f"{_ALL} SELECT t AS \"true\", p AS pred, CAST(sum(weight) AS DOUBLE) AS total FROM cfsn GROUP BY 1, 2")
 def m17_confusion_matrix(spark, sf):
     return A.confusion(vectors(spark, sf, "all"))
@@ -196,12 +282,12 @@ def m18_coarsened_matrix(spark, sf):
     return A.confusion(v)
 
 
-@query(f"{_MUTEX}, ovr AS (SELECT 0 AS cls, CAST(t >= 0 AS BIGINT) AS is_true, score, weight FROM cfsn){_CURVE} SELECT CASE WHEN isfinite(thresh) THEN thresh ELSE -1 END AS thresh, CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(pos - tp AS DOUBLE) AS fn, CAST(neg - fp AS DOUBLE) AS tn FROM curve")
+@query(f"{_MUTEX}, ovr AS (SELECT 0 AS cls, CAST(t >= 0 AS BIGINT) AS is_true, score, weight FROM cfsn){_CURVE} SELECT CASE WHEN isfinite(thresh) THEN thresh ELSE -1 END AS thresh, CAST(tp AS DOUBLE) AS tp, CAST(CASE WHEN isfinite(thresh) THEN fp ELSE -1 END AS DOUBLE) AS fp, CAST(pos - tp AS DOUBLE) AS fn, CAST(CASE WHEN isfinite(thresh) THEN neg - fp ELSE -1 END AS DOUBLE) AS tn FROM curve")
 def m19_combined_curves(spark, sf):
     v = vectors(spark, sf).withColumn("part", F.pmod("gid", F.lit(3)))
     parts = E.curve(v.select("part", (F.col("true") >= 0).cast("long").alias("is_true"), F.col("score").alias("pred_score"), "weight"), ["part"])
     c = E.combine(parts)
-    return c.withColumn("thresh", F.when(F.col("thresh") == E.NEVER_SEEN, -1.0).otherwise(F.col("thresh")))
+    return c.select(_finite("thresh"), "tp", _finite("fp"), "fn", _finite("tn"))
 
 
 @query(f"""{_ALL}, k AS (SELECT t, p, CAST(sum(weight) AS DOUBLE) AS n FROM cfsn GROUP BY 1, 2), c AS (
@@ -246,16 +332,21 @@ def r1_top_class(spark, sf):
     return E.top_class(e)
 
 
-@query()
+_RANGES = (("all", 0.0, 1e10), ("small", 0.0, 1024.0), ("large", 1024.0, 1e10))
+_AT_75 = re.sub(r"\b(lists|ranked|fold|matched|cfsn)\b", r"\1_75", _MUTEX.removeprefix(_SIDES).replace("iou > 0.5", "iou > 0.75"))
+_EVALUATED = f"""{_MUTEX}{_AT_75}, every AS (SELECT CAST(0.5 AS DOUBLE) AS iou_thresh, * FROM cfsn UNION ALL SELECT 0.75, * FROM cfsn_75),
+ranged AS (SELECT iou_thresh, area, v.t, v.p, v.score, CASE WHEN coalesce(t.w * t.h, p.w * p.h) BETWEEN lo AND hi THEN v.weight ELSE 0 END AS weight
+  FROM every v LEFT JOIN truth t ON t.id = txs LEFT JOIN pred p ON p.id = pxs CROSS JOIN (VALUES {', '.join(f"('{n}', {lo}, {hi})" for n, lo, hi in _RANGES)}) r(area, lo, hi)),
+ovr AS (SELECT iou_thresh, area, c.id AS cls, CAST(coalesce(t = c.id, false) AS BIGINT) AS is_true, CASE WHEN p = c.id THEN score ELSE CAST('-inf' AS DOUBLE) END AS score, weight FROM ranged CROSS JOIN categories c
+  UNION ALL SELECT iou_thresh, area, -1, CAST(coalesce(t, -2) <> -1 AS BIGINT), score, weight FROM ranged){_curves('iou_thresh, area, cls')}"""
+
+
+@query(f"{_EVALUATED} SELECT iou_thresh, area, cls, {_units('ap')} AS ap, {_units('auc')} AS auc FROM scores")
 def m27_evaluate(spark, sf):
-    """IoU thresholds at once: mean average precision over classes of each."""
+    """All IoU thresholds and area ranges at once: scores of each class, and without classes (-1)."""
     true, pred = sides(spark, sf)
-    v = X.confusion_vectors(true, pred, (0.5, 0.75))
-    pred_rows = v.where("pred >= 0").select("iou_thresh", F.col("pred").alias("cls"), (F.col("true") == F.col("pred")).cast("long").alias("is_true"), F.col("score").alias("pred_score"), "weight")
-    missed = v.where((F.col("true") >= 0) & (F.col("pred") < 0)).select("iou_thresh", F.col("true").alias("cls"), F.lit(1).cast("long").alias("is_true"), F.col("score").alias("pred_score"), "weight")
-    keys = ["iou_thresh", "cls"]
-    ap = E.average_precision(E.metrics(E.curve(pred_rows.unionByName(missed), keys), keys), keys)
-    return ap.groupBy("iou_thresh").agg(F.avg("ap").alias("mean_ap"), F.count("*").alias("classes"))
+    s = evaluate.evaluate(true, pred, E.rest_classes(star.categories(spark, sf)), (0.5, 0.75), _RANGES)
+    return s.select("iou_thresh", "area", F.coalesce("cls", F.lit(-1).cast("long")).alias("cls"), units("ap").alias("ap"), units("auc").alias("auc"))
 
 
 @query()

@@ -77,7 +77,7 @@ def m13_curve_of_labels(spark, sf):
     l = star.table(spark, sf, "labels").select(
         F.col("quality").cast("long").alias("is_true"), ((F.col("doc_id") * 7919) % 1000 / F.lit(1000.0)).alias("pred_score"), F.lit(1.0).alias("weight")
     )
-    return E.curve(l)
+    return E.curve(l).select("thresh", "tp", "fp", "fn", "tn")
 
 
 @query("""WITH s AS (SELECT CAST(quality AS BIGINT) AS y, ((doc_id * 7919) % 1000) // 100 AS b FROM labels)
@@ -127,7 +127,7 @@ def fn_coerce_times(spark, sf):
 
 
 @query("""WITH b AS (SELECT CAST(nation.n_nationkey AS BIGINT) AS g, CAST(s_suppkey % 2 AS BIGINT) AS y FROM supplier JOIN nation ON n_nationkey = s_nationkey), n AS (SELECT g, count(*) AS n, sum(y) AS t FROM b GROUP BY g)
-SELECT g, CASE WHEN n < 7 THEN n + 7 ELSE n END AS n, CASE WHEN n < 7 THEN CAST(t AS BIGINT) + 4 ELSE CAST(t AS BIGINT) END AS n_true FROM n""", tables=False)
+SELECT g, CASE WHEN n < 7 THEN 7 ELSE n END AS n, CAST(t AS BIGINT) + CASE WHEN n < 7 THEN (7 - n) - (7 - n) // 2 ELSE 0 END AS n_true FROM n""", tables=False)
 def m15_stabilized(spark, sf):
     s = star.table(spark, sf, "supplier").select(
         F.col("s_nationkey").cast("long").alias("g"), (F.col("s_suppkey") % 2).alias("is_true"), F.lit(0.5).alias("pred_score"), F.lit(1.0).alias("weight")
