@@ -98,9 +98,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         table = counts.groupBy("key").agg(by_lang.alias("m")).select("key", each.alias("n")).toArrow().combine_chunks()
         keys = pa.concat_arrays(table.column("key").chunks) if table.num_rows else pa.array([], pa.string())
         n = np.asarray(pa.concat_arrays(table.column("n").chunks).flatten()).reshape(-1, len(langs)) if table.num_rows else np.zeros((0, len(langs)))
-        alpha = 0.1 if kind == "w" else 0.5
-        total = n.sum(0) + alpha * (len(keys) + 1)
-        model[kind] = (keys, np.log((n + alpha) / total).astype(np.float32))
+        total = np.maximum(1, n.sum(0))
+        unseen = (0.1 if kind == "w" else 0.5) / total.max()  # alike in all languages, however much was seen of each
+        model[kind] = (keys, np.log(n / total + unseen).astype(np.float32))
     forget(words)
     return model
 
