@@ -22,3 +22,50 @@ def test_files_on_disk(spark, tmp_path):
     out = files.drop_files(m, files.missing(m, there))
     assert sorted(r["id"] for r in out.images.collect()) == [1, 3] and [r["image_id"] for r in out.annotations.collect()] == [3]
     assert len(out.images.where("id = 3").first()["assets"]) == 1
+
+
+def test_documents_with_numbers_that_json_lacks(spark, tmp_path):
+    from visledger.sources import documents
+
+    path = tmp_path / "m.json"
+    path.write_text('{"info": {"a": "]"}, "images": [{"id": 1, "name": "NaN, \\"Infinity\\" ]}", "file_name": "x"}], "annotations": [{"id": 1, "image_id": 1, "score": NaN, "note": -Infinity},\n {"id": 2, "image_id": 1, "score": 0.5, "segmentation": [[1, 2, 3, 4, 5, 6]]}], "videos": []}')
+    for read in (lambda p: documents.read_documents(spark, p), lambda p: documents.read_large_documents(spark, [p])):
+        m = read(str(path))
+        for _ in range(2):
+            assert m.images.first()["name"] == 'NaN, "Infinity" ]}'
+            scores = {r["id"]: r["score"] for r in m.annotations.collect()}
+            assert scores[1] != scores[1] and scores[2] == 0.5
+            assert '"-Infinity"' in m.annotations.where("id = 1").first()["extra"]
+            assert m.annotations.where("id = 2").first()["segmentation"].replace(" ", "") == "[[1,2,3,4,5,6]]"
+            again = tmp_path / "again.json"
+            documents.write_document(m, str(again))
+            documents.write_document(m, str(again))
+            m = read(str(again))
+    assert not list(tmp_path.glob("*.tmp"))
+
+
+def test_documents_that_cannot_be_read_are_errors(spark, tmp_path):
+    import pytest
+
+    from visledger.sources import documents
+
+    for i, text in enumerate(('{"images": [{"id": 1}', "[1]")):
+        path = tmp_path / f"{i}.json"
+        path.write_text(text)
+        with pytest.raises(Exception, match="not a JSON object"):
+            documents.read_documents(spark, str(path)).images.count()
+    with pytest.raises(Exception, match="ends within"):
+        documents.read_large_documents(spark, [str(tmp_path / "0.json")])
+
+
+def test_elements_of_a_document_in_pieces():
+    import json
+
+    from visledger.sources.documents import elements
+
+    doc = {"info": {"x": [1, {"y": 2}]}, "images": [{"id": i, "name": 'a"\\]},{[' * (i % 3)} for i in range(20)], "n": 3, "s": "t,", "videos": [], "annotations": [[1, [2]], 5, "a,b", None]}
+    text = json.dumps(doc, indent=1)
+    want = [(k, x) for k in ("images", "annotations") for x in doc[k]]
+    for size in (1, 3, 7, 64, 10_000):
+        pieces = [text[i : i + size] for i in range(0, len(text), size)]
+        assert [(k, json.loads(x)) for k, x in elements(pieces)] == want

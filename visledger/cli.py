@@ -70,6 +70,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--moves", nargs="*", default=[], help="OLD=NEW folders")
     p.add_argument("--thresholds", nargs="*", type=float, default=[0.5])
     p.add_argument("--rows", type=int, default=5)
+    p.add_argument("--areas", action="store_true", help="also scores by ranges of areas and whatever the class")
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("visledger").getOrCreate()
     sources = [documents.read_any(spark, s) for s in a.src]
@@ -85,7 +86,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "validate":
         show(check.validate(m))
     elif a.command == "eval":
-        show(evaluate(sources[0], sources[1], tuple(a.thresholds)))
+        scores = evaluate(sources[0], sources[1], tuple(a.thresholds), ranges=scoring.AREA_RANGES if a.areas else scoring.AREA_RANGES[:1])
+        show(scores if a.areas else scores.where("name is not null"))
     elif a.command == "conform":
         show(edit.conform(m)) if not a.dst else edit.conform(m).write.mode("overwrite").parquet(a.dst[0])
     elif a.command == "split":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..manifest import Manifest, conform_table
+from .order import number_rows
 
 
 def next_id(df: DataFrame) -> int:
@@ -21,9 +22,8 @@ def append(m: Manifest, table: str, rows: DataFrame, unique: tuple = ("id",)) ->
     if table != "tracks":
         start = next_id(old)
         given = new.where("id is not null")
-        missing = new.where("id is null")
-        number = F.row_number().over(Window.orderBy(*[c for c in ("name", "image_id", "extra") if c in new.columns])) - 1 + start
-        new = given.unionByName(missing.withColumn("id", number.cast("long")))
+        missing = new.where("id is null").drop("id")
+        new = given.unionByName(number_rows(missing, [c for c in ("name", "image_id", "extra") if c in new.columns], "id", start))
     for key in unique:
         clash = new.where(F.col(key).isNotNull()).join(old.select(key), key, "left_semi")
         twice = new.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")

@@ -78,7 +78,7 @@ def candidates(true: DataFrame, pred: DataFrame, compat: str = "mutex", bias: fl
         pairs = t.join(p, "gid")
         if compat == "ancestors":
             steps = F.col("dist") if "dist" in closure.columns else F.when(F.col("ancestor") == F.col("descendant"), 0).otherwise(1)
-            up = F.broadcast(closure.select(F.col("ancestor").alias("tcls"), F.col("descendant").alias("pcls"), steps.cast("long").alias("steps")))
+            up = closure.select(F.col("ancestor").alias("tcls"), F.col("descendant").alias("pcls"), steps.cast("long").alias("steps"))
             pairs, apart = pairs.join(up, ["tcls", "pcls"]), F.col("steps")
     overlap = iou(F.col("tbox"), F.col("pbox"), bias)
     return pairs.withColumn("iou", overlap).where("iou > 0").select("gid", "px", "tx", "tweight", "iou", apart.alias("apart"))
@@ -118,7 +118,9 @@ def match(
     take the free truth of the largest IoU above the threshold (the lesser id
     first among equals); with ``prioritize="class"`` the nearest class comes
     before the overlap. With ``reuse`` a truth may serve again, the least used
-    one first. One image is one fold; only its candidates are gathered.
+    one first. One image is one fold; only its candidates are gathered, and what
+    is taken is searched in order, so time grows with the square of the boxes of
+    a crowded image.
     """
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     some = pairs.withColumn("iou_thresh", thr).where("iou > iou_thresh")

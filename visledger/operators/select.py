@@ -147,16 +147,16 @@ def select_annotations(
     a = m.annotations
     if video_name is not None or video_id is not None:
         vids = m.videos.where(F.col("name") == video_name if video_name is not None else F.col("id") == video_id).select(F.col("id").alias("video_id"))
-        of = m.images.join(F.broadcast(vids), "video_id", "left_semi").select(F.col("id").alias("image_id"))
+        of = m.images.join(vids, "video_id", "left_semi").select(F.col("id").alias("image_id"))
         return a.join(of, "image_id", "left_semi")
     if track_name is not None:
         of = m.tracks.where(F.col("name") == track_name).select(F.col("id").alias("track_id"))
-        return a.join(F.broadcast(of), "track_id", "left_semi")
+        return a.join(of, "track_id", "left_semi")
     if track_id is not None:
         return a.where(F.col("track_id") == str(track_id))
     if image_name is not None:
         of = m.images.where(F.col("name") == image_name).select(F.col("id").alias("image_id"))
-        return a.join(F.broadcast(of), "image_id", "left_semi")
+        return a.join(of, "image_id", "left_semi")
     if image_id is not None:
         return a.where(F.col("image_id") == image_id)
     return a if ids is None else view(a, ids)
@@ -169,7 +169,7 @@ def select_images(m: Manifest, ids: list | None = None, video_id=None, names: li
         return F.broadcast(wanted).join(m.images, "name")
     if video_name is not None:
         vids = m.videos.where(F.col("name") == video_name).select(F.col("id").alias("video_id"))
-        return m.images.join(F.broadcast(vids), "video_id", "left_semi")
+        return m.images.join(vids, "video_id", "left_semi")
     if video_id is not None:
         return m.images.where(F.col("video_id") == video_id)
     return m.images if ids is None else view(m.images, ids)
@@ -213,7 +213,7 @@ def query_subset(m: Manifest, images=None, videos=None, categories: list[str] |
     out = query_images(m, images, videos)
     if categories is not None:
         cids = m.categories.where(F.col("name").isin(categories)).select(F.col("id").alias("category_id"))
-        held = m.annotations.join(F.broadcast(cids), "category_id", "left_semi").select(F.col("image_id").alias("id"))
+        held = m.annotations.join(cids, "category_id", "left_semi").select(F.col("image_id").alias("id"))
         out = out.join(held, "id", "left_semi")
     if channels is not None:
         need = F.array(*[F.lit(c) for c in channels])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..manifest import Manifest
 from .edit import remap
+from .order import number_rows
 
 
 def subset(m: Manifest, image_ids: DataFrame) -> Manifest:
@@ -58,8 +59,7 @@ def unique_names(rows: DataFrame) -> DataFrame:
 def _renumbered(rows: DataFrame, key: str = "long") -> tuple[DataFrame, DataFrame]:
     """Ids kept where none repeats, else all rows are numbered from 1 in order: the rows, and ``_src, id, new``."""
     clash = not rows.groupBy("id").count().where("count > 1").isEmpty()
-    new = F.row_number().over(Window.orderBy("_src", "id")).cast(key) if clash else F.col("id")
-    mapped = rows.withColumn("_new", new)
+    mapped = number_rows(rows, ["_src", "id"], "_new").withColumn("_new", F.col("_new").cast(key)) if clash else rows.withColumn("_new", F.col("id"))
     pairs = mapped.select("_src", "id", F.col("_new").alias("new"))
     return mapped.withColumn("id", F.col("_new")).drop("_new"), pairs
 
@@ -127,15 +127,15 @@ def union(parts: list[Manifest], disjoint_tracks: bool = True) -> Manifest:
     if disjoint_tracks:
         trk, trk_ids = _renumbered(unique_names(trk), "string")
         begin = trk.agg(F.coalesce(F.max(F.col("id").cast("long")) + 1, F.lit(0)).alias("b"))
-        number = F.row_number().over(Window.orderBy("_src", "id")) - 1
-        loose_ids = loose.crossJoin(F.broadcast(begin)).select("_src", "id", (number + F.col("b")).cast("string").alias("new"))
+        numbered = number_rows(loose, ["_src", "id"], "_nth", start=0).crossJoin(F.broadcast(begin))  # one row
+        loose_ids = numbered.select("_src", "id", (F.col("_nth") + F.col("b")).cast("string").alias("new"))
     else:
         heads = trk.groupBy("name").agg(F.min(F.struct("_src", "id")).alias("at"))
         trk_ids = trk.join(heads, "name").select("_src", trk["id"], F.col("at.id").alias("new"))
         trk = heads.select(F.col("at.id").alias("id"), "name", F.lit(None).cast("string").alias("extra"), F.col("at._src").alias("_src"))
         loose_ids = loose.select("_src", "id", F.col("id").alias("new"))
     an = _remap(_remap(_remap(an, im_ids, "image_id"), cat_ids, "category_id"), trk_ids.unionByName(loose_ids), "track_id")
-    an = an.withColumn("id", F.row_number().over(Window.orderBy("_src", "id")).cast("long"))
+    an = number_rows(an.withColumnRenamed("id", "_old"), ["_src", "_old"], "id")
     cols = {name: getattr(parts[0], name).columns for name in ("videos", "images", "tracks", "annotations", "categories", "keypoint_categories")}
     return Manifest(
         categories=cats.select(*cols["categories"]), keypoint_categories=kpc.select(*cols["keypoint_categories"]), videos=vids.select(*cols["videos"]),

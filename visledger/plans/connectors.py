@@ -14,13 +14,18 @@ QUERIES, SQL, query = registrar()
 M = star.manifest
 
 
+def _in_document(spark, sf, large: bool = False):
+    """The manifest after a round trip through one JSON document."""
+    from ..sources import documents
+
+    path = scratch(spark, "document") + ".json"
+    documents.write_document(M(spark, sf), path)
+    return documents.read_large_documents(spark, [path]) if large else documents.read_documents(spark, path)
+
+
 @query("SELECT id, name, width FROM images")
 def s10_document_round_trip_whole(spark, sf):
-    from ..sources.documents import read_lines, write_lines
-
-    path = scratch(spark, "document")
-    write_lines(M(spark, sf).images.select("id", "name", "file_name", "width", "height"), "images", path)
-    return read_lines(spark, "images", path).select("id", "name", "width")
+    return _in_document(spark, sf).images.select("id", "name", "width")
 
 
 @query("SELECT id, name, width FROM images WHERE id <= 300")
@@ -29,6 +34,22 @@ def s10_document_round_trip(spark, sf):
     return s10_document_round_trip_whole(spark, sf).where("id <= 300")
 
 
+@query("""SELECT id, image_id, category_id, CAST(track_id AS VARCHAR) AS track_id, x, w, score FROM annotations""")
+def s11_document_annotations(spark, sf):
+    return _in_document(spark, sf).annotations.select("id", "image_id", "category_id", "track_id", "bbox.x", "bbox.w", "score")
+
+
+@query("""SELECT 'categories' AS tbl, count(*) AS n FROM categories UNION ALL SELECT 'images', count(*) FROM images UNION ALL SELECT 'videos', count(*) FROM videos
+UNION ALL SELECT 'annotations', count(*) FROM annotations UNION ALL SELECT 'tracks', count(DISTINCT track_id) FROM annotations""")
+def s23_large_document(spark, sf):
+    m = _in_document(spark, sf, large=True)
+    rows = [m.table(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("tbl"), "n") for t in ("categories", "images", "videos", "annotations", "tracks")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 @query("SELECT id, image_id, category_id, score FROM annotations")
 def s12_parquet_view(spark, sf):
     from ..sources.documents import read_view, write_view

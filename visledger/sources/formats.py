@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..manifest import Manifest, conform_table, empty
+from ..operators.order import number_rows
 
 #: Columns of a KW18 line (fixed by the format).
 KW18_COLUMNS = (
@@ -52,7 +53,7 @@ def from_kw18(rows: DataFrame, video: str = "video") -> Manifest:
     """A manifest of KW18 rows: a video, an image for each frame, a category for each object type."""
     spark = rows.sparkSession
     im = rows.select(F.col("frame_number").cast("long").alias("frame_index")).distinct()
-    im = im.select((F.row_number().over(Window.orderBy("frame_index"))).cast("long").alias("id"), "frame_index", F.lit(1).cast("long").alias("video_id"),
+    im = number_rows(im, ["frame_index"], "id").select("id", "frame_index", F.lit(1).cast("long").alias("video_id"),
                    F.format_string("frame_%06d", F.col("frame_index")).alias("name"))
     cats = rows.select(F.col("object_type_id").cast("long").alias("id")).where("id >= 0").distinct()
     a = rows.withColumn("frame_index", F.col("frame_number").cast("long")).join(im.select("frame_index", F.col("id").alias("image_id")), "frame_index")
@@ -60,8 +61,8 @@ def from_kw18(rows: DataFrame, video: str = "video") -> Manifest:
         F.col("img_bbox_tl_x").alias("x"), F.col("img_bbox_tl_y").alias("y"),
         (F.col("img_bbox_br_x") - F.col("img_bbox_tl_x")).alias("w"), (F.col("img_bbox_br_y") - F.col("img_bbox_tl_y")).alias("h"),
     )
-    a = a.select(
-        F.row_number().over(Window.orderBy("track_id", "frame_index", "img_bbox_tl_x", "img_bbox_tl_y")).cast("long").alias("id"), "image_id",
+    a = number_rows(a, ["track_id", "frame_index", "img_bbox_tl_x", "img_bbox_tl_y"], "id").select(
+        "id", "image_id",
         F.when(F.col("object_type_id") >= 0, F.col("object_type_id").cast("long")).alias("category_id"),
         F.col("track_id").cast("long").cast("string").alias("track_id"), box.alias("bbox"), F.col("confidence").alias("score"),
     )
@@ -105,15 +106,14 @@ def read_voc(spark: SparkSession, path: str) -> DataFrame:
 def from_labels(rows: DataFrame) -> Manifest:
     """A manifest of rows ``file_name, label, bbox[, width, height, weight]``: images and categories by name."""
     im = rows.groupBy("file_name").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    im = im.withColumn("id", F.row_number().over(Window.orderBy("file_name")).cast("long"))
+    im = number_rows(im, ["file_name"], "id")
     cats = rows.select(F.col("label").alias("name")).where("name is not null").distinct()
-    cats = cats.withColumn("id", F.row_number().over(Window.orderBy("name")).cast("long"))
+    cats = cats.withColumn("id", F.row_number().over(Window.orderBy("name")).cast("long"))  # a row for each class
     a = rows.join(im.select("file_name", F.col("id").alias("image_id")), "file_name").join(
         F.broadcast(cats.select(F.col("name").alias("label"), F.col("id").alias("category_id"))), "label", "left"
     )
-    order = Window.orderBy("image_id", "label", "bbox.x", "bbox.y", "bbox.w", "bbox.h")
     keep = [c for c in ("weight", "score", "segmentation") if c in rows.columns]
-    a = a.select(F.row_number().over(order).cast("long").alias("id"), "image_id", "category_id", "bbox", *keep)
+    a = number_rows(a, ["image_id", "label", "bbox.x", "bbox.y", "bbox.w", "bbox.h"], "id").select("id", "image_id", "category_id", "bbox", *keep)
     return empty(rows.sparkSession).with_tables(
         images=conform_table(im, "images"), categories=conform_table(cats, "categories"), annotations=conform_table(a, "annotations")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,11 +43,36 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Remove the files of tables of :func:`materialize` that nothing reads any more."""
     for df in tables:
         path = None if df is None else df.__dict__.pop("_shared_path", None)
         if path:
-            spark = df.sparkSession
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
+
+
+def open_shared(uri: str, mode: str):
+    """Open a file of the shared storage inside a task, as a binary stream.
+
+    Plain paths and ``file:`` are opened directly; other schemes through Arrow's
+    file systems.
+    """
+    parsed = urlparse(uri)
+    if parsed.scheme in ("", "file"):
+        path = unquote(parsed.path) if parsed.scheme else uri
+        if "w" in mode:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, mode)
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if "w" in mode:
+        store.create_dir(path.rpartition("/")[0], recursive=True)
+        return store.open_output_stream(path)
+    return store.open_input_file(path)
