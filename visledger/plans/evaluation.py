@@ -349,7 +349,7 @@ def m27_evaluate(spark, sf):
     return s.select("iou_thresh", "area", F.coalesce("cls", F.lit(-1).cast("long")).alias("cls"), units("ap").alias("ap"), units("auc").alias("auc"))
 
 
-@query()
+@query(f"{_SIDES}, kin AS (SELECT a.id AS up, b.id AS down FROM categories a JOIN categories b ON a.id = b.id OR a.name = b.supercategory) SELECT gid, px, tx FROM pairs JOIN kin ON up = tcls AND down = pcls")
 def m4_ancestor_candidates(spark, sf):
     """Truth of a coarser class serves predictions of the classes below it."""
     cats = star.categories(spark, sf)
