@@ -166,6 +166,34 @@ def reroot(m: Manifest, new_root: str, old_prefix: str | None = None, new_prefix
     return Manifest(**{**m.tables(), "images": im}, root=new_root, info=m.info)
 
 
+#: Missing paths that proposals are made from, and proposals that are counted over all paths.
+PROBES, PROPOSALS = 20, 20
+
+
+def find_reroot(paths: DataFrame, there: DataFrame) -> DataFrame:
+    """``old_prefix, new_prefix, fixed, missing``: replacements of a leading folder that make missing paths (``file_name``) exist, best first.
+
+    A few missing paths propose what parts them from files of the same last
+    names; the commonest proposals are then counted over all missing paths.
+    """
+    files = there.select("file_name").distinct()
+    lost = paths.select("file_name").where("file_name is not null").distinct().join(files, "file_name", "left_anti")
+    last = F.substring_index("file_name", "/", -1)
+    probes = lost.orderBy(F.xxhash64("file_name")).limit(PROBES).select(F.split("file_name", "/").alias("a"), last.alias("last"))
+    pairs = files.select(F.split("file_name", "/").alias("b"), last.alias("last")).join(F.broadcast(probes), "last")  # PROBES rows
+    ra, rb = F.reverse("a"), F.reverse("b")
+    same = F.transform(F.arrays_zip(ra.alias("x"), rb.alias("y")), lambda z: F.coalesce(z["x"] == z["y"], F.lit(False)))
+    n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
+    prefix = lambda c: F.array_join(F.slice(c, F.lit(1), F.size(c) - n), "/")
+    best = pairs.select(prefix("a").alias("old_prefix"), prefix("b").alias("new_prefix")).groupBy("old_prefix", "new_prefix").count()
+    best = best.orderBy(F.desc("count"), "old_prefix", "new_prefix").limit(PROPOSALS).select("old_prefix", "new_prefix")
+    tail = F.when(F.col("old_prefix") == "", F.col("file_name")).when(F.col("file_name").startswith(F.concat("old_prefix", F.lit("/"))), F.substring("file_name", F.length("old_prefix") + 2, F.length("file_name")))
+    tried = lost.crossJoin(F.broadcast(best)).withColumn("tail", tail).where("tail is not null")  # PROPOSALS rows
+    tried = tried.select("old_prefix", "new_prefix", F.when(F.col("new_prefix") == "", F.col("tail")).otherwise(F.concat_ws("/", "new_prefix", "tail")).alias("file_name"))
+    fixed = tried.join(files, "file_name", "left_semi").groupBy("old_prefix", "new_prefix").agg(F.count("*").alias("fixed"))
+    return fixed.crossJoin(F.broadcast(lost.agg(F.count("*").alias("missing")))).orderBy(F.desc("fixed"), "old_prefix", "new_prefix")
+
+
 def move_assets(m: Manifest, moves: list[tuple[str, str]]) -> Manifest:
     """Rewrite paths below moved folders; the first move that fits applies."""
 

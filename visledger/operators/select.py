@@ -312,3 +312,8 @@ def frame_rank(images: DataFrame) -> DataFrame:
     """Frames renumbered from zero within each video, in the order of ``frame_index``."""
     w = Window.partitionBy("video_id").orderBy("frame_index", "id")
     return images.where("video_id is not null").select("id", "video_id", (F.row_number().over(w) - 1).cast("long").alias("frame_id"))
+
+
+def flatten(groups: DataFrame, col: str) -> DataFrame:
+    """A row for each element of the lists in ``col``; empty and null lists give none."""
+    return groups.withColumn(col, F.explode(col))

@@ -101,3 +101,8 @@ def render(rows: list[tuple[str, str]]) -> str:
         lines.append("  " * depth + name)
         todo += [(c, depth + 1) for c in sorted(below.get(name, ()), reverse=True)]
     return "\n".join(lines)
+
+
+def to_categories(e: DataFrame) -> DataFrame:
+    """``name, supercategory`` of every node of a forest ``child, parent``; roots have none."""
+    return nodes(e).withColumnRenamed("node", "name").join(e.select(F.col("child").alias("name"), F.col("parent").alias("supercategory")), "name", "left")

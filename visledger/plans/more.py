@@ -142,3 +142,35 @@ def m20_binned_thresholds(spark, sf):
     v = vectors(spark, sf, "all").withColumn("part", F.pmod("gid", F.lit(3)))
     parts = E.curve(v.select("part", (F.col("true") >= 0).cast("long").alias("is_true"), F.col("score").alias("pred_score"), "weight"), ["part"])
     return E.combine(parts, bins=10).where(F.col("thresh") > E.NEVER_SEEN).select("thresh", "tp", "fp")
+
+
+@query("""SELECT '' AS old_prefix, 'disk' AS new_prefix, count(DISTINCT file_name) AS fixed, count(DISTINCT file_name) AS missing FROM images""")
+def d21_find_reroot(spark, sf):
+    from ..operators import edit
+
+    im = M(spark, sf).images
+    there = im.select(F.concat(F.lit("disk/"), "file_name").alias("file_name"))
+    return edit.find_reroot(im, there)
+
+
+@query("SELECT image_id, id FROM annotations")
+def p15_flatten(spark, sf):
+    from ..operators import select as S
+
+    an = M(spark, sf).annotations
+    return S.flatten(an.groupBy("image_id").agg(F.collect_list("id").alias("id")), "id")
+
+
+@query("SELECT name, supercategory FROM categories UNION SELECT supercategory, NULL FROM categories WHERE supercategory NOT IN (SELECT name FROM categories)")
+def c11_tree_to_rows(spark, sf):
+    return C.to_categories(C.edges(star.categories(spark, sf)))
+
+
+@query("SELECT image_id, coalesce(category_id, -1) AS category_id, x, h, score FROM annotations WHERE x IS NOT NULL")
+def s36_results_of_arrays(spark, sf):
+    from ..sources.documents import load_arrays
+
+    m = M(spark, sf)
+    b = F.col("bbox")
+    row = F.array(F.col("image_id").cast("double"), b["x"], b["y"], b["w"], b["h"], F.col("score"), F.coalesce("category_id", F.lit(-1)).cast("double"))
+    return load_arrays(m, m.annotations.where("bbox is not null").select(row.alias("row"))).annotations.select("image_id", "category_id", "bbox.x", "bbox.h", "score")
