@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, langid, mixing, simhash, token_files, toxicity, url_filters, warc
+from . import chat, collocations, decontam, embed_dedup, langid, mixing, simhash, spelling, token_files, toxicity, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,11 +85,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.count_words(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_toxicity, op3_url_filter, op4_token_files, op5_warc, op6_language, op7_simhash,
-        op8_decontamination, op9_embedding_dedup, op10_chat,
+        op8_decontamination, op9_embedding_dedup, op10_chat, op11_collocations, op13_spelling,
     )
 }
 
@@ -161,5 +169,71 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|turn|>' || replace(er, chr(10), '\\n') || chr(10) || et || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op11_collocations": r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), places AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, list_slice(w, i, i + k - 1) AS p, k, count(*) AS c FROM places GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang), many AS (
+  SELECT * FROM f WHERE k > 1 AND c >= 10
+), longer AS (
+  SELECT lang, p, max(c) AS most FROM (SELECT lang, c, unnest([list_slice(p, 1, 2), list_slice(p, 2, 3)]) AS p FROM many WHERE k = 3) GROUP BY ALL
+), alone AS (
+  SELECT m.lang, m.p, m.k, m.c AS a FROM many m LEFT JOIN longer g ON g.lang = m.lang AND g.p = m.p WHERE most IS NULL OR 100 * most < 50 * m.c
+), cuts AS (
+  SELECT *, unnest(range(1, k)) AS cut FROM alone
+), scored AS (
+  SELECT c.lang, c.p, c.a, cut, h.c AS l, r.c AS r, (1000000 * c.a::HUGEINT * c.a::HUGEINT) // (h.c::HUGEINT * r.c::HUGEINT) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.p = list_slice(c.p, 1, cut) JOIN f r ON r.lang = c.lang AND r.p = list_slice(c.p, cut + 1, c.k)
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM least
+), first AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM ranked QUALIFY rank <= 2000
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM first JOIN totals USING (lang)
+""",
+    "op13_spelling": r"""
+WITH RECURSIVE bits(b, v, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), each AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), bytes AS (
+  SELECT run, n, list_prepend(4294967295, flatten(list_transform(string_split(named, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c)::BIGINT >> 6), 128 + (ord(c)::BIGINT & 63)] END))) AS b FROM each
+), hashed AS (
+  SELECT run, n, xor(list_reduce(b, lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+), altered AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), holes AS (
+  SELECT word, n, i, word[: i - 1] AS head, word[i + 1 :] AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON b.word = a.head || a.tail
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON b.word = a.head || a.tail
+), best AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)
+), ways(word, here) AS (
+  SELECT word, word FROM formed UNION ALL SELECT ways.word, f.form FROM ways JOIN formed f ON f.word = ways.here WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT ways.word, here AS root FROM ways JOIN formed f ON f.word = ways.here WHERE f.form IS NULL
+)
+SELECT f.word, f.form, root, f.n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed f JOIN roots USING (word)
 """,
 }
