@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontam, embed_dedup, langid, mixing, simhash, spelling, token_files, toxicity, url_filters, warc
+from . import chat, collocations, decontam, embed_dedup, html_extract, langid, mixing, simhash, spelling, token_files, toxicity, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(spelling.count_words(_table(spark, sf_dir, "documents")))
 
@@ -97,7 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_toxicity, op3_url_filter, op4_token_files, op5_warc, op6_language, op7_simhash,
-        op8_decontamination, op9_embedding_dedup, op10_chat, op11_collocations, op13_spelling,
+        op8_decontamination, op9_embedding_dedup, op10_chat, op11_collocations, op12_html, op13_spelling,
     )
 }
 
