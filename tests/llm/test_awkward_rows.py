@@ -184,3 +184,50 @@ def test_stages_on_awkward_rows(spark, tmp_path):
             assert out.columns == docs.columns
         held = out
     assert held.count() > 0
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    n = 600_000
+    turns = spark.range(n).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit('say {"x": [1,2]} \\ '), F.col("id").cast("string")).alias("text"),
+    )
+    done = chat.read_back(chat.format_conversations(turns)).select(F.size("read_turns"), F.get("read_turns", F.lit(n - 1))["text"], F.size("loss_texts")).first()
+    assert tuple(done) == (n, f'say {{"x": [1,2]}} \\ {n - 1}', n // 2)
+
+
+def test_fingerprint_does_not_grow_with_the_turns(spark):
+    def element(k, rng):
+        return rng.choice(['{"role":"a","content":"b{}"}'.replace("{}", str(k)), '{ "role" : "u" , "content" : null }', '{"role":"x","content":17}'])
+
+    rng = random.Random(1)
+    records = ['{"messages":[' + ",".join(element(k, rng) for k in range(n)) + "]}" for n in (1, 2, 3, 50, 2000)]
+    pairs = ['{"messages":[' + ",".join(['{"role":"a","content":"b"},{"role":"c","content":"d","name":"e"}'] * n) + "]}" for n in (1, 2, 900)]
+    two = ['{"a":[{"x":"1"},{"x":"2"},{"x":"3"}],"b":[{"y":"1"}]}', '{"a":[{"x":"1"}],"b":[{"y":"1"},{"y":"1"},{"y":"1"}]}', '{"a":[{"y":"1"}],"b":[{"x":"1"}]}']
+    rows = spark.createDataFrame([(r,) for r in [*records, *pairs, *two]], "record string")
+    prints = [r[0] for r in rows.select(chat.fingerprint(F.col("record"))).collect()]
+    shapes = [r[0] for r in rows.select(F.length(chat._shape(F.col("record")))).collect()]
+    assert len(set(prints[:5])) == 1 and len(set(prints[5:8])) == 1 and prints[8] == prints[9] != prints[10] and None not in prints
+    assert shapes[7] < 200
+
+
+def test_rows_without_a_conversation_are_conversations_of_their_own(spark):
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "user", "c")], "conv_id bigint, turn int, role string, text string")
+    got = sorted((r["conv_id"] or 0, r["formatted"]) for r in chat.format_conversations(turns).collect())
+    assert [i for i, _ in got] == [0, 0, 0, 3] and got[0] != got[1] == got[2]
+
+
+def test_record_ids_differ_over_all_partitions():
+    from visledger.llm import warc
+
+    ids = [part << 33 | row for part in (0, 1, 32767, 32768, 65536, (1 << 30) - 1) for row in (0, 5, (1 << 33) - 1)]
+    assert len({warc._urn(i) for i in ids}) == len(ids)
+    assert all(len(warc._urn(i)) == len("<urn:uuid:>") + 36 for i in ids)
+
+
+def test_mix_splits_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, "same words here", "a")] * 3000 + [(i, "other words there", "a") for i in range(3000)], "doc_id bigint, text string, source string")
+    out = mixing.mix(docs, share=0.5)
+    assert out.count() == 6000 and out.agg(F.sum("taken")).first()[0] == 9000
+    half = out.where("doc_id is null").agg(F.sum("copies")).first()[0]
+    assert 1000 < half < 2000

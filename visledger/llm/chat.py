@@ -62,14 +62,29 @@ MAPPINGS = (
     Mapping("question_answer", '{"question":"a","answer":"b"}', fields=(("user", "$.question"), ("assistant", "$.answer"))),
 )
 
+#: Characters of a record's shape that the variant parser takes for certain.
+SHAPE_CHARS = 8 << 20
+
+
 def _shape(record):
-    """A record of the same layout with short texts: escapes go, and every string is cut to 255 characters.
+    """A record of the same layout that is short: values are empty, names cut to 255 characters, elements of an array that repeat side by side stand once.
 
-    So a record of any size has a fingerprint, though the variant parser has a bound.
+    So a record of any size, and with any number of turns, has a fingerprint,
+    though the variant parser has a bound. Elements whose layouts alternate
+    without end are an error beyond ``SHAPE_CHARS``, never an unknown layout.
     """
     for escaped in ("\\\\", '\\"', "\\"):
         record = F.replace(record, F.lit(escaped), F.lit(""))
-    return F.regexp_replace(record, '"([^"]{0,255})[^"]*+"', '"$1"')
+    record = F.translate(record, "\1\2", "")
+    record = F.regexp_replace(record, '"([^"]{0,255})[^"]*+"', "\1$1\2")  # ends of strings that can't be taken for beginnings
+    record = F.regexp_replace(record, "\1[^\2]*+\2(?!\\s*+:)", '""')
+    record = F.regexp_replace(record, "\1([^\2]*+)\2", '"$1"')
+    record = F.regexp_replace(record, r"\s*+([{}\[\],:])\s*+", "$1")
+    record = F.regexp_replace(record, r"(?<=[:,\[])-?[0-9][0-9.eE+-]*+(?=[,}\]])", "0")
+    flat = r"\{[^{}]*+\}"
+    for elements in (flat, flat, f"{flat},{flat}", flat):  # alternating pairs once what repeats has gone
+        record = F.regexp_replace(record, f"({elements}),(?=\\1[,\\]])", "")
+    return F.when(F.length(record) > SHAPE_CHARS, F.raise_error(F.lit("a record has too many layouts of elements to be told by its fingerprint"))).otherwise(record)
 
 
 def fingerprint(record):
@@ -220,11 +235,13 @@ def gather_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     """One JSON record for each conversation from rows of turns: the id and ``record``.
 
     Turns stand by number, null first, then role and text; null roles and texts
-    are empty; a null id is a conversation. Repeated rows are turns of their own.
+    are empty. Rows without an id can't be told to belong together: each is a
+    conversation of one turn. Repeated rows are turns of their own.
     """
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
     item = F.struct(F.col(turn_col).alias("n"), role.alias("role"), text.alias("content"))
-    rows = turns.select(F.col(id_col).alias("id"), item.alias("item")).groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(id_col).alias("id"), item.alias("item"), alone.alias("alone")).groupBy("id", "alone").agg(F.array_sort(F.collect_list("item")).alias("items"))
     messages = F.transform("items", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
     return rows.select(F.col("id").alias(id_col), F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 
