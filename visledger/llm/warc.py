@@ -75,7 +75,7 @@ def plan_revisits(chunks: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFr
 
 
 def _urn(record: int) -> str:
-    return f"<urn:uuid:00000000-0000-4000-8000-{record & (1 << 48) - 1:012x}>"
+    return f"<urn:uuid:00000000-0000-4000-{record >> 48 & 0xFFFF:04x}-{record & (1 << 48) - 1:012x}>"
 
 
 def _clean(text: str | None) -> str:
