@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import hot_keys, materialize, skewed_join
 
-#: Ranges of sorted keys that are swept apart.
-RANGES = 64
+#: Ranges of sorted keys that are swept apart: as many as there are hosts by ``RANGE_HOSTS``, within these bounds.
+RANGE_HOSTS, LEAST_RANGES, MOST_RANGES = 100_000, 64, 1024
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,9 +32,10 @@ def host_key(host):
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "."), F.lit(".")))
 
 
-def _bounds(hosts: DataFrame, ranges: int) -> list[str]:
-    """Keys that part a bounded sample (by hash) of the distinct hosts evenly; at most ``ranges - 1``."""
+def _bounds(hosts: DataFrame, ranges: int | None) -> list[str]:
+    """Keys that part a bounded sample (by hash) of the distinct hosts evenly."""
     n = hosts.count()
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, -(-n // RANGE_HOSTS)))
     rate = min(1.0, 200 * ranges / max(1, n))
     sample = hosts.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("key")
     keys = sorted(r["key"] for r in sample.limit(1000 * ranges).collect())
@@ -43,7 +44,7 @@ def _bounds(hosts: DataFrame, ranges: int) -> list[str]:
 
 def judge(
     pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow",
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """The verdict of the longest fitting rule for every URL.
 
@@ -56,10 +57,11 @@ def judge(
     Rules with a null or empty host or verdict are ignored, a null path is empty;
     of repeated rules with several verdicts the least applies. Hosts are swept
     once each; the pages of a hot one, which may have a third of them, are dealt
-    to many parts when the swept rules are joined.
+    to many parts when the swept rules are joined. Repeated rows are judged
+    alike; an empty table gives an empty one; further columns are not read.
     """
     host, path = host_and_path(F.col(url_col))
-    parsed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    parsed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("spread"))
     hosts = parsed.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
     hosts = materialize(hosts.select("host", host_key(F.col("host")).alias("key"), "n"), "url-hosts")
 
@@ -101,7 +103,7 @@ def judge(
 
     fits = F.filter("active", lambda r: F.substring(F.col("path"), F.lit(1), F.length(r["path"])) == r["path"])
     best = F.array_max(F.coalesce(fits, empty))
-    joined = skewed_join(parsed, stacks, ["host"], hot_keys(hosts, ["host"]), "id", "left").withColumn("best", best)
+    joined = skewed_join(parsed, stacks, ["host"], hot_keys(hosts, ["host"]), "spread", "left").withColumn("best", best)
     return joined.select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
