@@ -168,18 +168,19 @@ def mix(
     ``source_size``, ``target`` (words, of its source), ``copies`` (0 to 3) and
     ``taken`` (``copies * size``); with ``keep`` also that column. A null source is a source; null and empty
     texts have size 0, and are taken as often as their source goes round whole;
-    null ids are hashed like any other. Repeated rows are documents of their own,
+    rows without an id are told apart by their place in the input. Repeated rows are documents of their own,
     taken alike or not as their rank falls. An empty table gives an empty one.
-    Reruns agree: choice follows a hash of seed, id and size.
+    Reruns agree: choice follows a hash of seed, id, size and text.
 
     Only ids, sizes and sources are moved. Documents of a source and length are
     ranked in ``SALTS`` hash buckets, of which all but one are taken whole or not
     at all. One task plans a source from its counts by length.
     """
     more = [F.col(keep).alias("kept_col")] if keep else []
-    rows = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), *more)
-    draw = F.xxhash64(F.lit(seed), "id", "size")
-    rows = materialize(rows.withColumn("draw", draw), "mix-sizes").withColumn("salt", F.pmod("draw", F.lit(SALTS)))
+    rows = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("told"), *more)
+    alone = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    draw = F.xxhash64(F.lit(seed), "id", "size", "told", alone)
+    rows = materialize(rows.withColumn("draw", draw).drop("told"), "mix-sizes").withColumn("salt", F.pmod("draw", F.lit(SALTS)))
     by_salt = materialize(rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-salts")
     lengths = by_salt.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share)
