@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .order import along
 
 NEVER_SEEN = float("-inf")
@@ -55,10 +56,18 @@ def one_vs_rest(cfsn: DataFrame, classes: DataFrame, keys: list[str] | None = No
         return each.join(F.broadcast(classes), "cls", "left_semi").select(*keys, "cls", is_true, score.alias("pred_score"), "weight", one)
     known = cfsn.withColumn("cls", F.col("pred")).join(F.broadcast(classes), "cls", "left_semi")
     known = known.select(*keys, "cls", is_true, F.col("score").alias("pred_score"), "weight", one)
-    missed = cfsn.where((F.col("true") >= 0) & ~F.col("true").eqNullSafe(F.col("pred"))).groupBy(*keys, F.col("true").alias("cls")).agg(F.sum("weight").alias("w1"), F.count("*").alias("n1"))
-    seen = cfsn.groupBy(*keys, F.col("pred").alias("cls")).agg(F.sum("weight").alias("w0"), F.count("*").alias("n0"))
-    total = cfsn.groupBy(*keys).agg(F.sum("weight").alias("w"), F.count("*").alias("m"))
-    both = total.crossJoin(F.broadcast(classes)).join(missed, [*keys, "cls"], "left").join(seen, [*keys, "cls"], "left").na.fill(0)  # a row a class
+    summed = cfsn.groupBy(*keys, "true", "pred").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))  # a row for each pair of classes
+    apart = (F.col("true") >= 0) & ~F.col("true").eqNullSafe(F.col("pred"))
+    part = lambda kind, cls: F.struct(F.lit(kind).alias("kind"), cls.alias("cls"))
+    sides = F.array(part("all", F.lit(None).cast("long")), part("seen", F.col("pred")), part("missed", F.when(apart, F.col("true"))))
+    sums = summed.select(*keys, "w", "n", F.explode(sides).alias("s")).select(*keys, "w", "n", "s.*")
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)))
+    by_class = materialize(sums.groupBy(*keys, "cls").agg(
+        of("all", "w").alias("w"), of("all", "n").alias("m"), of("missed", "w").alias("w1"), of("missed", "n").alias("n1"), of("seen", "w").alias("w0"), of("seen", "n").alias("n0"),
+    ), "class-sums")
+    total = by_class.where("m is not null").select(*keys, "w", "m")
+    rest = by_class.where("cls is not null").select(*keys, "cls", "w0", "n0", "w1", "n1")
+    both = total.crossJoin(F.broadcast(classes)).join(rest, [*keys, "cls"], "left").na.fill(0)  # a row a class
     rest = F.explode(F.array(
         F.struct(F.lit(1).cast("long").alias("is_true"), F.col("w1").cast("double").alias("weight"), F.col("n1").alias("n")),
         F.struct(F.lit(0).cast("long").alias("is_true"), (F.col("w") - F.col("w0") - F.col("w1")).cast("double").alias("weight"), (F.col("m") - F.col("n0") - F.col("n1")).alias("n")),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import intersection, iou
 from ..manifest import Manifest
+from ..storage import forget, materialize
 
 CONFUSION = "gid bigint, true bigint, pred bigint, score double, weight double, iou double, txs bigint, pxs bigint, iou_thresh double"
 NEVER_SEEN = float("-inf")
@@ -62,24 +63,78 @@ def unify_classes(true_names: DataFrame, pred_names: DataFrame) -> DataFrame:
     return every.select("name", "folded").distinct().join(heads, "folded").select("name", "cls")
 
 
-def candidates(true: DataFrame, pred: DataFrame, compat: str = "mutex", bias: float = 0.0, closure: DataFrame | None = None) -> DataFrame:
+#: Boxes of a side from which an image is crowded: its pairs are sought by cells of a grid.
+CROWDED = 1000
+#: Predictions with candidates from which an image's assignment goes in rounds.
+LONG_FOLD = 1000
+
+
+def _pairs_by_cell(t: DataFrame, p: DataFrame, bias: float) -> DataFrame:
+    """Pairs of boxes of an image that overlap, through grids of several cell sizes.
+
+    A box belongs to the grid whose cells are as large as itself, where it lies
+    in four cells at most; the grids grow fourfold. Of two boxes the smaller one
+    is also entered in the grid of the larger. They meet in every cell they
+    share and are a pair in that of the upper left corner of their overlap, so
+    once. Work is in proportion to the boxes and to what lies close together.
+    """
+    def placed(df: DataFrame, box: str) -> DataFrame:
+        side = F.greatest(F.col(f"{box}.w"), F.col(f"{box}.h")) + F.lit(bias)
+        level = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(side, F.lit(1.0))))).cast("int")
+        return df.where(F.col(box).isNotNull()).withColumn("level", level)
+
+    t, p = placed(t, "tbox"), placed(p, "pbox")
+
+    def entered(df: DataFrame, box: str, other: DataFrame, own: str, above) -> DataFrame:
+        levels = other.groupBy("gid").agg(F.collect_set("level").alias("there"))  # a few sizes for each image
+        at = F.concat(
+            F.array(F.struct(F.lit(own).alias("grid"), F.col("level").alias("size"))),
+            F.transform(F.filter("there", above), lambda k: F.struct(F.lit("pt".replace(own, "")).alias("grid"), k.alias("size"))),
+        )
+        rows = df.join(levels, "gid").withColumn("at", F.explode(at)).withColumn("cell", F.pow(F.lit(4.0), F.col("at.size")))
+
+        def span(low, high):
+            return F.sequence(F.floor(low / F.col("cell")), F.floor(F.greatest(low, high) / F.col("cell")))
+
+        x, y = F.col(f"{box}.x"), F.col(f"{box}.y")
+        rows = rows.withColumn("cx", F.explode(span(x, x + F.col(f"{box}.w") + bias)))
+        return rows.withColumn("cy", F.explode(span(y, y + F.col(f"{box}.h") + bias))).drop("there", "level")
+
+    a = entered(t, "tbox", p, "t", lambda k: k > F.col("level"))
+    b = entered(p, "pbox", t, "p", lambda k: k >= F.col("level"))
+    met = a.join(b.drop("cell"), ["gid", "at", "cx", "cy"])
+    corner = lambda c: F.floor(F.greatest(F.col(f"tbox.{c}"), F.col(f"pbox.{c}")) / F.col("cell"))
+    return met.where((corner("x") == F.col("cx")) & (corner("y") == F.col("cy"))).drop("at", "cell", "cx", "cy")
+
+
+def candidates(
+    true: DataFrame, pred: DataFrame, compat: str = "mutex", bias: float = 0.0, closure: DataFrame | None = None, crowded: int | None = CROWDED,
+) -> DataFrame:
     """Pairs that may match, with their IoU (above 0) and ``apart``: one equi-join on the image (and class), the rest a filter.
 
     ``compat``: ``mutex`` (same class), ``all`` (any), or ``ancestors`` (the true
     class is the predicted one or above it, by a table ``ancestor, descendant,
     dist``). ``apart`` is 0 for equal classes, the steps up for ancestors, else 1.
+    Images with more than ``crowded`` boxes on both sides go by cells of a grid
+    (see :func:`_pairs_by_cell`), which gives the same pairs; None: no image does.
     """
     t = true.select("gid", F.col("id").alias("tx"), F.col("cls").alias("tcls"), F.col("bbox").alias("tbox"), F.col("weight").alias("tweight"))
     p = pred.select("gid", F.col("id").alias("px"), F.col("cls").alias("pcls"), F.col("bbox").alias("pbox"))
+    many = None
+    if crowded is not None:
+        many = t.groupBy("gid").count().where(F.col("count") > crowded).select("gid").join(p.groupBy("gid").count().where(F.col("count") > crowded).select("gid"), "gid")
+        many = None if many.isEmpty() else materialize(many, "crowded")
     apart = F.when(F.col("tcls").eqNullSafe(F.col("pcls")), 0).otherwise(1).cast("long")
-    if compat == "mutex":
-        pairs = t.join(p, (t["gid"] == p["gid"]) & (F.col("tcls") == F.col("pcls"))).drop(p["gid"])
-    else:
-        pairs = t.join(p, "gid")
-        if compat == "ancestors":
-            steps = F.col("dist") if "dist" in closure.columns else F.when(F.col("ancestor") == F.col("descendant"), 0).otherwise(1)
-            up = closure.select(F.col("ancestor").alias("tcls"), F.col("descendant").alias("pcls"), steps.cast("long").alias("steps"))
-            pairs, apart = pairs.join(up, ["tcls", "pcls"]), F.col("steps")
+    same = F.col("tcls") == F.col("pcls")
+    few_t, few_p = (x if many is None else x.join(many, "gid", "left_anti") for x in (t, p))
+    pairs = few_t.join(few_p, (few_t["gid"] == few_p["gid"]) & same).drop(few_p["gid"]) if compat == "mutex" else few_t.join(few_p, "gid")
+    if many is not None:
+        near = _pairs_by_cell(t.join(many, "gid", "left_semi"), p.join(many, "gid", "left_semi"), bias)
+        pairs = pairs.unionByName(near.where(same) if compat == "mutex" else near)
+    if compat == "ancestors":
+        steps = F.col("dist") if "dist" in closure.columns else F.when(F.col("ancestor") == F.col("descendant"), 0).otherwise(1)
+        up = closure.select(F.col("ancestor").alias("tcls"), F.col("descendant").alias("pcls"), steps.cast("long").alias("steps"))
+        pairs, apart = pairs.join(up, ["tcls", "pcls"]), F.col("steps")
     overlap = iou(F.col("tbox"), F.col("pbox"), bias)
     return pairs.withColumn("iou", overlap).where("iou > 0").select("gid", "px", "tx", "tweight", "iou", apart.alias("apart"))
 
@@ -108,9 +163,33 @@ def _greedy(ordered: Column, reuse: bool = False) -> Column:
     return F.aggregate(ordered, zero, step, lambda s: s["out"])
 
 
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """The greedy assignment of ``gid, iou_thresh, px, tx, iou, first, neg_score, neg_px`` by deferred acceptance.
+
+    Every prediction asks for its best truth; a truth keeps the first of those
+    that ask, in the order of scores, and all later ones give it up at once and
+    ask for their next. All truths go by that one order, so what is left when
+    nobody is turned away is what a fold in that order gives. No image is one row
+    or one task; a round is two aggregations and a join of the pairs still open.
+    """
+    key, order = ["gid", "iou_thresh"], F.struct("neg_score", "neg_px")
+    rows = materialize(pairs.withColumn("order", order), "rounds")
+    while True:
+        asked = rows.groupBy(*key, "px").agg(F.min(F.struct("first", (-F.col("iou")).alias("neg"), "tx", "order")).alias("b"))
+        held = materialize(asked.groupBy(*key, F.col("b.tx").alias("tx")).agg(F.min(F.struct("b.order", "px", "b.neg")).alias("k"), F.count("*").alias("n")), "held")
+        if held.where("n > 1").isEmpty():
+            forget(rows)
+            return held.select("gid", "k.px", "tx", (-F.col("k.neg")).alias("iou"), "iou_thresh")
+        bound = held.select(*key, "tx", F.col("k.order").alias("held"))
+        rest = rows.join(bound, [*key, "tx"], "left").where(F.col("held").isNull() | (F.col("order") <= F.col("held"))).drop("held")
+        rest = materialize(rest, "rounds")
+        forget(rows, held)
+        rows = rest
+
+
 def match(
     true: DataFrame, pred: DataFrame, pairs: DataFrame, thresholds: tuple = (0.5,), max_dets: int | None = None, prioritize: str = "iou",
-    reuse: bool = False,
+    reuse: bool = False, long_fold: int | None = LONG_FOLD,
 ) -> DataFrame:
     """``gid, px, tx, iou, iou_thresh`` of the greedy assignment.
 
@@ -118,25 +197,33 @@ def match(
     take the free truth of the largest IoU above the threshold (the lesser id
     first among equals); with ``prioritize="class"`` the nearest class comes
     before the overlap. With ``reuse`` a truth may serve again, the least used
-    one first. One image is one fold; only its candidates are gathered, and what
-    is taken is searched in order, so time grows with the square of the boxes of
-    a crowded image.
+    one first. An image is one fold over its candidates; one with more than
+    ``long_fold`` predictions that have candidates goes in rounds instead, with
+    the same result (not with ``reuse``, whose choices depend on all before).
     """
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
-    some = pairs.withColumn("iou_thresh", thr).where("iou > iou_thresh")
     first = F.col("apart") if prioritize == "class" else F.lit(0).cast("long")
-    lists = some.groupBy("gid", "iou_thresh", "px").agg(F.array_sort(F.collect_list(F.struct(first.alias("first"), (-F.col("iou")).alias("neg"), "tx"))).alias("c"))
-    cands = F.transform("c", lambda c, i: F.struct(i.alias("nth"), c["tx"].alias("tx"), (-c["neg"]).alias("iou")))
+    some = pairs.withColumn("iou_thresh", thr).where("iou > iou_thresh").withColumn("first", first)
     ranked = pred.select("gid", F.col("id").alias("px"), "score")
     if max_dets is not None:
         from pyspark.sql import Window
 
         w = Window.partitionBy("gid").orderBy(F.desc("score"), F.desc("px"))
         ranked = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_dets).drop("r")
-    rows = lists.withColumn("cands", cands).join(ranked, ["gid", "px"])
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg_score"), (-F.col("px")).alias("neg_px"), "px", "cands")))
-    out = rows.groupBy("gid", "iou_thresh").agg(ordered.alias("ps"))
-    return out.select("gid", "iou_thresh", F.explode(_greedy(F.col("ps"), reuse)).alias("m")).select("gid", "m.px", "m.tx", "m.iou", "iou_thresh")
+    some = some.join(ranked, ["gid", "px"]).select("gid", "iou_thresh", "px", "tx", "iou", "first", (-F.col("score")).alias("neg_score"), (-F.col("px")).alias("neg_px"))
+    some = materialize(some, "pairs")
+    long = None
+    if long_fold is not None and not reuse:
+        long = some.groupBy("gid", "iou_thresh").agg(F.approx_count_distinct("px").alias("n")).where(F.col("n") > long_fold).select("gid", "iou_thresh")
+        long = None if long.isEmpty() else long
+    short = some if long is None else some.join(long, ["gid", "iou_thresh"], "left_anti")
+    cand = F.struct("first", (-F.col("iou")).alias("neg"), "tx")
+    lists = short.groupBy("gid", "iou_thresh", "px", "neg_score", "neg_px").agg(F.array_sort(F.collect_list(cand)).alias("c"))
+    cands = F.transform("c", lambda c, i: F.struct(i.alias("nth"), c["tx"].alias("tx"), (-c["neg"]).alias("iou")))
+    ordered = F.array_sort(F.collect_list(F.struct("neg_score", "neg_px", "px", "cands")))
+    out = lists.withColumn("cands", cands).groupBy("gid", "iou_thresh").agg(ordered.alias("ps"))
+    out = out.select("gid", "iou_thresh", F.explode(_greedy(F.col("ps"), reuse)).alias("m")).select("gid", "m.px", "m.tx", "m.iou", "iou_thresh")
+    return out if long is None else out.unionByName(_in_rounds(some.join(long, ["gid", "iou_thresh"], "left_semi")))
 
 
 def confusion_vectors(
@@ -145,7 +232,7 @@ def confusion_vectors(
 ) -> DataFrame:
     """Confusion vectors of all images at every threshold."""
     if matched is None:
-        matched = match(true, pred, candidates(true, pred, compat, bias, closure), thresholds, max_dets)
+        matched = materialize(match(true, pred, candidates(true, pred, compat, bias, closure), thresholds, max_dets), "matched")
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("iou_thresh")
     p = pred.select("gid", F.col("id").alias("px"), F.col("cls").alias("pred"), "score", thr)
     if max_dets is not None:

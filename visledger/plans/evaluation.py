@@ -24,13 +24,13 @@ def whole(col, digits: int):
 
 
 def sides(spark, sf):
-    """True and predicted detections of the star tables; rows without a category are left out."""
+    """True and predicted detections of the star tables, written once for all that reads them; rows without a category are left out."""
     cats = star.categories(spark, sf)
     a = star.annotations(spark, sf, cats)
     cols = [F.col("image_id").alias("gid"), "id", F.col("category_id").alias("cls"), "bbox", "score", "weight"]
     true = a.where("bbox is not null and category_id is not null").select(*cols)
     pred = star.predictions(a, cats.count()).where("category_id is not null").select(*cols)
-    return true, pred
+    return materialize(true, "true"), materialize(pred, "pred")
 
 
 _SIDES = """, truth AS (SELECT image_id AS gid, id, category_id AS cls, x, y, w, h, weight FROM annotations WHERE x IS NOT NULL AND category_id IS NOT NULL),
@@ -64,8 +64,9 @@ _MUTEX, _ALL = _matched("tcls = pcls"), _matched("true")
 
 
 def vectors(spark, sf, compat="mutex", thresholds=(0.5,)):
+    """Confusion vectors of the star tables, written once."""
     true, pred = sides(spark, sf)
-    return X.confusion_vectors(true, pred, thresholds, compat)
+    return materialize(X.confusion_vectors(true, pred, thresholds, compat), "vectors")
 
 
 @query("""SELECT a.name AS video, a.id AS gid1, b.id AS gid2 FROM (SELECT i.id, i.name AS iname, v.name FROM images i JOIN videos v ON v.id = video_id) a
@@ -214,14 +215,14 @@ def m14_metrics(spark, sf):
 @query(f"""{_MUTEX}{_OVR}{_CURVE} SELECT cls, max(CAST(floor((sqrt(ppv * tpr * tnr * npv) - sqrt((1 - ppv) * CASE WHEN pos > 0 THEN (pos - tp) / pos ELSE 0 END * fpr * (1 - npv))) * 1e4 + 1e-3) AS BIGINT)) AS mcc
 FROM e WHERE isfinite(thresh) GROUP BY cls""")
 def m14_best_correlation(spark, sf):
-    m = E.metrics(E.curve(_ovr(spark, sf), ["cls"]), ["cls"])
+    m = _measured(spark, sf)
     best = E.best_thresholds(m, ["cls"], ("mcc",))
     return best.select("cls", F.floor(F.col("value") * 1e4 + 1e-3).cast("long").alias("mcc"))
 
 
 @query(f"{_MUTEX}{_OVR}{_CURVE} SELECT cls, {_units('ap')} AS ap FROM scores")
 def m14_average_precision(spark, sf):
-    m = E.metrics(E.curve(_ovr(spark, sf), ["cls"]), ["cls"])
+    m = _measured(spark, sf)
     return E.average_precision(m, ["cls"]).withColumn("ap", units("ap"))
 
 
@@ -256,7 +257,7 @@ def m36_average_precisions(spark, sf):
 @query(f"""{_MUTEX}{_OVR}{_CURVE}, f AS (SELECT cls, thresh, coalesce(2 * ppv * tpr / nullif(ppv + tpr, 0), 0) AS v FROM e WHERE isfinite(thresh))
 SELECT cls, 'f1' AS metric, round(max(v), 6) AS value FROM f GROUP BY cls""")
 def r5_best_thresholds(spark, sf):
-    m = E.metrics(E.curve(_ovr(spark, sf), ["cls"]), ["cls"])
+    m = _measured(spark, sf)
     return E.best_thresholds(m, ["cls"], ("f1",)).select("cls", "metric", F.round("value", 6).alias("value"))
 
 
