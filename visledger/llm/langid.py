@@ -73,7 +73,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """A model from rows with a language; null languages and null texts are passed over.
 
     Learns from an expected ``SAMPLE_DOCS`` documents of each language, chosen by
-    a hash of their ids (rows with one id, or without, are drawn together).
+    a hash of their ids and texts (rows alike in both are drawn together).
     Words are counted in the executors, n-grams from the different words; every
     word and n-gram of the sample is in the model, which reaches the driver as
     Arrow columns. Repeated rows count as often as they occur. An empty table
@@ -87,7 +87,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if not langs:
         return {"langs": [], "w": (pa.array([], pa.string()), np.zeros((0, 0), np.float32)), "g": (pa.array([], pa.string()), np.zeros((0, 0), np.float32))}
     chance = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, SAMPLE_DOCS / sizes[lang]))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1_000_000)) / 1e6
     words = small_batches(rows.where(draw < chance).select("lang", "text")).mapInArrow(_count, "lang string, key string, n long")
     words = materialize(words.groupBy("lang", "key").agg(F.sum("n").alias("n")), "lang-words")
     grams = words.select("lang", F.explode(_gram_columns()).alias("key"), "n").groupBy("lang", "key").agg(F.sum("n").alias("n"))
