@@ -25,9 +25,9 @@ def save(m: Manifest, dst: str) -> None:
         documents.write_view(m, dst)
 
 
-def show(df: DataFrame, rows: int = 1000) -> None:
-    """Print a result, a JSON line a row."""
-    for r in df.limit(rows).toJSON().collect():
+def show(df: DataFrame) -> None:
+    """Print a result, a JSON line a row; the driver holds one partition at a time."""
+    for r in df.toJSON().toLocalIterator():
         print(r)
 
 
@@ -82,7 +82,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             show(stats.extended_stats(s))
     elif a.command == "info":
         for name in TABLES:
-            show(m.table(name).orderBy("id"), a.rows)
+            show(m.table(name).orderBy("id").limit(a.rows))
     elif a.command == "validate":
         show(check.validate(m))
     elif a.command == "eval":

@@ -15,6 +15,8 @@ annotations            id, image_id, category_id, track_id, bbox, segmentation,
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +69,29 @@ class Manifest:
             df.createOrReplaceTempView(prefix + name)
 
 
+class DeferredManifest(Manifest):
+    """A manifest whose tables are made when they are asked for, each once.
+
+    ``makers`` has a function for each table; so a caller who wants the names of
+    images doesn't pay for the numbers of annotations.
+    """
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]], root: str = "", info: dict | None = None):
+        for name, value in (("makers", makers), ("root", root), ("info", info or {})):
+            object.__setattr__(self, name, value)
+
+    def __getattr__(self, name: str):
+        if name not in TABLES:
+            raise AttributeError(name)
+        made = self.makers[name]()
+        object.__setattr__(self, name, made)
+        return made
+
+    def with_tables(self, **tables: DataFrame) -> "Manifest":
+        rest = {name: functools.partial(getattr, self, name) for name in TABLES if name not in tables}
+        return DeferredManifest(rest | {n: functools.partial(lambda df: df, df) for n, df in tables.items()}, self.root, self.info)
+
+
 def empty(spark: SparkSession) -> Manifest:
     return Manifest(**{name: spark.createDataFrame([], ddl) for name, ddl in SCHEMAS.items()})
 

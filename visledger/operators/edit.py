@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..manifest import Manifest, conform_table
+from ..storage import materialize
 from .order import number_rows
 
 
@@ -166,29 +167,37 @@ def reroot(m: Manifest, new_root: str, old_prefix: str | None = None, new_prefix
     return Manifest(**{**m.tables(), "images": im}, root=new_root, info=m.info)
 
 
-#: Missing paths that proposals are made from, and proposals that are counted over all paths.
-PROBES, PROPOSALS = 20, 20
+#: A last part of paths that so many files share tells nothing about where one of them went.
+AMBIGUOUS = 100
 
 
 def find_reroot(paths: DataFrame, there: DataFrame) -> DataFrame:
     """``old_prefix, new_prefix, fixed, missing``: replacements of a leading folder that make missing paths (``file_name``) exist, best first.
 
-    A few missing paths propose what parts them from files of the same last
-    names; the commonest proposals are then counted over all missing paths.
+    Every missing path proposes: it is compared with the files that share its
+    longest end (its last parts), unless that end is one of more than
+    ``AMBIGUOUS`` files; what stands before the common end is the proposal. All
+    proposals are counted over all missing paths below their old folder.
     """
-    files = there.select("file_name").distinct()
-    lost = paths.select("file_name").where("file_name is not null").distinct().join(files, "file_name", "left_anti")
-    last = F.substring_index("file_name", "/", -1)
-    probes = lost.orderBy(F.xxhash64("file_name")).limit(PROBES).select(F.split("file_name", "/").alias("a"), last.alias("last"))
-    pairs = files.select(F.split("file_name", "/").alias("b"), last.alias("last")).join(F.broadcast(probes), "last")  # PROBES rows
-    ra, rb = F.reverse("a"), F.reverse("b")
-    same = F.transform(F.arrays_zip(ra.alias("x"), rb.alias("y")), lambda z: F.coalesce(z["x"] == z["y"], F.lit(False)))
-    n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
-    prefix = lambda c: F.array_join(F.slice(c, F.lit(1), F.size(c) - n), "/")
-    best = pairs.select(prefix("a").alias("old_prefix"), prefix("b").alias("new_prefix")).groupBy("old_prefix", "new_prefix").count()
-    best = best.orderBy(F.desc("count"), "old_prefix", "new_prefix").limit(PROPOSALS).select("old_prefix", "new_prefix")
-    tail = F.when(F.col("old_prefix") == "", F.col("file_name")).when(F.col("file_name").startswith(F.concat("old_prefix", F.lit("/"))), F.substring("file_name", F.length("old_prefix") + 2, F.length("file_name")))
-    tried = lost.crossJoin(F.broadcast(best)).withColumn("tail", tail).where("tail is not null")  # PROPOSALS rows
+    files = there.select("file_name").where("file_name is not null").distinct()
+    lost = materialize(paths.select("file_name").where("file_name is not null").distinct().join(files, "file_name", "left_anti"), "missing")
+
+    def ends(df: DataFrame, head: str) -> DataFrame:
+        parts = F.split("file_name", "/")
+        each = F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n")
+        end = F.array_join(F.slice("parts", F.size("parts") - F.col("n") + 1, F.col("n")), "/")
+        return df.withColumn("parts", parts).select("file_name", "parts", each).select("file_name", "n", end.alias("end"), F.array_join(F.slice("parts", F.lit(1), F.size("parts") - F.col("n")), "/").alias(head))
+
+    names = lost.select(F.substring_index("file_name", "/", -1).alias("last")).distinct()
+    near = files.withColumn("last", F.substring_index("file_name", "/", -1)).join(names, "last", "left_semi").select("file_name")
+    new = ends(near, "new_prefix")
+    few = new.groupBy("end").count().withColumnRenamed("count", "sharing")
+    longest = ends(lost, "old_prefix").join(few, "end").groupBy("file_name").agg(F.max_by(F.struct("end", "old_prefix", "sharing"), "n").alias("b"))
+    told = longest.where(F.col("b.sharing") <= AMBIGUOUS).select("b.end", "b.old_prefix").distinct()
+    asked = materialize(told.join(new.select("end", "new_prefix"), "end").select("old_prefix", "new_prefix").where("old_prefix <> new_prefix").distinct(), "proposals")
+
+    below = ends(lost, "old_prefix").select("old_prefix", F.col("end").alias("tail"))
+    tried = below.join(asked, "old_prefix")
     tried = tried.select("old_prefix", "new_prefix", F.when(F.col("new_prefix") == "", F.col("tail")).otherwise(F.concat_ws("/", "new_prefix", "tail")).alias("file_name"))
     fixed = tried.join(files, "file_name", "left_semi").groupBy("old_prefix", "new_prefix").agg(F.count("*").alias("fixed"))
     return fixed.crossJoin(F.broadcast(lost.agg(F.count("*").alias("missing")))).orderBy(F.desc("fixed"), "old_prefix", "new_prefix")

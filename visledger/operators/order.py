@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import forget, materialize
 
 
 def _ranged(df: DataFrame, order: list) -> tuple[DataFrame, list[Column]]:
     """Rows dealt by ranges of ``order``, sorted in each and written; ``_place`` has the range above bit 33, the row in it below."""
     order = [o if isinstance(o, Column) else F.col(o) for o in order]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    return materialize(dealt, "ordered").withColumn("_part", F.shiftright("_place", 33)), order
+    held = materialize(df, "unordered")  # ranges are sampled first, so the input is read twice
+    dealt = held.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    dealt = materialize(dealt, "ordered")
+    forget(held)
+    return dealt.withColumn("_part", F.shiftright("_place", 33)), order
 
 
 def number_rows(df: DataFrame, order: list, name: str = "nth", start: int = 1) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import posixpath
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..manifest import Manifest
+from ..manifest import DeferredManifest, Manifest
+from ..storage import materialize
 from .edit import remap
-from .order import number_rows
+from .order import along, number_rows
 
 
 def subset(m: Manifest, image_ids: DataFrame) -> Manifest:
@@ -37,23 +39,93 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def _versions(table):
+    """Names of one stem in order, one after another: each that is taken moves on to the next free number above its own."""
+    import pandas as pd
+
+    seen: set[str] = set()
+    free: dict[int, int] = {}
+
+    def first_free(k: int) -> int:
+        way = []
+        while k in free:
+            way.append(k)
+            k = free[k]
+        for w in way:
+            free[w] = k
+        return k
+
+    out = []
+    for name, stem, number in zip(table["name"], table["_stem"], table["_num"]):
+        if name in seen:
+            k = int(number)
+            while name in seen:
+                k = first_free(k + 1)
+                name = f"{stem}_v{k:03d}"
+                if name in seen:  # so written by another name of this stem
+                    free[k] = k + 1
+            free[k] = k + 1
+        seen.add(name)
+        out.append(name)
+    return pd.DataFrame({"_src": table["_src"], "id": table["id"], "_name": out})
+
+
 def unique_names(rows: DataFrame) -> DataFrame:
-    """Repeated names get ``_v001``, ``_v002``, ... in the order of source and id; null names stay.
+    """Repeated names get the next free of ``_v001``, ``_v002``, ... in the order of source and id; null names stay.
 
-    A new name that is taken already moves on to a number above all of that stem.
+    Where only unnumbered names of a stem repeat, the k-th repetition has number
+    k. Where numbered ones are among them, those of that stem are renamed one
+    after another, each from its own number on, as free numbers depend on all
+    before it; such a stem is one group.
     """
     from ..functions.scalars import split_version
 
-    w = Window.partitionBy("name").orderBy("_src", "id")
-    r = rows.withColumn("_nth", F.row_number().over(w) - 1)
     stem, number = split_version(F.col("name"))
-    r = r.withColumns({"_stem": stem, "_num": F.coalesce(number, F.lit(0))})
-    top = Window.partitionBy("_stem")
-    r = r.withColumn("_top", F.max(F.when(F.col("_nth") == 0, F.col("_num"))).over(top))
-    again = Window.partitionBy("_stem", F.col("_nth") == 0).orderBy("_src", "id")
-    fresh = F.format_string("%s_v%03d", F.col("_stem"), (F.col("_top") + F.row_number().over(again)).cast("int"))
-    named = r.withColumn("name", F.when((F.col("_nth") > 0) & F.col("name").isNotNull(), fresh).otherwise(F.col("name")))
-    return named.drop("_nth", "_stem", "_num", "_top")
+    named = rows.where("name is not null").withColumns({"_stem": stem, "_num": F.coalesce(number, F.lit(0)).cast("long")})
+    per_name = named.groupBy("_stem", "name").agg(F.count("*").alias("_n1"))
+    kind = per_name.groupBy("_stem").agg(F.max((F.col("name") != F.col("_stem")).cast("int")).alias("_mixed"), F.max("_n1").alias("_most"))
+    mixed = materialize(kind.where("_mixed = 1 and _most > 1").select("_stem"), "mixed-stems")
+    plain = named.join(mixed, "_stem", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("_src", "id")) - 1
+    plain = plain.withColumn("name", F.when(nth > 0, F.format_string("%s_v%03d", "_stem", nth.cast("int"))).otherwise(F.col("name")))
+    out = plain.select(*rows.columns).unionByName(rows.where("name is null"))
+    if mixed.isEmpty():
+        return out
+    again = named.join(mixed, "_stem", "left_semi")
+    kinds = {f.name: f.dataType.simpleString() for f in again.schema}
+    told = again.select("_src", "id", "name", "_stem", "_num").groupBy("_stem").applyInPandas(
+        lambda t: _versions(t.sort_values(["_src", "id"])), f"_src {kinds['_src']}, id {kinds['id']}, _name string"
+    )
+    fresh = again.join(told, ["_src", "id"]).withColumn("name", F.col("_name"))
+    return out.unionByName(fresh.select(*rows.columns))
+
+
+def remap_ids(rows: DataFrame, reuse: bool = True) -> DataFrame:
+    """``_src, id, new`` for ids of several sources (``_src`` from 0, ``nth`` the place in a source, ``id``): numbers that no source before has.
+
+    With ``reuse`` an id that no source before was given stays as it is; the
+    others, and all without ``reuse``, are given the next number above all
+    given so far, in the order of their first place. That number is the count of
+    those given before, or what an id that stayed has pushed it to: a running
+    sum and a running maximum, so no task goes through a source.
+    """
+    given, start, found = None, 0, []
+    for src in [r["_src"] for r in rows.select("_src").distinct().orderBy("_src").collect()]:  # a row for each source
+        own = rows.where(F.col("_src") == src).groupBy("id").agg(F.min("nth").alias("nth"))
+        stays = F.lit(reuse)
+        if given is not None and reuse:
+            own = own.join(given.select(F.col("new").alias("id"), F.lit(True).alias("_taken")), "id", "left")
+            stays = F.col("_taken").isNull()
+        own = own.withColumn("_stays", stays)
+        counted = along(own.select("id", "nth", "_stays", (~F.col("_stays")).cast("long").alias("_one")), ["nth"], sums={"_c": "_one"})
+        pushed = along(counted.withColumn("_p", F.when(F.col("_stays"), F.col("id") + 1 - F.col("_c"))), ["nth"], maxes={"_m": "_p"})
+        next_id = F.greatest(F.lit(start), F.coalesce("_m", F.lit(start))) + F.col("_c")
+        part = materialize(pushed.select(F.lit(src).alias("_src"), "id", F.when(F.col("_stays"), F.col("id")).otherwise(next_id - 1).alias("new"), next_id.alias("_next")), "remapped")
+        start = max(start, part.agg(F.max("_next")).first()[0] or 0)
+        part = part.select("_src", "id", "new")
+        found.append(part)
+        given = part.select("new") if given is None else given.union(part.select("new"))
+    return reduce(lambda a, b: a.union(b), found)
 
 
 def _renumbered(rows: DataFrame, key: str = "long") -> tuple[DataFrame, DataFrame]:
@@ -64,6 +136,15 @@ def _renumbered(rows: DataFrame, key: str = "long") -> tuple[DataFrame, DataFram
     return mapped.withColumn("id", F.col("_new")).drop("_new"), pairs
 
 
+def _new_ids(ids: DataFrame) -> DataFrame:
+    """``_src, id, new`` of :func:`_renumbered`, from ``_src, id`` alone."""
+    return materialize(_renumbered(ids)[1], "new-ids")
+
+
+def _remap_own(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    return rows.join(pairs, ["_src", "id"]).withColumn("id", F.col("new")).drop("new")
+
+
 def _merged_by_name(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row for each name, as first met, with attributes filled from later ones; the rows, and ``_src, id, new``.
 
@@ -99,15 +180,10 @@ def union(parts: list[Manifest], disjoint_tracks: bool = True) -> Manifest:
     annotations always are. Repeated names of images, videos and (with
     ``disjoint_tracks``) tracks get a suffix; otherwise tracks merge by name.
     Paths become relative to the common root. Pointers to nothing become null.
+    Tables are made when they are asked for.
     """
     root = common_root([p.root for p in parts]) if any(p.root for p in parts) else ""
-    cats, cat_ids = _merged_by_name(_stack([p.categories for p in parts]))
-    kpc_rows = _stack([p.keypoint_categories for p in parts])
-    kpc, kp_ids = _merged_by_name(kpc_rows)
-    kpc = remap(kpc, kp_ids.groupBy("id").agg(F.min_by("new", "_src").alias("new")), "reflection_id")
-
-    vids, vid_ids = _renumbered(unique_names(_stack([p.videos for p in parts])))
-    im = _stack([p.images for p in parts])
+    stacked = lambda name: _stack([p.table(name) for p in parts])
     folder = F.lit("")
     for i, p in enumerate(parts):
         lead = posixpath.relpath(p.root or "/", root or "/") if p.root != root else "."
@@ -116,31 +192,57 @@ def union(parts: list[Manifest], disjoint_tracks: bool = True) -> Manifest:
     def moved(path):
         return F.when(path.startswith("/"), path).otherwise(F.concat(F.col("_folder"), path))
 
-    im = im.withColumn("_folder", folder).withColumn("file_name", moved(F.col("file_name")))
-    im = im.withColumn("assets", F.transform("assets", lambda a: a.withField("file_name", moved(a["file_name"])))).drop("_folder")
-    im, im_ids = _renumbered(unique_names(_remap(im, vid_ids, "video_id")))
-
-    trk = _stack([p.tracks for p in parts])
-    an = _stack([p.annotations for p in parts])
-    loose = an.where("track_id is not null").join(trk.select("_src", F.col("id").alias("track_id")), ["_src", "track_id"], "left_anti")
-    loose = loose.select("_src", F.col("track_id").alias("id")).distinct()
-    if disjoint_tracks:
-        trk, trk_ids = _renumbered(unique_names(trk), "string")
+    @functools.cache
+    def categories():
+        return _merged_by_name(stacked("categories"))
+
+    def keypoint_categories():
+        rows, ids = _merged_by_name(stacked("keypoint_categories"))
+        return remap(rows, ids.groupBy("id").agg(F.min_by("new", "_src").alias("new")), "reflection_id")
+
+    @functools.cache
+    def videos():
+        return _renumbered(unique_names(stacked("videos")))
+
+    def image_rows(with_videos: bool):
+        im = stacked("images").withColumn("_folder", folder).withColumn("file_name", moved(F.col("file_name")))
+        im = im.withColumn("assets", F.transform("assets", lambda a: a.withField("file_name", moved(a["file_name"])))).drop("_folder")
+        return unique_names(_remap(im, videos()[1], "video_id") if with_videos else im)
+
+    @functools.cache
+    def image_ids():
+        return _new_ids(stacked("images").select("_src", "id"))
+
+    @functools.cache
+    def tracks():
+        trk = stacked("tracks")
+        an = stacked("annotations")
+        loose = an.where("track_id is not null").join(trk.select("_src", F.col("id").alias("track_id")), ["_src", "track_id"], "left_anti")
+        loose = loose.select("_src", F.col("track_id").alias("id")).distinct()
+        if not disjoint_tracks:
+            heads = trk.groupBy("name").agg(F.min(F.struct("_src", "id")).alias("at"))
+            ids = trk.join(heads, "name").select("_src", trk["id"], F.col("at.id").alias("new"))
+            rows = heads.select(F.col("at.id").alias("id"), "name", F.lit(None).cast("string").alias("extra"), F.col("at._src").alias("_src"))
+            return rows, ids.unionByName(loose.select("_src", "id", F.col("id").alias("new")))
+        rows, ids = _renumbered(unique_names(trk), "string")
         begin = trk.agg(F.coalesce(F.max(F.col("id").cast("long")) + 1, F.lit(0)).alias("b"))
         numbered = number_rows(loose, ["_src", "id"], "_nth", start=0).crossJoin(F.broadcast(begin))  # one row
-        loose_ids = numbered.select("_src", "id", (F.col("_nth") + F.col("b")).cast("string").alias("new"))
-    else:
-        heads = trk.groupBy("name").agg(F.min(F.struct("_src", "id")).alias("at"))
-        trk_ids = trk.join(heads, "name").select("_src", trk["id"], F.col("at.id").alias("new"))
-        trk = heads.select(F.col("at.id").alias("id"), "name", F.lit(None).cast("string").alias("extra"), F.col("at._src").alias("_src"))
-        loose_ids = loose.select("_src", "id", F.col("id").alias("new"))
-    an = _remap(_remap(_remap(an, im_ids, "image_id"), cat_ids, "category_id"), trk_ids.unionByName(loose_ids), "track_id")
-    an = number_rows(an.withColumnRenamed("id", "_old"), ["_src", "_old"], "id")
-    cols = {name: getattr(parts[0], name).columns for name in ("videos", "images", "tracks", "annotations", "categories", "keypoint_categories")}
-    return Manifest(
-        categories=cats.select(*cols["categories"]), keypoint_categories=kpc.select(*cols["keypoint_categories"]), videos=vids.select(*cols["videos"]),
-        images=im.select(*cols["images"]), tracks=trk.select(*cols["tracks"]), annotations=an.select(*cols["annotations"]), root=root,
-    )
+        return rows, ids.unionByName(numbered.select("_src", "id", (F.col("_nth") + F.col("b")).cast("string").alias("new")))
+
+    def annotations():
+        an = _remap(_remap(stacked("annotations"), categories()[1], "category_id"), tracks()[1], "track_id")
+        an = an.join(image_ids().select("_src", F.col("id").alias("image_id"), F.col("new").alias("_new")), ["_src", "image_id"], "left").withColumn("image_id", F.col("_new")).drop("_new")
+        return number_rows(an.withColumnRenamed("id", "_old"), ["_src", "_old"], "id")
+
+    def images():
+        return _remap_own(image_rows(True), image_ids())
+
+    makers = {
+        "categories": lambda: categories()[0], "keypoint_categories": keypoint_categories, "videos": lambda: videos()[0], "images": images,
+        "tracks": lambda: tracks()[0], "annotations": annotations,
+    }
+    columns = lambda name: parts[0].table(name).columns
+    return DeferredManifest({name: functools.partial(lambda name, make: make().select(*columns(name)), name, make) for name, make in makers.items()}, root)
 
 
 def group_folds(m: Manifest, folds: int = 5, seed: int = 0) -> DataFrame:
