@@ -134,7 +134,7 @@ def test_toxicity_on_held_out_labels(spark):
     held = queries.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     n, caught = held.where("toxic = 1").agg(F.count("*"), F.sum("predicted")).first()
     m, blamed = held.where("toxic = 0").agg(F.count("*"), F.sum("predicted")).first()
-    assert n > 50 and caught / n >= 0.75 and blamed / m <= 0.15, (caught, n, blamed, m)
+    assert n > 50 and caught / n >= 0.8 and blamed / m <= 0.06, (caught, n, blamed, m)
 
 
 def test_small_budgets_are_subset_sums():
@@ -231,3 +231,20 @@ def test_mix_splits_rows_without_id(spark):
     assert out.count() == 6000 and out.agg(F.sum("taken")).first()[0] == 9000
     half = out.where("doc_id is null").agg(F.sum("copies")).first()[0]
     assert 1000 < half < 2000
+
+
+def test_toxicity_learns_from_the_end_of_a_very_long_text(spark):
+    rng = random.Random(5)
+    plain = [f"plain{i}word" for i in range(40)]
+    rows, marks = [], []
+    for i in range(60):
+        words = rng.choices(plain, k=60_000 if i < 4 else 80)
+        if i % 2:
+            words[-2] = rng.choice(["horridible", "vilestuff"])
+        rows.append((i, " ".join(words)))
+        marks.append((i, i % 2))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.score(" ".join(plain * 900)) < 0.5 < model.score(" ".join(plain * 900) + " horridible vilestuff")
+    again = toxicity.fit(docs.repartition(7), labels)
+    assert np.array_equal(model.embedding, again.embedding) and model.bias == again.bias

@@ -3,9 +3,11 @@
 A word's vector is the mean of the vectors of its hashed subwords (the word and
 its character n-grams); a passage's vector is the mean over its words; two
 classes follow by a linear softmax. Embeddings and softmax are trained jointly
-in numpy, first on whole documents, then on the passage of each document that
-the model finds worst (a toxic document need not be toxic throughout). The
-score of a document is that of its worst passage, so long texts are not diluted.
+in numpy, first on passages from anywhere in the documents, then on the passage of
+each document that the model finds worst (a toxic document need not be toxic
+throughout). The score of a document is that of its worst passage, so long texts
+are not diluted. Tasks look for the passages in whole texts; the driver, which
+trains, gets nothing but passages.
 """
 
 from __future__ import annotations
@@ -18,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, small_batches
+from .common import forget, materialize, maybe_broadcast, small_batches
 
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
 #: Words of a passage; passages start at every word.
-PASSAGE = 12
-#: Bounds of the training sample: documents of each label (expected, and four times as many rows at most), whatever
-#: their length; of a text with more characters than STRETCH a stretch of so many from a place chosen by a hash.
-SAMPLE_DOCS = 1200
-STRETCH = 250_000
+PASSAGE = 3
+#: Bounds of the training sample: toxic and clean documents (expected, and twice as many rows at most), whatever their length.
+SAMPLE_DOCS, SAMPLE_CLEAN = 1200, 3600
+#: How much a clean document blamed counts against a toxic one caught when the threshold is placed.
+BLAME = 2
 #: Words whose scores a worker remembers.
 MEMORY = 400_000
 
@@ -129,10 +131,88 @@ def _step(state, bags, y: np.ndarray, cost: np.ndarray, rate: float, decay: floa
         value -= 0.05 * g / np.sqrt(total)
 
 
-def train(
-    texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, epochs: int = 3, rate: float = 0.3, decay: float = 1e-3,
-) -> Model:
-    """Fit embeddings and softmax jointly; deterministic for a given order of texts.
+def _held(key: int, seed: int) -> bool:
+    """Whether a document is kept back to place the threshold: one in five."""
+    return np.random.default_rng([seed, key]).random() < 0.2
+
+
+def _picked(words: list[str], label: int, key: int, stage: int, model: Model | None, seed: int) -> list[list[str]]:
+    """The passages of a document that a round learns from: at first random ones, then the worst and, of a clean one, random others."""
+    last = max(0, len(words) - PASSAGE)
+    n = 0 if model and label else 3 if model else 8
+    places = np.random.default_rng([seed, key, stage]).integers(0, last + 1, n).tolist()
+    if model:
+        places.append(int(model.passages(words).argmax()))
+    return [words[k : k + PASSAGE] for k in places]
+
+
+class _Texts:
+    """A sample at hand."""
+
+    def __init__(self, texts: list[str], labels: list[int], seed: int):
+        self.rows = [(k, y, words_of(t)) for k, (t, y) in enumerate(zip(texts, labels))]
+        self.seed = seed
+
+    def passages(self, stage: int, model: Model | None):
+        rows = [(y, p) for k, y, w in self.rows if w and not _held(k, self.seed) for p in _picked(w, y, k, stage, model, self.seed)]
+        return [p for _, p in rows], np.array([y for y, _ in rows], np.int64)
+
+    def worst(self, model: Model):
+        rows = [(float(model.passages(w).max()), y, _held(k, self.seed)) for k, y, w in self.rows if w]
+        return tuple(np.array(c) for c in zip(*rows)) if rows else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))
+
+
+class _Sample:
+    """A sample in the shared folder, rows ``key, y, t``; its texts are read in tasks each round."""
+
+    def __init__(self, rows: DataFrame, seed: int):
+        self.rows, self.seed = rows, seed
+
+    def _each(self, work, schema: str):
+        return small_batches(self.rows.select("key", "y", F.col("t").cast("binary"))).mapInArrow(work, schema).toArrow()
+
+    def passages(self, stage: int, model: Model | None):
+        shared, seed = self.rows.sparkSession.sparkContext.broadcast(model), self.seed  # BUCKETS x DIM floats
+
+        def work(batches):
+            for b in batches:
+                out = []
+                for k, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    words = words_of(t.as_buffer().to_pybytes().decode("utf-8", "replace"))
+                    if words and not _held(k, seed):
+                        out += [(k, n, y, " ".join(p)) for n, p in enumerate(_picked(words, y, k, stage, shared.value, seed))]
+                yield pa.RecordBatch.from_pylist([dict(zip(("key", "n", "y", "passage"), x)) for x in out], _PICKED)
+
+        found = self._each(work, "key long, n long, y int, passage string").sort_by([("key", "ascending"), ("n", "ascending"), ("passage", "ascending")])
+        return [p.split(" ") for p in found.column("passage").to_pylist()], found.column("y").to_numpy().astype(np.int64)
+
+    def worst(self, model: Model):
+        shared, seed = self.rows.sparkSession.sparkContext.broadcast(model), self.seed
+
+        def work(batches):
+            for b in batches:
+                out = []
+                for k, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    words = words_of(t.as_buffer().to_pybytes().decode("utf-8", "replace"))
+                    if words:
+                        out.append({"z": float(shared.value.passages(words).max()), "y": y, "held": _held(k, seed)})
+                yield pa.RecordBatch.from_pylist(out, _WORST)
+
+        found = self._each(work, "z double, y int, held boolean")
+        return found.column("z").to_numpy(), found.column("y").to_numpy().astype(np.int64), found.column("held").to_numpy(zero_copy_only=False).astype(bool)
+
+
+_PICKED = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("y", pa.int32()), ("passage", pa.string())])
+_WORST = pa.schema([("z", pa.float64()), ("y", pa.int32()), ("held", pa.bool_())])
+
+
+def train(texts: list[str], labels: list[int], seed: int = 7, **options) -> Model:
+    """Fit to texts at hand; see :func:`learn`."""
+    return learn(_Texts(texts, labels, seed), seed, **options)
+
+
+def learn(sample, seed: int = 7, rounds: int = 6, epochs: int = 3, rate: float = 0.3, decay: float = 3e-3) -> Model:
+    """Fit embeddings and softmax jointly; deterministic for a given sample.
 
     The first round learns from random passages under their document's label.
     Later ones take, of each toxic document, the passage that the model finds
@@ -140,32 +220,14 @@ def train(
     five is kept back to place the threshold.
     """
     rng = np.random.default_rng(seed)
-    known = _Words()
-    docs = [known.numbers(words_of(t)) for t in texts]
-    keep = [i for i, d in enumerate(docs) if len(d)]
-    docs, labels = [docs[i] for i in keep], np.array([labels[i] for i in keep], np.int64)
-    known.close()
-    held = rng.random(len(docs)) < 0.2
     emb, weight, bias = rng.normal(0, 0.3, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     state = emb, weight, bias, [np.full_like(emb, 1e-6), np.full_like(weight, 1e-3), np.full_like(bias, 1e-3)]
-
-    def scores():
-        """Score of every known word under the present state."""
-        each = (emb @ (weight[:, 1] - weight[:, 0]))[known.flat]
-        return np.add.reduceat(each, known.begin) / known.count
-
+    model = None
     for stage in range(rounds):
-        table = scores() if stage else None
-        passages, targets = [], []
-        for words, label in zip((d for d, h in zip(docs, held) if not h), labels[~held]):
-            last = max(0, len(words) - PASSAGE)
-            picks = rng.integers(0, last + 1, 8 if stage == 0 else 3).tolist() if not (stage and label) else []
-            if stage:
-                picks.append(int(_means(table[words]).argmax()))
-            for k in picks:
-                passages.append(words[k : k + PASSAGE])
-                targets.append(label)
-        targets = np.array(targets, np.int64)
+        texts, targets = sample.passages(stage, model)
+        known = _Words()
+        passages = [known.numbers(p) for p in texts]
+        known.close()
         balance = len(targets) / (2 * np.maximum(1, np.bincount(targets, minlength=2)))
         for _ in range(epochs):
             order = rng.permutation(len(passages))
@@ -173,11 +235,10 @@ def train(
                 take = order[i : i + 256]
                 y = targets[take]
                 _step(state, known.bags([passages[k] for k in take]), y, balance[y] / len(y), rate, decay / len(y))
-    model = Model(emb.astype(np.float32), weight, float(bias[1] - bias[0]))
-    table = scores()
-    logits = np.array([_means(table[d]).max() for d in docs])
-    use = held if len(set(labels[held].tolist())) == 2 else np.ones(len(docs), bool)
-    return _calibrated(model, logits[use] + model.bias, labels[use])
+        model = Model(emb.astype(np.float32), weight.copy(), float(bias[1] - bias[0]))
+    z, labels, held = sample.worst(model)
+    use = held if len(set(labels[held].tolist())) == 2 else np.ones(len(z), bool)
+    return _calibrated(model, z[use] + model.bias, labels[use])
 
 
 def _means(each: np.ndarray) -> np.ndarray:
@@ -197,7 +258,7 @@ def _calibrated(model: Model, z: np.ndarray, y: np.ndarray) -> Model:
     clean, toxic = np.sort(z[y == 0]), np.sort(z[y == 1])
     caught = 1 - np.searchsorted(toxic, cuts) / len(toxic)
     spared = np.searchsorted(clean, cuts) / len(clean)
-    cut = float(cuts[int((caught + 3 * spared).argmax())])
+    cut = float(cuts[int((caught + BLAME * spared).argmax())])
     spread = max(1e-6, float(np.std(clean)))
     return Model(model.embedding, model.weight, model.bias - cut, 2.0 / spread)
 
@@ -208,24 +269,30 @@ def fit(
 ) -> Model | None:
     """Train on documents with a label 0 or 1; ``None`` where a label is missing altogether.
 
-    The sample is an expected ``SAMPLE_DOCS`` documents of each label chosen by a
-    hash of their ids, short and long ones alike. Null texts, null ids and other
-    labels are passed over; an id with both labels is toxic; repeated ids of
-    documents are rows of their own, up to the bound of all.
+    The sample is an expected ``SAMPLE_DOCS`` toxic and ``SAMPLE_CLEAN`` clean
+    documents chosen by a hash of their ids, short and long ones alike and whole.
+    Null texts, null ids and other labels are passed over; an id with both labels
+    is toxic; repeated ids of documents are rows of their own, up to twice the
+    bound of all.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     marked = marked.groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, SAMPLE_DOCS / sizes[1]))).otherwise(min(1.0, SAMPLE_DOCS / sizes[0]))
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, SAMPLE_DOCS / sizes[1]))).otherwise(min(1.0, SAMPLE_CLEAN / sizes[0]))
     drawn = marked.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1e6 < share)
-    place = F.pmod(F.xxhash64("t", F.lit(seed)), F.greatest(F.lit(1), F.length("t") - STRETCH + 1)).cast("int") + 1
-    part = F.when(F.length("t") > STRETCH, F.substring(F.col("t"), place, F.lit(STRETCH))).otherwise(F.col("t"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
-    rows = texts.join(maybe_broadcast(drawn), "id").select("id", "y", part.alias("t"), F.xxhash64("id", "t", F.lit(seed)).alias("h"))
-    rows = sorted(rows.orderBy("h").limit(4 * SAMPLE_DOCS).collect(), key=lambda r: (r["id"], r["y"], r["t"]))
-    return train([r["t"] for r in rows], [r["y"] for r in rows], seed)
+    key = F.xxhash64("id", "t", F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
+    rows = texts.join(maybe_broadcast(drawn), "id").select(key.alias("key"), "y", "t")
+    kept = materialize(rows, "toxicity-labelled")
+    bound = 2 * (SAMPLE_DOCS + SAMPLE_CLEAN)
+    keys = kept.select("key").orderBy("key").limit(bound)
+    last = keys.agg(F.max("key")).first()[0]
+    sample = materialize(kept.where(F.col("key") <= F.lit(last)).repartition("key"), "toxicity-sample")
+    model = learn(_Sample(sample, seed), seed) if last is not None else None
+    forget(kept, sample)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
