@@ -27,6 +27,8 @@ DIM = 8
 GRAMS = (3, 4, 5)
 #: Words of a passage; passages start at every word.
 PASSAGE = 3
+#: Passages of a document that a round takes for its worst.
+WORST = 3
 #: Bounds of the training sample: toxic and clean documents (expected, and twice as many rows at most), whatever their length.
 SAMPLE_DOCS, SAMPLE_CLEAN = 1200, 3600
 #: How much a clean document blamed counts against a toxic one caught when the threshold is placed.
@@ -142,10 +144,20 @@ def _picked(words: list[str], label: int, key: int, stage: int, model: Model | N
     n = 0 if model and label else 3 if model else 8
     places = np.random.default_rng([seed, key, stage]).integers(0, last + 1, n).tolist()
     if model:
-        places.append(int(model.passages(words).argmax()))
+        places += _worst(model.passages(words), WORST)
     return [words[k : k + PASSAGE] for k in places]
 
 
+def _worst(scores: np.ndarray, n: int) -> list[int]:
+    """Places of the ``n`` worst passages that don't overlap."""
+    left, out = scores.copy(), []
+    while len(out) < n and np.isfinite(left).any():
+        k = int(left.argmax())
+        out.append(k)
+        left[max(0, k - PASSAGE + 1) : k + PASSAGE] = -np.inf
+    return out
+
+
 class _Texts:
     """A sample at hand."""
 
