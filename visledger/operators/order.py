@@ -33,24 +33,27 @@ def number_rows(df: DataFrame, order: list, name: str = "nth", start: int = 1) -
     return rows.join(F.broadcast(starts), "_part").select(*[c for c in df.columns if c != name], nth.cast("long").alias(name))
 
 
-def along(df: DataFrame, order: list, sums: dict | None = None, maxes: dict | None = None, lags: dict | None = None) -> DataFrame:
-    """``df`` with running sums, running maxima and values of the row before (dicts: new column to column) along ``order``, over the whole table.
+def along(df: DataFrame, order: list, sums: dict | None = None, maxes: dict | None = None, lags: dict | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``df`` with running sums, running maxima and values of the row before (dicts: new column to column) along ``order``, over the whole table or within each of ``keys``.
 
-    What ranges hold comes first, a row for each, then each row's within its
-    range. Rows that are equal in ``order`` should have been grouped. The first
-    row has null for the row before.
+    What ranges hold comes first, a row for each range and key, then each row's
+    within its range; so one key of any size is many tasks. Rows that are equal
+    in ``order`` should have been grouped; keys aren't null. The first row has
+    null for the row before.
     """
-    rows, _ = _ranged(df, order)
+    keys = keys or []
+    rows, _ = _ranged(df, [*keys, *order])
     parts = [("s", F.sum, sums or {}), ("m", F.max, maxes or {}), ("l", lambda c: F.max_by(F.struct(c), "_place"), lags or {})]
     aggs = [f(c).alias(f"_{kind}{i}") for kind, f, cols in parts for i, c in enumerate(cols.values())]
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    every = Window.partitionBy(*keys) if keys else Window
+    before = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and key
     lead = {"s": lambda c: F.sum(c).over(before), "m": lambda c: F.max(c).over(before), "l": lambda c: F.last(c, ignorenulls=True).over(before)}
-    heads = rows.groupBy("_part").agg(*aggs)
-    heads = heads.select("_part", *[lead[kind](f"_{kind}{i}").alias(f"_{kind}{i}") for kind, _, cols in parts for i in range(len(cols))])
-    place = Window.partitionBy("_part").orderBy("_place")
+    heads = rows.groupBy("_part", *keys).agg(*aggs)
+    heads = heads.select("_part", *keys, *[lead[kind](f"_{kind}{i}").alias(f"_{kind}{i}") for kind, _, cols in parts for i in range(len(cols))])
+    place = Window.partitionBy("_part", *keys).orderBy("_place")
     within = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.row_number().over(place) == 1
-    found = rows.join(F.broadcast(heads), "_part")
+    found = rows.join(heads if keys else F.broadcast(heads), ["_part", *keys])
     new = [(F.coalesce(f"_s{i}", F.lit(0)) + F.sum(c).over(within)).alias(n) for i, (n, c) in enumerate(parts[0][2].items())]
     new += [F.greatest(f"_m{i}", F.max(c).over(within)).alias(n) for i, (n, c) in enumerate(parts[1][2].items())]
     new += [F.when(first, F.col(f"_l{i}")[c]).otherwise(F.lag(c).over(place)).alias(n) for i, (n, c) in enumerate(parts[2][2].items())]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that define ``QUERIES`` and ``SQL``.
-MODULES = ["columns", "statistics", "hierarchy", "edits", "sets", "evaluation", "connectors", "more", "masks"]
+MODULES = ["columns", "statistics", "hierarchy", "edits", "sets", "evaluation", "connectors", "more", "masks", "reports"]
 
 
 def _collect(name: str) -> dict:

@@ -74,10 +74,10 @@ def from_kw18(rows: DataFrame, video: str = "video") -> Manifest:
     )
 
 
-def read_labelme(spark: SparkSession, path: str) -> DataFrame:
-    """``file_name, width, height, label, shape_type, points, bbox`` for each shape of LabelMe JSON files."""
+def read_labelme(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``file_name, width, height, label, shape_type, points, bbox`` for each shape of LabelMe JSON files, or of files with a record on each line."""
     schema = "imagePath string, imageWidth bigint, imageHeight bigint, shapes array<struct<label:string,shape_type:string,points:array<array<double>>>>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
+    docs = spark.read.schema(schema).option("multiLine", not lines).json(path)
     s = docs.select(F.col("imagePath").alias("file_name"), F.col("imageWidth").alias("width"), F.col("imageHeight").alias("height"), F.explode("shapes").alias("s"))
     xs, ys = F.transform("s.points", lambda p: p[0]), F.transform("s.points", lambda p: p[1])
     box = F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
