@@ -32,7 +32,7 @@ from .common import forget, materialize, small_batches
 #: Words of the longest phrases; occurrences that make a phrase a candidate; rows for each language.
 DEPTH, LEAST, TOP = 3, 10, 2000
 #: Words of a shard.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 3 << 19
 #: Filter bits for each frequent phrase, and at most (a filter is broadcast: 16 MB).
 FILTER_BITS, MOST_BITS = 16, 1 << 27
 #: Parts that a language's candidates are ranked in before they meet.
