@@ -38,3 +38,32 @@ def test_commands(spark, tmp_path, capsys):
     assert {r["name"] for r in documents.read_any(spark, str(tmp_path / "m.json")).categories.collect()} == {"lion", "Big Dog"}
     cli.main(["move_assets", a, "--moves", "x=y", "--dst", str(tmp_path / "z.zip")], spark)
     assert documents.read_any(spark, str(tmp_path / "z.zip")).images.count() == 4
+
+
+def test_further_commands(spark, tmp_path, capsys):
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "0.png").write_bytes(b"x")
+    (tmp_path / "old" / "stray.png").write_bytes(b"x")
+    a = write(tmp_path / "old" / "a.json", [[1, 2, 3, 4]])
+    cli.main(["find_unregistered_images", a], spark)
+    found = {json.loads(x)["path"].rpartition("/")[2] for x in capsys.readouterr().out.splitlines()}
+    assert "stray.png" in found and "0.png" not in found
+    cli.main(["plot_stats", a, "--dst", str(tmp_path / "tables")], spark)
+    assert spark.read.parquet(str(tmp_path / "tables" / "annotations")).count() == 1 and spark.read.parquet(str(tmp_path / "tables" / "images")).count() == 4
+    (tmp_path / "new").mkdir()
+    moved = str(tmp_path / "new" / "b.json")
+    cli.main(["move", a, "--dst", moved], spark)
+    m = documents.read_any(spark, moved)
+    assert not (tmp_path / "old" / "a.json").exists() and m.images.where("id = 0").first()["file_name"] == str(tmp_path / "old" / "0.png")
+    cli.main(["toydata", "shapes4", "--dst", str(tmp_path / "toy.json")], spark)
+    assert documents.read_any(spark, str(tmp_path / "toy.json")).images.count() == 4
+
+
+def test_a_manifest_of_confusions(spark, tmp_path):
+    from visledger.operators import match
+
+    a = documents.read_any(spark, write(tmp_path / "a.json", [[0, 0, 8, 8], [10, 0, 8, 8], [0, 0, 8, 8]]))
+    b = documents.read_any(spark, write(tmp_path / "b.json", [[0, 0, 8, 8], [50, 0, 8, 8]], 0.9))
+    m = match.confusion_manifest(a, b, match.confusion_vectors(match.detections(a), match.detections(b)))
+    got = sorted((r["id"], json.loads(r["extra"])["side"], json.loads(r["extra"])["role"]) for r in m.annotations.collect())
+    assert got == [(1, "true", "true positive"), (2, "true", "false negative"), (3, "true", "false negative"), (5, "pred", "true positive"), (6, "pred", "false positive")]

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .manifest import TABLES, Manifest
-from .operators import check, curves, edit, match, select, setops, stats
+from .operators import check, curves, edit, match, select, setops, shapes, stats
 from .operators import evaluate as scoring
 from .sources import documents
+from .storage import remove
 
 
 def save(m: Manifest, dst: str) -> None:
@@ -53,7 +55,7 @@ def evaluate(true: Manifest, pred: Manifest, thresholds: tuple = (0.5,), compat:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("command", choices=["stats", "info", "validate", "union", "subset", "split", "eval", "conform", "modify_categories", "reroot", "move_assets", "fixup"])
+    p.add_argument("command", choices=["stats", "info", "validate", "union", "subset", "split", "eval", "conform", "modify_categories", "reroot", "move_assets", "fixup", "move", "find_unregistered_images", "plot_stats", "toydata"])
     p.add_argument("src", nargs="+")
     p.add_argument("--dst", nargs="*", default=[])
     p.add_argument("--images", help="a condition on images")
@@ -73,6 +75,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--areas", action="store_true", help="also scores by ranges of areas and whatever the class")
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("visledger").getOrCreate()
+    if a.command == "toydata":  # the source is the key of a demo
+        from .sources.demo import demo
+
+        return save(demo(spark, a.src[0]), a.dst[0])
     sources = [documents.read_any(spark, s) for s in a.src]
     m = sources[0]
     if a.command == "stats":
@@ -90,6 +96,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         show(scores if a.areas else scores.where("name is not null"))
     elif a.command == "conform":
         show(edit.conform(m)) if not a.dst else edit.conform(m).write.mode("overwrite").parquet(a.dst[0])
+    elif a.command == "find_unregistered_images":
+        from .operators import files
+
+        root = a.root or m.root
+        there = files.present(spark, root).select(F.concat(F.lit(root.rstrip("/") + "/"), "file_name").alias("path"))
+        show(select.unregistered(select.paths(m.images, root), there).where("state = 'unregistered'").select("path"))
+    elif a.command == "plot_stats":
+        for name, df in (("images", stats.per_image_table(m)), ("annotations", stats.per_annotation_table(m)), ("polygons", shapes.polygon_shapes(m)), ("boxes", stats.box_stats(m))):
+            df.write.mode("overwrite").parquet(f"{a.dst[0]}/{name}")
     elif a.command == "split":
         for part, dst in zip(setops.split(m, a.folds, a.fold), a.dst):
             save(part, dst)
@@ -102,6 +117,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             m = edit.modify_categories(m, a.rename, a.categories, a.drop_empty, a.start)
         elif a.command == "reroot":
             m = edit.reroot(m, a.root, absolute=a.absolute)
+        elif a.command == "move":  # paths stay what they point to
+            m = edit.reroot(m, os.path.dirname(os.path.abspath(a.dst[0])))
         elif a.command == "move_assets":
             m = edit.move_assets(m, [tuple(x.split("=", 1)) for x in a.moves])
         elif a.command == "fixup":
@@ -109,6 +126,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
 
             m = edit.drop_empty(files.drop_files(m, files.missing(m, files.present(spark, a.root or m.root))))
         save(m, a.dst[0])
+        if a.command == "move":
+            remove(spark, a.src[0])
 
 
 if __name__ == "__main__":

@@ -257,6 +257,29 @@ def confusion_vectors(
     return rows.unionByName(rest)
 
 
+def roles(vectors: DataFrame) -> DataFrame:
+    """Confusion vectors with their ``role``: true positive, confused (of another class), false positive or false negative."""
+    t, p = F.col("true"), F.col("pred")
+    role = F.when(t < 0, "false positive").when(p < 0, "false negative").when(t == p, "true positive").otherwise("confused")
+    return vectors.withColumn("role", role)
+
+
+def confusion_manifest(true: Manifest, pred: Manifest, vectors: DataFrame) -> Manifest:
+    """The true manifest with an annotation for each true and each predicted box that says in ``extra`` which role it has, with what overlap and partner.
+
+    Predicted boxes are numbered behind the true ones; images and classes are
+    those of the true manifest.
+    """
+    r = roles(vectors)
+    top = true.annotations.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    note = lambda side, other: F.to_json(F.struct(F.lit(side).alias("side"), "role", F.when(F.col("iou") >= 0, F.col("iou")).alias("iou"), F.when(F.col(other) >= 0, F.col(other)).alias("partner")))
+    t = true.annotations.drop("extra").join(r.where("txs >= 0").select(F.col("txs").alias("id"), note("true", "pxs").alias("extra")), "id")
+    p = pred.annotations.drop("extra").join(r.where("pxs >= 0").select(F.col("pxs").alias("id"), note("pred", "txs").alias("extra")), "id")
+    p = p.crossJoin(F.broadcast(top)).withColumn("id", F.col("id") + F.col("top") + 1).drop("top")  # one row
+    cols = true.annotations.columns
+    return true.with_tables(annotations=t.select(*cols).unionByName(p.select(*cols)))
+
+
 def ignored(pred: DataFrame, regions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``gid, px, covered``: predictions of which more than ``threshold`` lies in ignore regions (``gid, bbox``)."""
     r = regions.select("gid", F.col("bbox").alias("rbox"))

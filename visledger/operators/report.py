@@ -86,3 +86,9 @@ def ovr_report(rows: DataFrame) -> DataFrame:
 def average(report: DataFrame) -> DataFrame:
     """One row: the metrics averaged by support, undefined ones left out, and all support."""
     return report.agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in METRICS], F.sum("support").alias("support"))
+
+
+def brier(rows: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
+    """``brier, n``: mean squared gap of a probability to what is true (0 or 1)."""
+    gap = F.col(score) - F.col(truth)
+    return rows.agg((F.sum(gap * gap) / F.count("*")).alias("brier"), F.count("*").alias("n"))

@@ -34,6 +34,25 @@ def common_root(roots: list[str]) -> str:
     return lead + "/".join(parts[0][:n]) if parts else ""
 
 
+def common_folder(paths: DataFrame, col: str = "file_name") -> DataFrame:
+    """One row ``root``: the longest folder that all paths of a table share; what the least and the largest share, all do."""
+    ends = paths.agg(F.min(col).alias("a"), F.max(col).alias("b"))
+    parts = lambda c: F.slice(F.split(c, "/"), F.lit(1), F.size(F.split(c, "/")) - 1)
+    differ = F.transform(F.arrays_zip(parts(F.col("a")).alias("x"), parts(F.col("b")).alias("y")), lambda z: ~F.coalesce(z["x"] == z["y"], F.lit(False)))
+    n = F.array_position(differ, True)
+    return ends.select(F.array_join(F.slice(parts(F.col("a")), F.lit(1), F.when(n > 0, n - 1).otherwise(F.size(differ)).cast("int")), "/").alias("root"))
+
+
+def both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that are in both tables, each once."""
+    return a.intersect(b)
+
+
+def without(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of one table that aren't in another, as often as they are."""
+    return a.join(b.distinct(), [a[c].eqNullSafe(b[c]) for c in a.columns], "left_anti")
+
+
 def _stack(frames: list[DataFrame]) -> DataFrame:
     tagged = [f.withColumn("_src", F.lit(i)) for i, f in enumerate(frames)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

@@ -189,6 +189,30 @@ def confusion(rows: DataFrame, true: str = "true", pred: str = "pred", weight: s
     return rows.groupBy(F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.sum(weight).alias("total"))
 
 
+def coarsened(rows: DataFrame, above: DataFrame, other: str = "none", true: str = "true", pred: str = "pred", weight: str = "weight") -> DataFrame:
+    """The confusion matrix of coarser classes: ``above`` has a row ``cls, top`` for each class; classes without one are ``other``."""
+    up = lambda side: F.broadcast(above.select(F.col("cls").alias(side), F.col("top").alias(f"{side}_top")))  # noqa: E731  a row for each class
+    found = rows.join(up(true), true, "left").join(up(pred), pred, "left")
+    named = lambda side: F.coalesce(f"{side}_top", F.lit(other)).alias(side)
+    return confusion(found.select(named(true), named(pred), weight), true, pred, weight)
+
+
+def distinct_counts(df: DataFrame, **columns: str) -> DataFrame:
+    """One row: how many different values some columns have (names of the result to columns); null is none."""
+    return df.agg(*[F.count_distinct(c).alias(n) for n, c in columns.items()])
+
+
+def image_totals(**groups: DataFrame) -> DataFrame:
+    """``tag, n_imgs, n_videos, pixels`` of several tables of images, side by side in one pass."""
+    every = None
+    for tag, im in groups.items():
+        part = im.select("video_id", "width", "height", F.lit(tag).alias("tag"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("tag").agg(
+        F.count("*").alias("n_imgs"), F.count_distinct("video_id").alias("n_videos"), F.sum(F.col("width") * F.col("height")).alias("pixels")
+    )
+
+
 def accuracy(matrix: DataFrame) -> DataFrame:
     """``global_accuracy`` and the mean over classes of each class's accuracy."""
     hit = F.when(F.col("true") == F.col("pred"), F.col("total")).otherwise(0)

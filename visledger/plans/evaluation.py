@@ -276,11 +276,8 @@ def m17_confusion_matrix(spark, sf):
 @query(f"""{_ALL}, up AS (SELECT id AS cls, supercategory AS top FROM categories)
 SELECT coalesce(a.top, 'none') AS "true", coalesce(b.top, 'none') AS pred, CAST(sum(weight) AS DOUBLE) AS total FROM cfsn LEFT JOIN up a ON a.cls = t LEFT JOIN up b ON b.cls = p GROUP BY 1, 2""")
 def m18_coarsened_matrix(spark, sf):
-    cats = star.categories(spark, sf)
-    up = lambda side: F.broadcast(cats.select(F.col("id").alias(side), F.col("supercategory").alias(f"{side}_top")))
-    v = vectors(spark, sf, "all").join(up("true"), "true", "left").join(up("pred"), "pred", "left")
-    v = v.select(F.coalesce("true_top", F.lit("none")).alias("true"), F.coalesce("pred_top", F.lit("none")).alias("pred"), "weight")
-    return A.confusion(v)
+    above = star.categories(spark, sf).select(F.col("id").alias("cls"), F.col("supercategory").alias("top"))
+    return A.coarsened(vectors(spark, sf, "all"), above)
 
 
 @query(f"{_MUTEX}, ovr AS (SELECT 0 AS cls, CAST(t >= 0 AS BIGINT) AS is_true, score, weight FROM cfsn){_CURVE} SELECT CASE WHEN isfinite(thresh) THEN thresh ELSE -1 END AS thresh, CAST(tp AS DOUBLE) AS tp, CAST(CASE WHEN isfinite(thresh) THEN fp ELSE -1 END AS DOUBLE) AS fp, CAST(pos - tp AS DOUBLE) AS fn, CAST(CASE WHEN isfinite(thresh) THEN neg - fp ELSE -1 END AS DOUBLE) AS tn FROM curve")

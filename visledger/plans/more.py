@@ -8,6 +8,7 @@ from ..functions import scalars
 from ..operators import check as V
 from ..operators import curves as E
 from ..operators import files as X
+from ..operators import match, report
 from ..operators import tree as C
 from ..sources import star
 from ._register import registrar
@@ -56,18 +57,14 @@ def c9_normal_names(spark, sf):
 
 @query(f"""{_ALL} SELECT CASE WHEN t < 0 THEN 'false positive' WHEN p < 0 THEN 'false negative' WHEN t = p THEN 'true positive' ELSE 'confused' END AS role, count(*) AS n FROM cfsn GROUP BY 1""")
 def m29_confusion_roles(spark, sf):
-    v = vectors(spark, sf, "all")
-    t, p = F.col("true"), F.col("pred")
-    role = F.when(t < 0, "false positive").when(p < 0, "false negative").when(t == p, "true positive").otherwise("confused")
-    return v.groupBy(role.alias("role")).agg(F.count("*").alias("n"))
+    return match.roles(vectors(spark, sf, "all")).groupBy("role").agg(F.count("*").alias("n"))
 
 
 @query("""WITH s AS (SELECT doc_id, quality, CAST(crc32 AS DOUBLE) / 1000 AS score FROM (SELECT l.doc_id, quality, (l.doc_id * 7919) % 1000 AS crc32 FROM labels l))
 SELECT CAST(floor(sum((score - quality) * (score - quality)) / count(*) * 1e6 + 1e-6) AS BIGINT) AS brier, count(*) AS n FROM s""", tables=False)
 def m23_brier_score(spark, sf):
     l = star.table(spark, sf, "labels").select("quality", ((F.col("doc_id") * 7919) % 1000 / F.lit(1000.0)).alias("score"))
-    gap = F.col("score") - F.col("quality")
-    return l.agg(F.floor(F.sum(gap * gap) / F.count("*") * 1e6 + 1e-6).cast("long").alias("brier"), F.count("*").alias("n"))
+    return report.brier(l, "score", "quality").select(F.floor(F.col("brier") * 1e6 + 1e-6).cast("long").alias("brier"), "n")
 
 
 @query("""WITH s AS (SELECT CAST(quality AS BIGINT) AS y, ((doc_id * 7919) % 1000) AS b FROM labels), g AS (SELECT b, sum(y) AS t, sum(1 - y) AS f FROM s GROUP BY b),

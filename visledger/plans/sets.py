@@ -89,15 +89,16 @@ def k3_group_folds(spark, sf):
 @query("SELECT id FROM images WHERE id % 2 = 0 INTERSECT SELECT id FROM images WHERE id % 3 = 0")
 def u8_intersect(spark, sf):
     im = M(spark, sf).images.select("id")
-    return im.where("id % 2 = 0").intersect(im.where("id % 3 = 0"))
+    return U.both(im.where("id % 2 = 0"), im.where("id % 3 = 0"))
 
 
 @query("SELECT id FROM images EXCEPT SELECT image_id FROM annotations")
 def u9_except(spark, sf):
     m = M(spark, sf)
-    return m.images.select("id").exceptAll(m.annotations.select("image_id").distinct())
+    return U.without(m.images.select("id"), m.annotations.select(F.col("image_id").alias("id")))
 
 
-@query("SELECT '/data/sets' AS root")
+@query("""SELECT array_to_string(list_slice(a, 1, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda k: a[k] = b[k]), false) - 1, least(len(a), len(b)))), '/') AS root
+FROM (SELECT string_split(min(file_name), '/')[:-2] AS a, string_split(max(file_name), '/')[:-2] AS b FROM images)""")
 def u10_common_root(spark, sf):
-    return spark.createDataFrame([(U.common_root(["/data/sets/a/x", "/data/sets/b"]),)], "root string")
+    return U.common_folder(M(spark, sf).images)

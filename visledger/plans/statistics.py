@@ -94,10 +94,7 @@ def a11_images_per_category(spark, sf):
 UNION ALL SELECT 'wide', count(*), count(DISTINCT video_id), sum(width * height)::BIGINT FROM images WHERE width > 800""")
 def a14_stats_of_several(spark, sf):
     im = M(spark, sf).images
-    both = im.withColumn("tag", F.lit("all")).unionByName(im.where("width > 800").withColumn("tag", F.lit("wide")))
-    return both.groupBy("tag").agg(
-        F.count("*").alias("n_imgs"), F.count_distinct("video_id").alias("n_videos"), F.sum(F.col("width") * F.col("height")).alias("pixels")
-    )
+    return A.image_totals(all=im, wide=im.where("width > 800"))
 
 
 @query(""", parts AS (SELECT id, unnest(string_split(replace(channels, ',', '|'), '|')) AS c FROM images)
@@ -164,9 +161,7 @@ def a23_content_hash(spark, sf):
 
 @query("SELECT count(DISTINCT category_id) AS cats, count(DISTINCT track_id) AS tracks, count(DISTINCT image_id) AS imgs FROM annotations")
 def a25_distinct_aggregates(spark, sf):
-    return M(spark, sf).annotations.agg(
-        F.count_distinct("category_id").alias("cats"), F.count_distinct("track_id").alias("tracks"), F.count_distinct("image_id").alias("imgs")
-    )
+    return A.distinct_counts(M(spark, sf).annotations, cats="category_id", tracks="track_id", imgs="image_id")
 
 
 @query("SELECT id, video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_index, id) - 1 AS frame_id FROM images WHERE video_id IS NOT NULL")
