@@ -27,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, small_batches
+from .common import materialize, small_batches
 
 #: Words of the longest phrases; occurrences that make a phrase a candidate; rows for each language.
 DEPTH, LEAST, TOP = 3, 10, 2000
 #: Words of a shard.
-SHARD_WORDS = 3 << 19
+SHARD_WORDS = 1 << 20
+#: Phrases of a batch that a task hands on.
+ROWS = 1 << 16
 #: Filter bits for each frequent phrase, and at most (a filter is broadcast: 16 MB).
 FILTER_BITS, MOST_BITS = 16, 1 << 27
 #: Parts that a language's candidates are ranked in before they meet.
@@ -88,12 +90,11 @@ def automaton(words: np.ndarray, depth: int, context: int = 0, allowed=None) ->
     ``allowed(k, ends)`` tells which of the strings of k words that end at
     ``ends`` are wanted; what is not is in no state, nor is what ends in it.
     """
-    n = len(words)
     at = np.flatnonzero(words > _NOTHING)
     at = at[at >= context]
     node = words[at].astype(np.int64)
     states = []
-    child, parent_of, first, count = None, None, None, None
+    parent_of, first, count = None, None, None
     for k in range(1, depth + 1):
         if k > 1:
             back = at - (k - 1)
@@ -225,10 +226,8 @@ def _filter(frequent: DataFrame, depth: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _phrases(names: list[tuple], words: np.ndarray, ends: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
-    """Languages and phrases (space-joined) of the k words up to each end."""
-    spelled = pa.array([w for _, w in names], pa.binary())
-    langs = pa.array([g for g, _ in names], pa.string())
+def _phrases(langs: pa.Array, spelled: pa.Array, words: np.ndarray, ends: np.ndarray, k: int) -> tuple[pa.Array, pa.Array]:
+    """Languages and phrases (space-joined) of the k words up to each end, from those of each word number."""
     parts = [spelled.take(pa.array(words[ends - back])) for back in range(k - 1, -1, -1)]
     joined = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
     return langs.take(pa.array(words[ends])), joined.cast(pa.string())
@@ -257,9 +256,11 @@ def _count(rows: DataFrame, k: int, known: np.ndarray | None) -> DataFrame:
 
             found = automaton(words, k, shards.context, allowed if k > 1 else None)
             ends, n = substrings(found, k)
-            for i in range(0, len(ends), 1 << 18):
-                langs, phrases = _phrases(names, words, ends[i : i + (1 << 18)], k)
-                yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(n[i : i + (1 << 18)])], ["lang", "phrase", "n"])
+            del found
+            langs, spelled = pa.array([g for g, _ in names], pa.string()), pa.array([w for _, w in names], pa.binary())
+            for i in range(0, len(ends), ROWS):
+                of, phrases = _phrases(langs, spelled, words, ends[i : i + ROWS], k)
+                yield pa.RecordBatch.from_arrays([of, phrases, pa.array(n[i : i + ROWS])], ["lang", "phrase", "n"])
 
         shards = _Shards(k)
         for b in batches:
