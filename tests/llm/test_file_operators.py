@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -97,6 +98,48 @@ def test_word_memory_with_white_space_at_the_ends_of_pieces(tokenizer):
         assert {p: np.frombuffer(b, np.uint32).tolist() for p, b in fast.pieces.items()} == {p: alone(p) for p in names}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"  abstdmrevlS019²½.,-!'\"\n\t\r\x1c\x00\xa0\x85\xadéßñªɏ", "'s", "'re", "'ll", " '", "  "]), max_size=14).map("".join), max_size=6))
+def test_words_are_cut_as_the_tokenizer_cuts_them(tokenizer, texts):
+    path, tok = tokenizer
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in token_files.encoder(path).encode(texts)] == want
+
+
+def calls(run) -> int:
+    """Python and C functions that ``run`` calls from Python code."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_new_pieces_of_known_words_take_no_calls_each(tokenizer):
+    path, tok = tokenizer
+    fast = token_files.WordEncoder(path)
+    words = [f"{a}{b}{c}" for a in "bdkt" for b in "aeo" for c in "nmrs"]
+    fast.encode([" ".join(words), *words, "?", " ".join(w + "?" for w in words)])
+    pieces = [f"{v}?{w}" for v in words for w in words]
+    text = " ".join(pieces)
+    assert calls(lambda: fast.encode([text])) < len(pieces) / 4
+    assert fast.encode([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_takes_less_than_a_call_a_word():
+    ids = np.random.default_rng(3).integers(0, 50_000, token_files.CHUNK).astype(np.uint32)
+    words, offsets = token_files.pack(ids)
+    assert calls(lambda: token_files.pack(ids)) < len(words) / 4
+    assert token_files.unpack(words, offsets, len(ids)).tolist() == ids.tolist()
+
+
 def test_token_dataset(spark, tokenizer):
     path, tok = tokenizer
     got = token_files.read_tokens(token_files.write_tokens(documents(spark), path, shards=3)).collect()

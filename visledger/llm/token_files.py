@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 from array import array
-from itertools import accumulate
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,31 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 
 
+def _hops(step: np.ndarray, n_ids: int) -> np.ndarray:
+    """Places where words start: each block's first, and from each of them ``step`` further, up to the block's end.
+
+    Places count ids. Only each eighth is followed one after another; those
+    between are found for all of them at once.
+    """
+    n_blocks, width = step.shape
+    first = np.arange(n_blocks, dtype=np.int32)[:, None] * width
+    after = np.full(n_blocks * width + 1, n_ids, np.int32)
+    place = first + np.arange(width, dtype=np.int32) + step
+    after[:-1] = np.where(place < np.minimum(first + width, n_ids), place, n_ids).reshape(-1)
+    two = after[after]
+    four = two[two]
+    far, eighths = memoryview(four[four]), []
+    for at in first[:, 0].tolist():
+        while at < n_ids:
+            eighths.append(at)
+            at = far[at]
+    found = np.array(eighths, np.int32)[:, None]
+    for jump in (four, two, after):
+        found = np.stack([found, jump[found]], axis=2).reshape(len(found), 2 * found.shape[1])
+    found = found.reshape(-1)
+    return found[found < n_ids].astype(np.int64)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of ``ids`` (unsigned), and the word offset of each block of ``BLOCK`` ids, the end last."""
     ids = np.asarray(ids, np.uint64)
@@ -44,11 +70,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n_blocks):
         part = ids[i * BLOCK : (i + 1) * BLOCK]
         flat[i, : len(part)] = part
-    narrow = flat.astype(np.uint32) if len(ids) and int(ids.max()) < 1 << 32 else flat
+    top = int(ids.max()) if len(ids) else 0
+    narrow = flat.astype(next(t for t in (np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
     fitting = np.zeros((n_blocks, BLOCK), np.uint8)  # a selector with fewer and wider ids fits wherever one with more does
     for sel in range(14, 0, -1):
         n, bits = int(COUNTS[sel]), int(BITS[sel])
-        ok = narrow < narrow.dtype.type(1 << bits) if bits < 8 * narrow.dtype.itemsize else np.ones(narrow.shape, bool)
+        if top >> bits == 0:
+            fitting += 1
+            continue
+        ok = narrow < narrow.dtype.type(1 << bits)
         have = 1
         while have < n:  # all of the next ``n`` are narrow enough
             more = min(have, n - have)
@@ -58,22 +88,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not ok.any():
             break
         fitting += ok
-    best = np.where(fitting == 0, 0, 15 - fitting).astype(np.int8)
-    step = COUNTS[best].astype(np.uint8)
-    starts, sels, sizes = [], [], []
-    for i in range(n_blocks):
-        hop, here, end, at = step[i].tobytes(), [], min(BLOCK, len(ids) - i * BLOCK), 0
-        while at < end:
-            here.append(at)
-            at += hop[at]
-        here = np.array(here, np.int64)
-        sels.append(best[i][here])
-        starts.append(here + i * flat.shape[1])
-        sizes.append(len(here) + int((sels[-1] == 0).sum()))
-    offsets = np.array([0, *accumulate(sizes)], np.uint64)
-    if not n_blocks:
-        return np.zeros(0, np.uint64), offsets
-    starts, sels = np.concatenate(starts), np.concatenate(sels)
+    best = np.array([0, *range(14, 0, -1)], np.uint8)[fitting]
+    starts = _hops(COUNTS.astype(np.int32)[best], len(ids))
+    block = starts // BLOCK
+    sels, starts = best.reshape(-1)[starts], starts + block * 60
+    sizes = np.bincount(block, 1 + (sels == 0), n_blocks).astype(np.int64)
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.uint64)
     place = np.concatenate([[0], np.cumsum(1 + (sels == 0))])[:-1]
     words, flat = np.zeros(int(offsets[-1]), np.uint64), flat.reshape(-1)
     for sel in np.unique(sels):
@@ -203,18 +223,61 @@ def read_file(stream, chunk: int = CHUNK):
 
 # ---------------------------------------------------------------- tokenizing
 
-#: Entries of each of the two memories of a worker, about 200 bytes each.
-MEMORY = 700_000
+#: Words that a worker remembers, about 150 bytes each.
+MEMORY = 1_300_000
 #: Documents that are encoded together; each different word of theirs is looked up once.
 TOGETHER = 1500
-_ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: Texts with other characters are given to the tokenizer whole; up to here word cuts are the same (tested for each).
-_OTHER = re.compile("[^\x00-ɏ]")
+_OTHER = r"[^\x{0}-\x{24f}]"
+_SPACE, _LETTER, _NUMBER, _SIGN = range(4)
 _loaded: dict[str, "WordEncoder"] = {}
 
 
-def _splits_at_spaces(tokenizer: dict) -> bool:
-    """Whether a tokenizer file is byte-level BPE without anything that works across a space."""
+def _kind(c: int) -> int:
+    """Kind of a character in the pattern of byte-level pre-tokens."""
+    if chr(c) in "\t\n\v\f\r \x85\xa0":
+        return _SPACE
+    return {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _SIGN)
+
+
+#: Kinds of the characters of one or two bytes.
+_KINDS = np.array([_kind(c) for c in range(0x800)], np.uint8)
+
+
+def cut_words(texts: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """Pre-tokens of all texts, as byte-level BPE cuts them, and the place of each text's first one, the end last.
+
+    The pattern is ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``:
+    one starts wherever the kind of character changes, but not behind a space,
+    which goes with what follows. The last white space before other characters
+    starts one too, and a contraction ends one. Texts are null-free, their
+    characters of one or two bytes.
+    """
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends, n = ends - ends[0], len(raw)
+    kind = np.append(_KINDS[:256][raw], np.uint8(_SPACE))
+    lead = np.flatnonzero(raw >= 0xC0)
+    kind[lead] = kind[lead + 1] = _KINDS[(raw[lead] & 0x1F).astype(np.int64) << 6 | raw[lead + 1] & 0x3F]
+    edge = np.zeros(n + 1, bool)
+    edge[ends] = True
+    start = edge.copy()
+    start[1:n] |= (kind[1:n] != kind[: n - 1]) & (raw[:-1] != 32)
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~edge[1:])
+    start[last - (raw[last] >= 0x80)] = True
+    quote = np.flatnonzero((raw == 39) & start[:-1])
+    for short in (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"):
+        at = quote[quote + len(short) < n]
+        for i, c in enumerate(short, 1):
+            at = at[(raw[at + i] == c) & ~edge[at + i]]
+        start[at + 1], start[at + len(short) + 1] = False, True
+    places = np.flatnonzero(start)
+    words = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(raw)])
+    return words, np.searchsorted(places, ends)
+
+
+def _cuts_as_known(tokenizer: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE without anything that works across pre-tokens."""
     model, before = tokenizer["model"], tokenizer.get("pre_tokenizer") or {}
     plain = not tokenizer.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
     kept = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges") or model.get("byte_fallback"))
@@ -226,103 +289,74 @@ def _splits_at_spaces(tokenizer: dict) -> bool:
 class WordEncoder:
     """A byte-level BPE tokenizer with a memory of words.
 
-    Such a tokenizer treats each pre-token alone, and a pre-token never spans
-    the place before a single space, so ids of space-separated pieces are
-    remembered and joined. Texts for which that does not hold (a space between
-    white space, characters outside Latin script, or the content of a special
-    token, which the tokenizer takes for that token) are encoded whole, and so
-    is every text where the file is of another kind.
+    Such a tokenizer treats each pre-token alone, so texts are cut into
+    pre-tokens, a batch at a time, and the ids of pre-tokens are remembered and
+    joined. Texts for which that does not hold (characters outside Latin script,
+    or the content of a special token, which the tokenizer takes for that token)
+    are encoded whole, and so is every text where the file is of another kind.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.by_words = _splits_at_spaces(json.loads(self.tok.to_str()))
+        self.by_words = _cuts_as_known(json.loads(self.tok.to_str()))
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added)).search if added else lambda text: None
+        self.whole = "|".join([_OTHER, *added])
         self.model = self.tok.model
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces, each with a space before it.
-
-        Joined by single spaces they are cut at every space, and no pre-token
-        has a space but as its first character, so one starts each piece. Beside
-        a piece that is empty or begins or ends with white space the join may
-        make white space that is one pre-token, so such a piece is cut alone.
-        """
-        if not pieces:
-            return
-        names = [p for p in pieces if p and p == p.strip()]
-        cut = self.cut(" " + " ".join(names)) if names else []
-        begin = [i for i, w in enumerate(cut) if w[0] == " "]
-        for piece in pieces:
-            if not piece or piece != piece.strip():
-                names.append(piece)
-                begin.append(len(cut))
-                cut += self.cut(" " + piece)
-        if len(begin) != len(names):
-            raise AssertionError(f"{len(names)} pieces have {len(begin)} starts")
-        fresh = list(set(cut).difference(self.words))
+        self.words: dict[bytes, bytes] = {}
+
+    def _coded(self, texts: pa.LargeStringArray) -> tuple[bytes, np.ndarray]:
+        """Ids of texts that hold nothing which is to be encoded whole, and where each text's begin, the end last; each different word is looked up once."""
+        cut, begin = cut_words(texts)
+        coded = cut.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.words.get, names))
+        fresh = [i for i, ids in enumerate(found) if ids is None]
         if len(self.words) + len(fresh) > MEMORY:
             self.words.clear()
-            fresh = list(set(cut))
-        tokenize, letters, words = self.model.tokenize, self.letters, self.words
-        for word in fresh:
-            shown = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(letters)
-            words[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
-        found = list(map(words.__getitem__, cut))
-        begin.append(len(cut))
-        for name, i, j in zip(names, begin, begin[1:]):
-            self.pieces[name] = found[i] if j == i + 1 else b"".join(found[i:j])
+        tokenize, letters = self.model.tokenize, self.letters
+        new, ends = [], [0]
+        for i in fresh:
+            word = names[i]
+            new += [t.id for t in tokenize(word.decode() if word.isalpha() else word.decode("latin-1").translate(letters))]
+            ends.append(4 * len(new))
+        data = array("I", new).tobytes()
+        for i, at, end in zip(fresh, ends, ends[1:]):
+            self.words[names[i]] = found[i] = data[at:end]
+        data, ends = _taken(found, coded.indices)
+        return data, ends[begin]
+
+    def _learn(self, pieces: Sequence[str]) -> None:
+        """Keep the ids of pieces, each with a space before it, for those who look up single pieces; :meth:`encode` needs words alone."""
+        data, ends = self._coded(pa.array([" " + p for p in pieces], pa.large_string()))
+        self.pieces.update((p, data[i:j]) for p, i, j in zip(pieces, ends, ends[1:]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         out: list = [None] * len(texts)
         for lo in range(0, len(texts), TOGETHER):
-            usual = []
-            for i in range(lo, min(lo + TOGETHER, len(texts))):
-                text = texts[i]
-                if not self.by_words or (not text.isascii() and _OTHER.search(text)) or _ODD_SPACE.search(text) or self.special(text):
-                    out[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-                else:
-                    usual.append(i)
-            for i, ids in zip(usual, self._joined([texts[i] for i in usual])):
-                out[i] = ids
+            some = pa.array(texts[lo : lo + TOGETHER], pa.large_string())
+            whole = np.asarray(pc.match_substring_regex(some, self.whole)) if self.by_words else np.ones(len(some), bool)
+            for i in np.flatnonzero(whole).tolist():
+                out[lo + i] = np.array(self.tok.encode(texts[lo + i], add_special_tokens=False).ids, np.uint32)
+            usual = np.flatnonzero(~whole)
+            if len(usual):
+                data, ends = self._coded(some if len(usual) == len(some) else some.take(pa.array(usual)))
+                for i, ids in zip(usual.tolist(), np.split(np.frombuffer(data, np.uint32), ends[1:-1] // 4)):
+                    out[lo + i] = ids
         return out
 
-    def _joined(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts that may be cut at every space: each different piece is looked up once."""
-        if not texts:
-            return []
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        begin = np.asarray(cut.offsets)[:-1].astype(np.int64)
-        coded = cut.flatten().dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        which = np.asarray(coded.indices).astype(np.int64)
-        heads = [names[k] for k in which[begin].tolist()]  # no space before these
-        fresh = set(names).difference(self.pieces)
-        if len(self.pieces) + len(fresh) > MEMORY:
-            self.pieces.clear()
-            fresh = set(names)
-        self._learn(fresh)
-        found = list(map(self.pieces.__getitem__, names))
-        found += [array("I", e.ids).tobytes() for e in self.tok.encode_batch(heads, add_special_tokens=False)]
-        which[begin] = len(names) + np.arange(len(heads))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = np.cumsum(size) - size
-        each = size[which]
-        end = np.cumsum(each)
-        at = np.repeat(start[which] - (end - each), each) + np.arange(int(end[-1]))
-        ids = np.frombuffer(b"".join(found), np.uint32)[at]
-        return np.split(ids, (end[begin[1:] - 1]) if len(begin) > 1 else [])
+
+def _taken(parts: list[bytes], which: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The parts of given numbers one after another, and where each begins, the end last."""
+    taken = pa.array(parts, pa.large_binary()).take(which)
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+    return (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[: ends[-1]], ends
 
 
 def encoder(path: str) -> WordEncoder:
