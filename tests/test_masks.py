@@ -216,3 +216,88 @@ def test_overlap_of_masks(spark):
         assert (raster(tuple(np.array(c) for c in zip(*[u[1:] for u in mine])), 20, 16) == whole).all()
         assert not any(u[1] == v[1] and u[3] == v[2] for u in mine for v in mine)
     assert json.loads(spark.range(1).select(masks.polygon(F.array(F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))))).first()[0]) == [[1.0, 2.0]]
+
+
+def some_segmentations(rng, n):
+    """Segmentations of every kind with the sizes of their images."""
+    out = []
+    for _ in range(n):
+        w, h = rng.randint(1, 30), rng.randint(1, 30)
+        ring = lambda: [c for p in rings_of(rng, w, h)[0] for c in p]  # noqa: B023, E731
+        counts = [rng.randint(0, 9) for _ in range(8)]
+        kinds = (None, [], ring(), [ring(), ring()], [{"exterior": ring(), "interiors": [ring(), [[1, 2], [3, 4], [5, 0]]]}], [[1, 2, 3, 4]], {"counts": counts, "size": [h, w]})
+        value = rng.choice(kinds)
+        out.append((None if value is None else json.dumps(value), w, h))
+    return [list(c) for c in zip(*out)]
+
+
+def test_many_masks_at_once_equal_each_alone(monkeypatch):
+    texts, ws, hs = some_segmentations(random.Random(8), 400)
+    alone = [R.of_segmentation(*r) for r in zip(texts, ws, hs)]
+    for held in (1 << 18, 40):
+        monkeypatch.setattr(R, "HELD", held)
+        got = {}
+        for row, *runs in R.of_segmentations(texts, ws, hs):
+            for i in np.unique(row).tolist():
+                assert i not in got
+                got[i] = [c[row == i].tolist() for c in runs]
+        assert got == {i: [c.tolist() for c in runs] for i, runs in enumerate(alone) if len(runs[0])}
+    row = np.repeat(np.arange(len(alone)), [len(r[0]) for r in alone])
+    coded = R.to_texts(row, tuple(np.concatenate(c) for c in zip(*alone)), np.array(ws), np.array(hs))
+    assert coded == [R.to_text(R.to_counts(r, w, h)) for r, w, h in zip(alone, ws, hs)]
+    counts, at = R.from_texts([*coded, ""])
+    assert [counts[a:b].tolist() for a, b in zip(at, at[1:])] == [R.from_text(t).tolist() for t in [*coded, ""]]
+
+
+def test_masks_of_a_batch_take_no_longer_than_a_few_alone():
+    import time
+
+    rng = random.Random(9)
+    boxes = [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(4000)]
+    texts = [json.dumps([[x, y, x + 30, y, x + 30, y + 25, x, y + 25]]) for x, y in boxes]
+    took = []
+    for make in (lambda: [R.of_segmentation(t, 800, 480) for t in texts[:1000]], lambda: list(R.of_segmentations(texts, [800] * 4000, [480] * 4000))):
+        began = time.process_time()
+        make()
+        took.append(time.process_time() - began)
+    assert took[1] < took[0]
+
+
+def test_strips_measures_and_pairs_equal_runs(spark):
+    texts, ws, hs = some_segmentations(random.Random(10), 60)
+    images = [{"id": i, "width": w, "height": h} for i, (w, h) in enumerate(zip(ws, hs))]
+    annotations = [{"id": 100 + i, "image_id": i // 2 * 2, "category_id": 1, "bbox": [0, 0, 30, 30], "segmentation": None if t is None else json.loads(t)} for i, t in enumerate(texts)]
+    m = from_rows(spark, {"images": images, "annotations": annotations})
+    runs = masks.runs(m).cache()
+    told = runs.groupBy("gid", "id").agg(F.sum(F.col("stop") - F.col("start")).alias("area"), F.count("*").alias("n_runs"))
+    assert sorted(masks.measured(m).collect()) == sorted(told.collect())
+    strips = masks.strips(m, 4, ("category_id",))
+    flat = strips.select("gid", "id", "category_id", "tile", F.explode(F.arrays_zip("line", "start", "stop")).alias("r")).select("gid", "id", "category_id", "tile", "r.*")
+    assert sorted(flat.select("gid", "id", "line", "start", "stop").collect()) == sorted(runs.collect())
+    assert flat.where("tile <> line div 4 or category_id <> 1").isEmpty()
+    d = masks.detections(m)
+    pairs = [d.where(f"id % 2 = {k}") for k in (0, 1)]
+    from visledger.operators import match
+
+    found = masks.shared(match.candidates(*pairs, carry=("segmentation", "w", "h")))
+    plain = masks.overlaps(runs, runs, match.candidates(*pairs))
+    assert found.count() > 5 and sorted(found.collect()) == sorted(plain.select(*found.columns).collect())
+
+
+def test_sweep_in_small_parts(spark, monkeypatch):
+    """What is summed doesn't depend on how many coverings are held at a time."""
+    rng = random.Random(11)
+    runs = [(g, i, line, a, a + rng.randint(1, 9)) for g in range(3) for i in range(12) for line in range(3) if (a := rng.randint(0, 9)) >= 0]
+    t = spark.createDataFrame([(*r, "cat", "foreground", 1.0 + r[1] % 3) for r in runs if r[1] % 2], "gid long, id long, line long, start long, stop long, name string, behavior string, weight double")
+    p = spark.createDataFrame([(*r, "cat", r[1] / 20) for r in runs if not r[1] % 2], "gid long, id long, line long, start long, stop long, name string, score double")
+    table = segmentation.strokes(t, p).orderBy("gid", "tile", "nth").toArrow()
+    sums = []
+    for held in (1 << 18, 5):
+        monkeypatch.setattr(R, "HELD", held)
+        total = {}
+        for b in segmentation._sweep(table, True):
+            for gid, cls, y, s, w, n, _ in zip(*(c.to_pylist() for c in b.columns)):
+                old = total.get((gid, cls, y, s), (0, 0))
+                total[gid, cls, y, s] = (old[0] + w, old[1] + n)
+        sums.append(total)
+    assert sums[0] == sums[1] and len(sums[0]) > 20

@@ -2,8 +2,9 @@
 
 A run table has rows ``gid, id, line, start, stop``: pixels ``start`` to ``stop -
 1`` of the pixel column ``line`` of an image. Polygons are filled and run-length
-codes read in Arrow batches, row by row; areas, unions and overlaps are joins
-and sums of runs.
+codes read in Arrow batches, all masks of a batch together; areas, unions and
+overlaps are joins and sums of runs. Strips are the same runs with a row for each
+annotation and so many columns of its image, ``line, start, stop`` as arrays.
 """
 
 from __future__ import annotations
@@ -18,37 +19,72 @@ from ..manifest import Manifest
 
 #: Runs in a batch that a task hands on.
 BATCH = 1 << 16
+#: Pairs whose masks are held at a time.
+SHARED = 1000
 
 
-def _sized(m: Manifest) -> DataFrame:
+def _sized(m: Manifest, keep: tuple = ()) -> DataFrame:
     im = m.images.select(F.col("id").alias("image_id"), F.col("width").alias("w"), F.col("height").alias("h"))
-    a = m.annotations.where("segmentation is not null").select("id", "image_id", "segmentation")
-    return a.join(im, "image_id").where("w > 0 and h > 0").select("image_id", "id", "w", "h", "segmentation")
+    a = m.annotations.where("segmentation is not null").select("id", "image_id", "segmentation", *keep)
+    return a.join(im, "image_id").where("w > 0 and h > 0").select("image_id", "id", "w", "h", "segmentation", *keep)
+
+
+def _masks(b: pa.RecordBatch, text: str = "segmentation"):
+    """The masks of a batch with ``w, h`` in pieces ``row, line, start, stop`` (:func:`.runs.of_segmentations`)."""
+    return R.of_segmentations(*(b.column(c).to_pylist() for c in (text, "w", "h")))
 
 
 def runs(m: Manifest) -> DataFrame:
     """The run table of all annotations with a segmentation, within their images. Images without a size have none."""
 
     def read(batches):
-        held, size = [], 0
+        for b in batches:
+            gid, aid = (b.column(c).to_numpy(zero_copy_only=False) for c in ("image_id", "id"))
+            for row, line, start, stop in _masks(b):
+                for k in range(0, len(row), BATCH):
+                    part = slice(k, k + BATCH)
+                    cols = (gid[row[part]], aid[row[part]], line[part], start[part], stop[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["gid", "id", "line", "start", "stop"])
+
+    return _sized(m).mapInArrow(read, "gid long, id long, line long, start long, stop long")
 
-        def out():
-            gid, aid, line, start, stop = (np.concatenate(c) for c in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (gid, aid, line, start, stop)], ["gid", "id", "line", "start", "stop"])
 
+def strips(m: Manifest, width: int, keep: tuple = ()) -> DataFrame:
+    """``gid, id, <keep>, tile, line, start, stop``: the runs of :func:`runs`, as arrays for each annotation and ``width`` columns; ``keep`` are columns of the annotations."""
+
+    def read(batches):
         for b in batches:
-            for gid, aid, w, h, text in zip(*(c.to_pylist() for c in b.columns)):
-                found = R.of_segmentation(text, w, h)
-                n = len(found[0])
-                held.append((np.full(n, gid, np.int64), np.full(n, aid, np.int64), *found))
-                size += n
-                if size >= BATCH:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+            own = b.select(["image_id", "id", *keep])
+            for row, line, start, stop in _masks(b):
+                if not len(row):
+                    continue
+                tile = line // width
+                first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(tile, prepend=-1) != 0))
+                ends = pa.array(np.append(first, len(row)), pa.int32())
+                told = own.take(pa.array(row[first]))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(c, pa.int64())) for c in (line, start, stop)]
+                made = pa.RecordBatch.from_arrays([*told.columns, pa.array(tile[first]), *lists], ["gid", "id", *keep, "tile", "line", "start", "stop"])
+                for k in range(0, len(first), BATCH // 8):
+                    yield made.slice(k, BATCH // 8)
+
+    sized = _sized(m, keep)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in sized.select(*keep).schema)
+    return sized.mapInArrow(read, f"gid long, id long{kinds}, tile long, line array<long>, start array<long>, stop array<long>")
+
+
+def measured(m: Manifest) -> DataFrame:
+    """``gid, id, area, n_runs``: pixels and runs of each annotation that has any."""
 
-    return _sized(m).mapInArrow(read, "gid long, id long, line long, start long, stop long")
+    def read(batches):
+        for b in batches:
+            for row, _, start, stop in _masks(b):
+                n = np.bincount(row, minlength=b.num_rows)
+                area = np.bincount(row, stop - start, b.num_rows).astype(np.int64)
+                some = np.flatnonzero(n)
+                cols = [*(b.column(c).take(pa.array(some)) for c in ("image_id", "id")), pa.array(area[some]), pa.array(n[some], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["gid", "id", "area", "n_runs"])
+
+    return _sized(m).mapInArrow(read, "gid long, id long, area long, n_runs long")
 
 
 def encoded(m: Manifest) -> DataFrame:
@@ -56,11 +92,23 @@ def encoded(m: Manifest) -> DataFrame:
 
     def write(batches):
         for b in batches:
-            gids, ids, ws, hs, texts = (c.to_pylist() for c in b.columns)
-            masks = [R.of_segmentation(t, w, h) for t, w, h in zip(texts, ws, hs)]
-            codes = [R.to_text(R.to_counts(x, w, h)) for x, w, h in zip(masks, ws, hs)]
-            cols = [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(codes, pa.string()), pa.array([R.area(x) for x in masks], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["image_id", "id", "width", "height", "counts", "area"])
+            left = np.ones(b.num_rows, bool)
+            w, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("w", "h"))
+
+            def out(rows, at, found):
+                n = len(rows)
+                texts = R.to_texts(at, found, w[rows], h[rows])
+                area = np.bincount(at, found[2] - found[1], n).astype(np.int64)
+                cols = [*(b.column(c).take(pa.array(rows)) for c in ("image_id", "id", "w", "h")), pa.array(texts, pa.string()), pa.array(area)]
+                return pa.RecordBatch.from_arrays(cols, ["image_id", "id", "width", "height", "counts", "area"])
+
+            for row, *found in _masks(b):
+                rows, at = np.unique(row, return_inverse=True)
+                left[rows] = False
+                if len(rows):
+                    yield out(rows, at, found)
+            if left.any():  # masks without a pixel
+                yield out(np.flatnonzero(left), np.zeros(0, np.int64), R.NOTHING)
 
     return _sized(m).mapInArrow(write, "image_id long, id long, width long, height long, counts string, area long")
 
@@ -80,8 +128,10 @@ def counts(coded: DataFrame) -> DataFrame:
 
     def read(batches):
         for b in batches:
-            found = [None if t is None else R.from_text(t).tolist() for t in b.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(found, pa.list_(pa.int64()))], [*others, "counts"])
+            texts = b.column("counts").to_pylist()
+            found, at = R.from_texts([t or "" for t in texts])
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int64()), mask=pa.array([t is None for t in texts]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), lists], [*others, "counts"])
 
     return coded.select(*others, "counts").mapInArrow(read, f"{kinds}, counts array<bigint>")
 
@@ -125,3 +175,39 @@ def overlaps(true: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select("gid", "tx", "px", "shared", (F.col("shared") / (F.col("t_area") + F.col("p_area") - F.col("shared"))).alias("iou"))
 
 
+def detections(m: Manifest) -> DataFrame:
+    """Annotations with a box and a mask as :func:`.match.detections` has them, with ``segmentation`` and their image's ``w, h``."""
+    own = _sized(m, ("category_id", "bbox", "score", "weight")).where("bbox is not null")
+    score, weight = (F.coalesce(c, F.lit(1.0)).alias(c) for c in ("score", "weight"))
+    return own.select(F.col("image_id").alias("gid"), "id", F.col("category_id").alias("cls"), "bbox", score, weight, "segmentation", "w", "h")
+
+
+def shared(pairs: DataFrame) -> DataFrame:
+    """``gid, tx, px, shared, iou`` as :func:`overlaps` has them, of pairs of :func:`detections` that carry ``segmentation, w, h`` of both sides.
+
+    A row says all, so the masks of a pair meet where the pair is: no run is shuffled.
+    """
+    kept = pairs.select("gid", "tx", "px", F.col("t_w").alias("w"), F.col("t_h").alias("h"), "t_segmentation", "p_segmentation")
+
+    def read(batches):
+        for b in batches:
+            n = b.num_rows
+            area, both = [np.zeros(n, np.int64) for _ in range(2)], np.zeros(n, np.int64)
+            for k in range(0, n, SHARED):
+                held = []
+                for side, text in enumerate(("t_segmentation", "p_segmentation")):
+                    for found in _masks(b.slice(k, SHARED), text):
+                        area[side] += np.bincount(found[0] + k, found[3] - found[2], n).astype(np.int64)
+                        held.append(found)
+                if held:
+                    row, line, start, stop = (np.concatenate(c) for c in zip(*held))
+                    across = int(line.max(initial=0)).bit_length()
+                    united, start, stop = R.union(row << across | line, start, stop)
+                    both += np.bincount((united >> across) + k, stop - start, n).astype(np.int64)
+            common = area[0] + area[1] - both
+            some = np.flatnonzero(common > 0)
+            iou = common[some] / both[some]
+            cols = [*(b.column(c).take(pa.array(some)) for c in ("gid", "tx", "px")), pa.array(common[some]), pa.array(iou)]
+            yield pa.RecordBatch.from_arrays(cols, ["gid", "tx", "px", "shared", "iou"])
+
+    return kept.mapInArrow(read, "gid long, tx long, px long, shared long, iou double")

@@ -109,6 +109,7 @@ def _pairs_by_cell(t: DataFrame, p: DataFrame, bias: float) -> DataFrame:
 
 def candidates(
     true: DataFrame, pred: DataFrame, compat: str = "mutex", bias: float = 0.0, closure: DataFrame | None = None, crowded: int | None = CROWDED,
+    carry: tuple = (),
 ) -> DataFrame:
     """Pairs that may match, with their IoU (above 0) and ``apart``: one equi-join on the image (and class), the rest a filter.
 
@@ -117,9 +118,11 @@ def candidates(
     dist``). ``apart`` is 0 for equal classes, the steps up for ancestors, else 1.
     Images with more than ``crowded`` boxes on both sides go by cells of a grid
     (see :func:`_pairs_by_cell`), which gives the same pairs; None: no image does.
+    Columns ``carry`` of both sides stand in the pairs as ``t_..`` and ``p_..``.
     """
-    t = true.select("gid", F.col("id").alias("tx"), F.col("cls").alias("tcls"), F.col("bbox").alias("tbox"), F.col("weight").alias("tweight"))
-    p = pred.select("gid", F.col("id").alias("px"), F.col("cls").alias("pcls"), F.col("bbox").alias("pbox"))
+    more = {side: [F.col(c).alias(f"{side}_{c}") for c in carry] for side in "tp"}
+    t = true.select("gid", F.col("id").alias("tx"), F.col("cls").alias("tcls"), F.col("bbox").alias("tbox"), F.col("weight").alias("tweight"), *more["t"])
+    p = pred.select("gid", F.col("id").alias("px"), F.col("cls").alias("pcls"), F.col("bbox").alias("pbox"), *more["p"])
     many = None
     if crowded is not None:
         many = t.groupBy("gid").count().where(F.col("count") > crowded).select("gid").join(p.groupBy("gid").count().where(F.col("count") > crowded).select("gid"), "gid")
@@ -136,7 +139,7 @@ def candidates(
         up = closure.select(F.col("ancestor").alias("tcls"), F.col("descendant").alias("pcls"), steps.cast("long").alias("steps"))
         pairs, apart = pairs.join(up, ["tcls", "pcls"]), F.col("steps")
     overlap = iou(F.col("tbox"), F.col("pbox"), bias)
-    return pairs.withColumn("iou", overlap).where("iou > 0").select("gid", "px", "tx", "tweight", "iou", apart.alias("apart"))
+    return pairs.withColumn("iou", overlap).where("iou > 0").select("gid", "px", "tx", "tweight", "iou", apart.alias("apart"), *[f"{side}_{c}" for side in more for c in carry])
 
 
 def _greedy(ordered: Column, reuse: bool = False) -> Column:

@@ -2,17 +2,22 @@
 
 The masks of an image cut its columns into stretches over which nothing changes;
 truth, weight and score are found for each stretch, and its length counts. A tile
-is a number of columns of an image and one task's work, so a large image is many.
+is a number of columns of an image, so a large image is the work of many tasks; a
+task sweeps the tiles of many images together.
 What no mask touches is the rest of the image: true of nothing, with score 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import runs as R
 from ..storage import materialize
 from . import curves, masks
 
@@ -39,6 +44,8 @@ _VOID = {"all": ("ignore",), "each": ("ignore", "undistinguished")}
 def _shares(true: DataFrame, kinds: tuple, name: str) -> DataFrame:
     """``gid, id, <name>``: how much more a pixel of each object weighs for all objects of an image to weigh alike."""
     some = true.where(F.col("behavior").isin(*kinds))
+    if "tile" in some.columns:
+        some = some.select("gid", "id", F.explode(F.arrays_zip("line", "start", "stop")).alias("r")).select("gid", "id", "r.*")
     own = masks.areas(some)
     whole = masks.areas(masks.union(some), ("gid",)).select("gid", F.col("area").alias("whole"))
     n = own.groupBy("gid").agg(F.count("*").alias("n"))
@@ -46,10 +53,10 @@ def _shares(true: DataFrame, kinds: tuple, name: str) -> DataFrame:
 
 
 def strokes(true: DataFrame, pred: DataFrame, balance: bool = False) -> DataFrame:
-    """All runs with what they paint: ``gid, tile, line, start, stop, nth, cls, found, behavior, all, each, score``.
+    """All runs with what they paint: ``gid, tile, line, start, stop, nth, cls, found, behavior, all, each, score``; line, start and stop are arrays.
 
-    ``true`` is a run table with ``name, behavior, weight``, ``pred`` one with
-    ``name, score``. ``all`` and ``each`` are the weights that an object gives
+    ``true`` is a run table, or strips of :data:`TILE` columns, with ``name,
+    behavior, weight``, ``pred`` one with ``name, score``. ``all`` and ``each`` are the weights that an object gives
     its pixels, where all objects are one class and where each class is told:
     0 where it is void there; its own weight, if that is not 1 or balanced; else
     null, so that what lies below stays.
@@ -62,69 +69,114 @@ def strokes(true: DataFrame, pred: DataFrame, balance: bool = False) -> DataFram
         weight = F.coalesce("weight", F.lit(1.0)) * share
         own = F.when(F.col("behavior").isin(*kinds) & (F.lit(balance) | (weight != 1)), weight)
         t = t.withColumn(way, F.when(F.col("behavior").isin(*_VOID[way]), 0.0).otherwise(own))
-    tile = F.floor(F.col("line") / TILE).cast("long").alias("tile")
-    at = ["gid", tile, "line", "start", "stop", F.col("id").alias("nth"), F.col("name").alias("cls")]
+    def placed(df):
+        if "tile" not in df.columns:
+            df = df.withColumn("tile", F.floor(F.col("line") / TILE).cast("long")).withColumns({c: F.array(c) for c in ("line", "start", "stop")})
+        return df
+
+    at = ["gid", "tile", "line", "start", "stop", F.col("id").alias("nth"), F.col("name").alias("cls")]
     none = F.lit(None).cast("double")
-    truth = t.where("behavior <> 'background'").select(*at, F.lit(False).alias("found"), "behavior", "all", "each", F.lit(0.0).alias("score"))
-    found = pred.select(*at, F.lit(True).alias("found"), F.lit("").alias("behavior"), none.alias("all"), none.alias("each"), F.col("score").cast("double").alias("score"))
+    truth = placed(t).where("behavior <> 'background'").select(*at, F.lit(False).alias("found"), "behavior", "all", "each", F.lit(0.0).alias("score"))
+    found = placed(pred).select(*at, F.lit(True).alias("found"), F.lit("").alias("behavior"), none.alias("all"), none.alias("each"), F.col("score").cast("double").alias("score"))
     return truth.unionByName(found)
 
 
-def _tallied(is_true: np.ndarray, score: np.ndarray, weight: np.ndarray, size: np.ndarray) -> list[tuple]:
-    """Weight and number of pixels of each truth and score."""
-    found, group = np.unique(np.stack([is_true.astype(float), score], 1), axis=0, return_inverse=True)
-    w, n = np.bincount(group.ravel(), weight * size, len(found)), np.bincount(group.ravel(), size, len(found))
-    return [(int(y), s, x, int(k)) for (y, s), x, k in zip(found.tolist(), w.tolist(), n.tolist())]
-
-
-def _sweep(table: pa.Table) -> pa.Table:
-    """Rows ``gid, cls, is_true, pred_score, weight, n`` of a tile: for all objects as one, for each class where it is said or found, and (null) for all that is covered."""
-    table = table.take(pa.array(np.argsort(table["nth"].to_numpy(), kind="stable")))
-    line, start, stop = (table[c].to_numpy() for c in ("line", "start", "stop"))
-    found, score = table["found"].to_numpy(zero_copy_only=False), table["score"].to_numpy()
-    kinds, names = np.array(table["behavior"].to_pylist()), table["cls"].to_pylist()
-    stride = int(stop.max()) + 1
-    a, b = line * stride + start, line * stride + stop
-    cuts = np.unique(np.concatenate([a, b]))
-    size = np.diff(cuts)
-    lo, hi = np.searchsorted(cuts, a), np.searchsorted(cuts, b)
-    steps = np.zeros(len(cuts), np.int64)
-    np.add.at(steps, lo, 1)
-    np.add.at(steps, hi, -1)
-    covered = np.flatnonzero(np.cumsum(steps)[:-1])
-    weights = {}
-    for way in _OBJECTS:
-        paint, weights[way] = table[way].to_numpy(zero_copy_only=False), np.ones(len(size))
-        void = ~found & np.isin(kinds, _VOID[way])
-        for i in [*np.flatnonzero(void), *np.flatnonzero(~void & ~np.isnan(paint))]:
-            weights[way][lo[i] : hi[i]] = paint[i]
-    objects = ~found & np.isin(kinds, _OBJECTS["all"])
-    truth, best, of = np.zeros(len(size), bool), np.zeros(len(size)), {}
-    for i in range(len(a)):
-        if found[i]:
-            np.maximum(best[lo[i] : hi[i]], score[i], out=best[lo[i] : hi[i]])
-        elif objects[i]:
-            truth[lo[i] : hi[i]] = True
-        if found[i] or kinds[i] in _OBJECTS["each"]:
-            of.setdefault(names[i], []).append(i)
-    rows = [(SALIENT, *r) for r in _tallied(truth[covered], best[covered], weights["all"][covered], size[covered])]
-    for cls, members in of.items():
-        first, last = int(lo[members].min()), int(hi[members].max())
-        is_true, scores, touched = np.zeros(last - first, bool), np.zeros(last - first), np.zeros(last - first, bool)
-        for i in members:
-            part = slice(lo[i] - first, hi[i] - first)
-            touched[part] = True
-            if found[i]:
-                np.maximum(scores[part], score[i], out=scores[part])
-            else:
-                is_true[part] = True
-        rows += [(cls, *r) for r in _tallied(is_true[touched], scores[touched], weights["each"][first:last][touched], size[first:last][touched])]
-    rows.append((None, 0, 0.0, float((weights["each"] * size)[covered].sum()), int(size[covered].sum())))
-    cls, is_true, scores, weight, n = zip(*rows)
-    return pa.table({
-        "gid": pa.array([table["gid"][0].as_py()] * len(rows), pa.int64()), "cls": pa.array(cls, pa.string()), "is_true": pa.array(is_true, pa.int64()),
-        "pred_score": pa.array(scores, pa.float64()), "weight": pa.array(weight, pa.float64()), "n": pa.array(n, pa.int64()),
-    })
+def _sweep(table: pa.Table, by_image: bool) -> Iterator[pa.RecordBatch]:
+    """Rows ``gid, cls, is_true, pred_score, weight, n, found`` of whole tiles, in order of ``gid, tile, nth``.
+
+    They are for all objects as one, for each class where it is said or found
+    (``found``: a prediction is among them), both summed over images unless
+    ``by_image``, and (null) for all that is covered of each image. A stretch is
+    told by itself, so they are gone through a bounded number of coverings at a time.
+    """
+    gid, tile = table["gid"].to_numpy(), table["tile"].to_numpy()
+    lists = {c: table[c].combine_chunks() for c in ("line", "start", "stop")}
+    stroke = np.repeat(np.arange(len(gid)), pc.list_value_length(lists["line"]).to_numpy())
+    line, start, stop = (a.flatten().to_numpy() for a in lists.values())
+    first = np.flatnonzero((np.diff(gid, prepend=gid[:1] - 1) != 0) | (np.diff(tile, prepend=tile[:1] - 1) != 0))
+    group = (np.cumsum(np.bincount(first, minlength=len(gid))) - 1)[stroke]
+    line = line - np.minimum.reduceat(line, np.searchsorted(stroke, first))[group]
+    across, down = int(line.max()).bit_length(), int(stop.max()).bit_length()
+    column = (group << across | line) << down
+    cuts, place = np.unique(np.concatenate([column + start, column + stop]), return_inverse=True)
+    lo, hi = place[: len(line)], place[len(line) :]
+    size, group_of = np.diff(cuts), cuts[:-1] >> across + down
+    depth = np.cumsum(np.bincount(lo, minlength=len(cuts)) - np.bincount(hi, minlength=len(cuts)))[:-1]
+    found, score = table["found"].to_numpy(), table["score"].to_numpy()
+    is_in = lambda kinds: pc.is_in(table["behavior"], pa.array(kinds)).to_numpy() & ~found
+    objects, told = is_in(_OBJECTS["all"]), found | is_in(_OBJECTS["each"])
+    paints = [(way, is_in(_VOID[way]), table[way].to_numpy()) for way in _OBJECTS]
+    levels, level = np.unique(np.append(score, 0.0), return_inverse=True)
+    names = table["cls"].combine_chunks().dictionary_encode()
+    cls, names = names.indices.to_numpy(), [SALIENT, *names.dictionary.to_pylist()]
+    for a, b in R.spans(depth, R.HELD):
+        m, runs = b - a, np.flatnonzero((lo < b) & (hi > a))
+        begin = np.maximum(lo[runs], a) - a
+        n = np.minimum(hi[runs], b) - a - begin
+        at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+        by = np.repeat(stroke[runs], n)
+        weights = {}
+        for way, void, paint in paints:
+            weights[way] = np.ones(m)
+            weights[way][at[void[by]]] = 0.0
+            own = (~void & ~np.isnan(paint))[by]
+            weights[way][at[own]] = paint[by[own]]  # of several on a stretch the last one stays
+        truth, best, covered = np.zeros(m, bool), np.full(m, level[-1]), depth[a:b] > 0
+        truth[at[objects[by]]] = True
+        is_found = found[by]
+        np.maximum.at(best, at[is_found], level[by[is_found]])
+        some = told[by]
+        at, by, is_found = at[some], by[some], is_found[some]
+        spot, of = np.unique(cls[by] * np.int64(m) + at, return_inverse=True)
+        said, seen, top = np.zeros(len(spot), bool), np.zeros(len(spot), bool), np.full(len(spot), level[-1])
+        said[of[~is_found]] = True
+        seen[of[is_found]] = True
+        np.maximum.at(top, of[is_found], level[by[is_found]])
+        where, stretch = np.flatnonzero(covered), np.append(np.flatnonzero(covered), spot % m)
+        is_true, height, seen = np.append(truth[where], said), np.append(best[where], top), np.append(np.zeros(len(where), bool), seen)
+        name = np.append(np.zeros(len(where), np.int64), spot // m + 1)
+        weight = np.append(weights["all"][where], weights["each"][spot % m]) * size[a + stretch]
+        keys = ((group_of[a + stretch] if by_image else 0) * len(names) + name) * 2 + is_true
+        keys, of = np.unique(keys * len(levels) + height, return_inverse=True)
+        in_image = np.unique(group_of[a + where])
+        bare = np.searchsorted(in_image, group_of[a + where])
+        image = pa.array(gid[first])
+        keyed = keys // len(levels)
+        gids = image.take(pa.array(keyed // (2 * len(names)))) if by_image else pa.nulls(len(keys), pa.int64())
+        none = np.zeros(len(in_image), np.int64)
+        cols = [
+            pa.concat_arrays([gids, image.take(pa.array(in_image))]),
+            pa.concat_arrays([pa.array(names, pa.string()).take(pa.array(keyed // 2 % len(names))), pa.nulls(len(none), pa.string())]),
+            pa.array(np.append(keyed % 2, none), pa.int64()), pa.array(np.append(levels[keys % len(levels)], none)),
+            pa.array(np.append(np.bincount(of, weight, len(keys)), np.bincount(bare, (weights["each"] * size[a:b])[where], len(none)))),
+            pa.array(np.append(np.bincount(of, size[a + stretch], len(keys)), np.bincount(bare, size[a + where], len(none))).astype(np.int64)),
+            pa.array(np.append(np.bincount(of, seen, len(keys)) > 0, none > 0)),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, ["gid", "cls", "is_true", "pred_score", "weight", "n", "found"])
+
+
+def _swept(strokes: DataFrame, by_image: bool) -> DataFrame:
+    """:func:`_sweep` of all tiles: those of a partition stand in order, and many are swept together."""
+
+    def sweep(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            gid, tile = b.column("gid").to_numpy(), b.column("tile").to_numpy()
+            last = np.flatnonzero((gid != gid[-1]) | (tile != tile[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last tile may go on in the next batch
+            before = held[-1] if held else None
+            ended = cut or before is not None and (before.column("gid")[-1].as_py() != gid[0] or before.column("tile")[-1].as_py() != tile[0])
+            if ended:
+                yield from _sweep(pa.Table.from_batches([*held, *([b.slice(0, cut)] if cut else [])]), by_image)
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from _sweep(pa.Table.from_batches(held), by_image)
+
+    ordered = strokes.repartition("gid", "tile").sortWithinPartitions("gid", "tile", "nth")
+    return ordered.mapInArrow(sweep, "gid long, cls string, is_true long, pred_score double, weight double, n long, found boolean")
 
 
 def pixels(
@@ -138,15 +190,14 @@ def pixels(
     plain objects. With ``bins`` scores are raised to the next of so many even steps.
     """
     keys = ["gid"] if by_image else []
-    swept = strokes(true, pred, balance).groupBy("gid", "tile").applyInArrow(_sweep, "gid long, cls string, is_true long, pred_score double, weight double, n long")
-    swept = materialize(swept, "pixels")
+    swept = materialize(_swept(strokes(true, pred, balance), by_image), "pixels")
     size = images.select(F.col("id").alias("gid"), (F.col("width") * F.col("height")).alias("size"))
     covered = swept.where(F.col("cls").isNull()).groupBy("gid").agg(F.sum("n").alias("n"), F.sum("weight").alias("w"))
     rest = size.where("size > 0").join(covered, "gid", "left").groupBy(*keys).agg(
         F.sum(F.col("size") - F.coalesce("n", F.lit(0))).cast("double").alias("bare"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")
     )
     special = [n for n, b in BEHAVIORS.items() if b != "foreground"]
-    scored = pred.select(F.col("name").alias("cls")).distinct().where(~F.col("cls").isin(special))
+    scored = swept.where("found").select("cls").distinct().where(~F.col("cls").isin(special))
     if classes is not None:
         scored = scored.join(classes.select(F.col("name").alias("cls")).distinct(), "cls", "left_semi")
     scored = F.broadcast(materialize(scored, "pixel-classes"))  # a row for each class

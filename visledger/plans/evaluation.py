@@ -24,13 +24,12 @@ def whole(col, digits: int):
 
 
 def sides(spark, sf):
-    """True and predicted detections of the star tables, written once for all that reads them; rows without a category are left out."""
+    """True and predicted detections of the star tables, off one table written for all that reads them; rows without a category are left out."""
     cats = star.categories(spark, sf)
-    a = star.annotations(spark, sf, cats)
+    a = star.annotations(spark, sf, cats).where("bbox is not null and category_id is not null")
+    a = materialize(a.select("id", "image_id", "category_id", "bbox", "score", "weight", "pk", "sk"), "detections")
     cols = [F.col("image_id").alias("gid"), "id", F.col("category_id").alias("cls"), "bbox", "score", "weight"]
-    true = a.where("bbox is not null and category_id is not null").select(*cols)
-    pred = star.predictions(a, cats.count()).where("category_id is not null").select(*cols)
-    return materialize(true, "true"), materialize(pred, "pred")
+    return a.select(*cols), star.predictions(a, cats.count()).select(*cols)
 
 
 _SIDES = """, truth AS (SELECT image_id AS gid, id, category_id AS cls, x, y, w, h, weight FROM annotations WHERE x IS NOT NULL AND category_id IS NOT NULL),

@@ -18,7 +18,7 @@ QUERIES, SQL, query = registrar()
 
 def _with_polygons(spark, sf, dets):
     """A manifest of the star tables' images in which detections are polygons."""
-    a = dets.select("id", F.col("gid").alias("image_id"), masks.polygon(geometry.box_polygon(F.col("bbox"))).alias("segmentation"))
+    a = dets.select("id", F.col("gid").alias("image_id"), F.col("cls").alias("category_id"), "bbox", "score", "weight", masks.polygon(geometry.box_polygon(F.col("bbox"))).alias("segmentation"))
     return empty(spark).with_tables(images=star.images(spark, sf), annotations=a)
 
 
@@ -62,12 +62,12 @@ def _class_name(cls: str = "cls") -> str:
 
 
 def _named(spark, sf):
-    """Runs of both sides with class names, of which some are special, and the images."""
+    """Strips of both sides with class names, of which some are special, and the images."""
     true, pred = sides(spark, sf)
-    name = F.expr(_class_name()).alias("name")
-    t = masks.runs(_with_polygons(spark, sf, true)).join(true.select("id", name, "weight"), "id")
-    kinds = segmentation.behaviors(t.select("name").distinct())
-    p = masks.runs(_with_polygons(spark, sf, pred)).join(pred.select("id", name, "score"), "id")
+    name = F.expr(_class_name("category_id"))
+    t = masks.strips(_with_polygons(spark, sf, true), segmentation.TILE, ("category_id", "weight")).withColumn("name", name)
+    kinds = segmentation.behaviors(true.select(F.expr(_class_name()).alias("name")).distinct())
+    p = masks.strips(_with_polygons(spark, sf, pred), segmentation.TILE, ("category_id", "score")).withColumn("name", name)
     return t.join(F.broadcast(kinds), "name"), p, star.images(spark, sf)  # a row for each class
 
 
