@@ -35,8 +35,7 @@ t AS ({_clipped('truth')}), p AS ({_clipped('pred')})"""
 
 @query(f"{_BOXES} SELECT id, (x1 - x0) * (y1 - y0) AS area, x1 - x0 AS n_runs FROM p")
 def r13_mask_areas(spark, sf):
-    r = masks.runs(_with_polygons(spark, sf, sides(spark, sf)[1]))
-    return r.groupBy("id").agg(F.sum(F.col("stop") - F.col("start")).alias("area"), F.count("*").alias("n_runs"))
+    return masks.measured(_with_polygons(spark, sf, sides(spark, sf)[1])).select("id", "area", "n_runs")
 
 
 @query(f"""{_BOXES} SELECT t.id, array_to_string(list_concat([x0 * i.height + y0, y1 - y0], flatten(list_transform(range(x1 - x0 - 1), lambda k: [i.height - y1 + y0, y1 - y0])),
