@@ -9,7 +9,6 @@ from ..manifest import empty
 from ..operators import masks, segmentation, shapes
 from ..operators import match as X
 from ..sources import star
-from ..storage import materialize
 from ._register import registrar
 from .evaluation import _curves, _units, sides, units
 
@@ -51,8 +50,8 @@ def r13_mask_codes(spark, sf):
 SELECT gid, tx, px, shared, round(shared / CAST(total - shared AS DOUBLE), 6) AS iou FROM o""")
 def r13_mask_overlaps(spark, sf):
     true, pred = sides(spark, sf)
-    t, p = (materialize(masks.runs(_with_polygons(spark, sf, d)), "runs") for d in (true, pred))
-    found = masks.overlaps(t, p, X.candidates(true, pred))
+    t, p = (masks.detections(_with_polygons(spark, sf, d)) for d in (true, pred))
+    found = masks.shared(X.candidates(t, p, carry=("segmentation", "w", "h")))
     return found.select("gid", "tx", "px", "shared", F.round("iou", 6).alias("iou"))
 
 
