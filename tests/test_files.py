@@ -69,3 +69,57 @@ def test_elements_of_a_document_in_pieces():
     for size in (1, 3, 7, 64, 10_000):
         pieces = [text[i : i + size] for i in range(0, len(text), size)]
         assert [(k, json.loads(x)) for k, x in elements(pieces)] == want
+
+
+def test_elements_of_a_document_in_ranges():
+    """Every range of a document gives the elements that begin in it, whatever it cuts."""
+    import io
+    import json
+
+    from visledger.sources import documents as D
+
+    doc = {"info": {"x": [1, {"y": 2}]}, "images": [{"id": i, "name": 'a"\\]},{[é\\\\"' * (i % 3)} for i in range(12)], "n": 3, "s": "t,", "e": [], "videos": [], "annotations": [[1, [2]], 5, "a,b", None]}
+    for indent in (None, 1):
+        text = json.dumps(doc, indent=indent, ensure_ascii=False).encode()
+        want = [(k, x) for k in ("images", "annotations") for x in doc[k]]
+        lists, quoted, depth, states = [], False, 0, []
+        for at in range(len(text)):
+            states.append((quoted, depth))
+            (_, places, kind, quoted, depth), = D._bounds([text[at : at + 1]], quoted, D._escaped(io.BytesIO(text), at), depth)
+            if len(places) and kind[0] == D._OPEN and text[at] == 91:
+                lists.append([at, None, json.loads(D._WORD.findall(text[:at].decode())[-1])])
+            elif len(places) and kind[0] == D._CLOSE and lists:
+                lists[-1][1] = lists[-1][1] or at
+        for size in (1, 5, 17, 64, 5000):
+            got = []
+            for at in range(0, len(text), size):
+                inside = next((n for a, b, n in lists if a < at <= b), None)
+                later = {a - at: n for a, _, n in lists}
+                chunks = [text[i : i + 7] for i in range(at, len(text), 7)]
+                for name, texts in D.element_arrays(chunks, states[at][0], D._escaped(io.BytesIO(text), at), states[at][1], inside, later, size):
+                    got += [(name, json.loads(t)) for t in texts.to_pylist()]
+            assert got == want, size
+
+
+def test_large_documents_are_read_in_pieces_by_many_tasks(spark, tmp_path, monkeypatch):
+    import json
+
+    import pytest
+
+    from visledger.sources import documents as D
+
+    images = [{"id": i, "name": f'im "{i}" ]}},' + "\\" * (i % 4), "width": 5, "more": {"a": [i]}} for i in range(3000)]
+    path = tmp_path / "a b%20.json"
+    path.write_text(json.dumps({"info": {"images": [1]}, "videos": [], "images": images, "annotations": [{"id": i, "image_id": i} for i in range(500)]}))
+    monkeypatch.setattr(D, "PIECE", 10_000)
+    monkeypatch.setattr(D, "WHOLE", 1000)  # so small a bound stands for a document that no row can hold
+    m = D.read_documents(spark, str(path))
+    assert sorted((r["id"], r["name"]) for r in m.images.select("id", "name").collect()) == [(i["id"], i["name"]) for i in images]
+    assert m.annotations.count() == 500 and m.videos.count() == 0 and json.loads(m.images.where("id = 7").first()["extra"]) == {"more": {"a": [7]}}
+    assert D.read_large_documents(spark, [str(path)] * 2).images.count() == 6000
+    (tmp_path / "list.json").write_text("[" + "1," * 2000 + "1]")
+    with pytest.raises(Exception, match="not a JSON object"):
+        D.read_documents(spark, str(tmp_path / "list.json"))
+    (tmp_path / "cut.json").write_text(path.read_text()[:-3000])
+    with pytest.raises(Exception, match="ends within"):
+        D.read_documents(spark, str(tmp_path / "cut.json"))
