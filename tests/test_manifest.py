@@ -133,6 +133,21 @@ def test_union_of_tracks(spark):
     assert setops.union([loose, loose], disjoint_tracks=False).annotations.select("track_id").distinct().count() == 2
 
 
+def test_union_makes_the_columns_that_are_asked_for(spark):
+    """Classes of a union are told without looking up tracks or images, which gives what the whole table has."""
+    m = tracked(spark)
+    for disjoint in (True, False):
+        u = setops.union([m, m], disjoint)
+        parts = {c: sorted(map(str, table(u.only("annotations", c), c))) for c in ("category_id", "track_id", "image_id", "id")}
+        few = setops.union([m, m], disjoint)
+        few.only("annotations", "category_id").collect()
+        few.only("images", "id").collect()
+        assert not {"annotations", "images", "tracks"} & set(few.__dict__)
+        assert sorted(map(str, table(few.only("images", "id"), "id"))) == sorted(map(str, table(few.images, "id")))
+        assert parts == {c: sorted(map(str, table(u.annotations, c))) for c in parts}
+        assert sorted(map(str, table(u.only("annotations", "id", "track_id"), "id", "track_id"))) == sorted(map(str, table(u.annotations, "id", "track_id")))
+
+
 def test_union_of_names_with_versions(spark):
     a = from_rows(spark, {"videos": [{"id": 1, "name": "v"}, {"id": 2, "name": "v_v001"}]})
     names = [n for (n,) in table(setops.union([a, a, a]).videos, "name")]

@@ -60,6 +60,10 @@ class Manifest:
             raise KeyError(f"no table {name!r}; there are {', '.join(TABLES)}")
         return getattr(self, name)
 
+    def only(self, name: str, *columns: str) -> DataFrame:
+        """Some columns of a table; a manifest that makes its tables when asked makes no others where it can."""
+        return self.table(name).select(*columns)
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TABLES}
 
@@ -73,13 +77,18 @@ class DeferredManifest(Manifest):
     """A manifest whose tables are made when they are asked for, each once.
 
     ``makers`` has a function for each table; so a caller who wants the names of
-    images doesn't pay for the numbers of annotations.
+    images doesn't pay for the numbers of annotations. ``parts`` has functions
+    that make some columns of a table (:meth:`only`).
     """
 
-    def __init__(self, makers: dict[str, Callable[[], DataFrame]], root: str = "", info: dict | None = None):
-        for name, value in (("makers", makers), ("root", root), ("info", info or {})):
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]], root: str = "", info: dict | None = None, parts: dict[str, Callable[..., DataFrame]] | None = None):
+        for name, value in (("makers", makers), ("root", root), ("info", info or {}), ("parts", parts or {})):
             object.__setattr__(self, name, value)
 
+    def only(self, name: str, *columns: str) -> DataFrame:
+        part = self.parts.get(name)
+        return self.table(name).select(*columns) if part is None or name in self.__dict__ else part(columns).select(*columns)
+
     def __getattr__(self, name: str):
         if name not in TABLES:
             raise AttributeError(name)

@@ -25,8 +25,8 @@ def basic_stats(m: Manifest) -> DataFrame:
 
 def category_frequency(m: Manifest) -> DataFrame:
     """``category, n``: annotations of each category, zero included, and of no category (null) if there are any."""
-    n = m.annotations.groupBy("category_id").agg(F.count("*").alias("n"))
-    named = m.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    n = m.only("annotations", "category_id").groupBy("category_id").agg(F.count("*").alias("n"))
+    named = m.only("categories", "id", "name").select(F.col("id").alias("category_id"), F.col("name").alias("category"))
     known = named.join(n, "category_id", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
     return known.unionByName(n.where("category_id is null").select(F.lit(None).cast("string").alias("category"), "n"))
 
