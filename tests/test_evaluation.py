@@ -144,3 +144,20 @@ def test_three_covers(spark):
         left = {i: x for i, x in left.items() if i not in picked}
     sets = spark.createDataFrame(rows, "id bigint, members array<bigint>, n bigint")
     assert sorted(tuple(r) for r in A.representative(sets).collect()) == want
+
+
+def test_sizes_come_with_the_vectors(spark):
+    """The area of the true (else the predicted) box, and weights by ranges of it, as the joins by id give them."""
+    rows = [(g, 10 * g + i, i % 2, (5.0 * i, 0.0, 4.0 + i, 4.0), 0.1 * i, 1.0 + g) for g in range(3) for i in range(6)]
+    true = spark.createDataFrame(rows, DET)
+    pred = spark.createDataFrame([(g, 100 + i, c, (x + 1, y, w + 2, h), s, 1.0) for g, i, c, (x, y, w, h), s, _ in rows if i % 4], DET)
+    v = X.confusion_vectors(true, pred, (0.3, 0.7), sized=True)
+    assert sorted(v.drop("size").collect()) == sorted(X.confusion_vectors(true, pred, (0.3, 0.7)).collect())
+    area = (F.col("bbox.w") * F.col("bbox.h")).alias("area")
+    areas = true.select("id", area, F.lit("t").alias("kind")).unionByName(pred.select("id", area, F.lit("p").alias("kind")))
+    for name, low, high in (("a", 0, 25), ("b", 20, 100), ("c", 500, 900)):
+        plain = E.area_weights(v.drop("size"), areas, low, high)
+        want = plain.agg(F.sum("weight"), F.count("*")).first()
+        assert tuple(want) == tuple(E.weights_in_ranges(v, ((name, low, high),)).select("weight", "n").first())
+    plan = E.weights_in_ranges(v, (("a", 0, 25), ("b", 20, 100)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # vectors are joined once for all ranges

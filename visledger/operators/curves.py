@@ -302,6 +302,16 @@ def area_weights(cfsn: DataFrame, areas: DataFrame, low: float, high: float) ->
     return r.withColumn("weight", F.when((a >= low) & (a <= high), F.col("weight")).otherwise(0.0)).select(*cfsn.columns)
 
 
+def weights_in_ranges(sized: DataFrame, ranges: tuple) -> DataFrame:
+    """``area, weight, n``: for each range ``name, low, high`` of areas the sum of weights of vectors with ``size`` and their number, in one pass over them.
+
+    A vector outside of a range counts there with weight 0, as in :func:`area_weights`.
+    """
+    inside = lambda lo, hi: F.when(F.col("size").between(lo, hi), F.col("weight")).otherwise(0.0)
+    sums = [F.struct(F.lit(n).alias("area"), F.sum(inside(lo, hi)).alias("weight"), F.count("*").alias("n")) for n, lo, hi in ranges]
+    return sized.agg(F.array(*sums).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
 def top_class(probs: DataFrame) -> DataFrame:
     """``id, cls``: the place of the largest of ``prob``, the first among equals."""
     return probs.select("id", (F.array_position("prob", F.array_max("prob")) - 1).cast("long").alias("cls"))

@@ -231,31 +231,33 @@ def match(
 
 def confusion_vectors(
     true: DataFrame, pred: DataFrame, thresholds: tuple = (0.5,), compat: str = "mutex", bias: float = 0.0, bg_weight: float = 1.0,
-    closure: DataFrame | None = None, max_dets: int | None = None, matched: DataFrame | None = None,
+    closure: DataFrame | None = None, max_dets: int | None = None, matched: DataFrame | None = None, sized: bool = False,
 ) -> DataFrame:
-    """Confusion vectors of all images at every threshold."""
+    """Confusion vectors of all images at every threshold; ``sized`` with the area of the true (else the predicted) box as ``size``."""
+    area = [(F.col("bbox.w") * F.col("bbox.h")).alias("_area")] if sized else []
     if matched is None:
         matched = materialize(match(true, pred, candidates(true, pred, compat, bias, closure), thresholds, max_dets), "matched")
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("iou_thresh")
-    p = pred.select("gid", F.col("id").alias("px"), F.col("cls").alias("pred"), "score", thr)
+    p = pred.select("gid", F.col("id").alias("px"), F.col("cls").alias("pred"), "score", *area, thr)
     if max_dets is not None:
         from pyspark.sql import Window
 
         w = Window.partitionBy("gid", "iou_thresh").orderBy(F.desc("score"), F.desc("px"))
         p = p.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_dets).drop("r")
-    t = true.select("gid", F.col("id").alias("tx"), F.col("cls").alias("true"), F.col("weight").alias("tweight"))
+    size = [F.coalesce("_tarea", "_area").alias("size")] if sized else []
+    t = true.select("gid", F.col("id").alias("tx"), F.col("cls").alias("true"), F.col("weight").alias("tweight"), *[a.alias("_tarea") for a in area])
     preds = p.join(matched, ["gid", "px", "iou_thresh"], "left").join(t, ["gid", "tx"], "left")
     none = F.lit(-1).cast("long")
     rows = preds.select(
         "gid", F.when(F.col("tx").isNotNull(), F.col("true")).otherwise(none).alias("true"), "pred", "score",
         F.when(F.col("tx").isNotNull(), F.col("tweight")).otherwise(F.lit(bg_weight)).alias("weight"), F.coalesce("iou", F.lit(-1.0)).alias("iou"),
-        F.coalesce("tx", none).alias("txs"), F.col("px").alias("pxs"), "iou_thresh",
+        F.coalesce("tx", none).alias("txs"), F.col("px").alias("pxs"), "iou_thresh", *size,
     )
-    missed = true.select("gid", F.col("id").alias("tx"), F.col("cls").alias("true"), F.col("weight").alias("tweight"), thr)
+    missed = true.select("gid", F.col("id").alias("tx"), F.col("cls").alias("true"), F.col("weight").alias("tweight"), *area, thr)
     missed = missed.join(matched.select("gid", "tx", "iou_thresh"), ["gid", "tx", "iou_thresh"], "left_anti")
     rest = missed.select(
         "gid", "true", none.alias("pred"), F.lit(NEVER_SEEN).alias("score"), F.col("tweight").alias("weight"), F.lit(-1.0).alias("iou"),
-        F.col("tx").alias("txs"), none.alias("pxs"), "iou_thresh",
+        F.col("tx").alias("txs"), none.alias("pxs"), "iou_thresh", *([F.col("_area").alias("size")] if sized else []),
     )
     return rows.unionByName(rest)
 

@@ -307,11 +307,7 @@ SELECT 'small' AS area, CAST(sum(CASE WHEN a <= 700 THEN weight ELSE 0 END) AS D
 UNION ALL SELECT 'large', CAST(sum(CASE WHEN a BETWEEN 700 AND 1e9 THEN weight ELSE 0 END) AS DOUBLE), count(*) FROM areas""")
 def m28_area_ranges(spark, sf):
     true, pred = sides(spark, sf)
-    v = X.confusion_vectors(true, pred)
-    area = (F.col("bbox.w") * F.col("bbox.h")).alias("area")
-    areas = true.select("id", area, F.lit("t").alias("kind")).unionByName(pred.select("id", area, F.lit("p").alias("kind")))
-    parts = [E.area_weights(v, areas, lo, hi).agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).select(F.lit(n).alias("area"), "weight", "n") for n, lo, hi in (("small", 0, 700), ("large", 700, 1e9))]
-    return parts[0].unionByName(parts[1])
+    return E.weights_in_ranges(X.confusion_vectors(true, pred, sized=True), (("small", 0, 700), ("large", 700, 1e9)))
 
 
 @query(f"""{_SIDES}, best AS (SELECT o.gid, o.px, arg_min(o.tx, (-o.v, o.tx)) AS tx, max(o.v) AS v FROM (
