@@ -22,11 +22,8 @@ def evaluate(
     ``cls`` that are set against the rest; the row with a null class is that of
     objects against none, whatever their class.
     """
-    v = match.confusion_vectors(true, pred, thresholds, compat, closure=closure)
-    area = (F.col("bbox.w") * F.col("bbox.h"))
-    v = v.join(true.select("gid", F.col("id").alias("txs"), area.alias("ta")), ["gid", "txs"], "left")
-    v = v.join(pred.select("gid", F.col("id").alias("pxs"), area.alias("pa")), ["gid", "pxs"], "left")
-    v = materialize(v.select("iou_thresh", "true", "pred", "score", "weight", F.coalesce("ta", "pa").alias("size")), "vectors")
+    v = match.confusion_vectors(true, pred, thresholds, compat, closure=closure, sized=True)
+    v = materialize(v.select("iou_thresh", "true", "pred", "score", "weight", "size"), "vectors")
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("area"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for n, lo, hi in ranges])).alias("r")
     weight = F.when(F.col("size").between(F.col("r.lo"), F.col("r.hi")), F.col("weight")).otherwise(0.0)
     v = v.select("iou_thresh", "true", "pred", "score", "weight", "size", each).select("iou_thresh", F.col("r.area").alias("area"), "true", "pred", "score", weight.alias("weight"))
