@@ -211,6 +211,20 @@ def test_kw18_text(spark, tmp_path):
     assert m.categories.first()["name"] == "class_4"
 
 
+def test_kw18_of_null_tracks_and_some_columns(spark):
+    """Null tracks get numbers behind the others by id, the others stay out of that order; annotations are counted without numbers."""
+    rows = [{"id": i, "image_id": i, "bbox": [i, 0, 2, 2], "track_id": None if i % 3 == 0 else 10 + i % 3} for i in range(9)]
+    m = from_rows(spark, {"images": [{"id": i, "frame_index": i} for i in range(9)], "annotations": rows})
+    got = formats.to_kw18(m)
+    assert sorted((r["frame_number"], r["track_id"], r["track_length"]) for r in got.collect()) == [(float(i), 13.0 + i // 3 if i % 3 == 0 else 10.0 + i % 3, 1.0 if i % 3 == 0 else 3.0) for i in range(9)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Window [" in line and "row_number" in line] == []
+    back = formats.from_kw18(got)
+    assert back.only("annotations", "track_id").count() == 9 and "annotations" not in back.__dict__ and "images" not in back.__dict__
+    assert sorted(r[0] for r in back.annotations.select("id").collect()) == list(range(1, 10)) and back.annotations.where("image_id is null").isEmpty()
+    assert back.tracks.count() == 5 and back.images.count() == 9
+
+
 def test_labelme_and_voc(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"imagePath": "a.png", "imageWidth": 8, "imageHeight": 9, "shapes": [{"label": "cat", "points": [[1, 2], [5, 2], [5, 8]], "shape_type": "polygon"}]}))
     r = formats.read_labelme(spark, str(tmp_path / "a.json")).first()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..manifest import Manifest, conform_table, empty
+from ..manifest import TABLES, DeferredManifest, Manifest, conform_table, empty
 from ..operators.order import number_rows
 
 #: Columns of a KW18 line (fixed by the format).
@@ -29,8 +31,11 @@ def to_kw18(m: Manifest) -> DataFrame:
     a = m.annotations.where("bbox is not null").join(im, "image_id", "left")
     known = F.try_to_number("track_id", F.lit("999999999999999999"))
     top = a.agg(F.coalesce(F.max(known.cast("long")), F.lit(0)).alias("top"))
-    fresh = F.row_number().over(Window.partitionBy(F.col("track_id").isNull()).orderBy("id"))
-    a = a.crossJoin(F.broadcast(top)).withColumn("tid", F.when(F.col("track_id").isNull(), F.col("top") + fresh).otherwise(known.cast("long")))
+    loose = a.where("track_id is null")
+    a = a.where("track_id is not null").withColumn("tid", known.cast("long"))
+    if not loose.isEmpty():
+        loose = number_rows(loose, ["id"], "_nth").crossJoin(F.broadcast(top)).withColumn("tid", F.col("top") + F.col("_nth")).drop("_nth", "top")  # one row
+        a = a.unionByName(loose)
     b = F.col("bbox")
     cx, cy = b["x"] + b["w"] / 2, b["y"] + b["h"] / 2
     given = {
@@ -50,28 +55,46 @@ def kw18_lines(rows: DataFrame) -> DataFrame:
 
 
 def from_kw18(rows: DataFrame, video: str = "video") -> Manifest:
-    """A manifest of KW18 rows: a video, an image for each frame, a category for each object type."""
+    """A manifest of KW18 rows: a video, an image for each frame, a category for each object type. Tables are made when they are asked for."""
     spark = rows.sparkSession
-    im = rows.select(F.col("frame_number").cast("long").alias("frame_index")).distinct()
-    im = number_rows(im, ["frame_index"], "id").select("id", "frame_index", F.lit(1).cast("long").alias("video_id"),
-                   F.format_string("frame_%06d", F.col("frame_index")).alias("name"))
-    cats = rows.select(F.col("object_type_id").cast("long").alias("id")).where("id >= 0").distinct()
-    a = rows.withColumn("frame_index", F.col("frame_number").cast("long")).join(im.select("frame_index", F.col("id").alias("image_id")), "frame_index")
+    framed = rows.withColumn("frame_index", F.col("frame_number").cast("long"))
+
+    @functools.cache
+    def images():
+        return number_rows(framed.select("frame_index").distinct(), ["frame_index"], "id").select(
+            "id", "frame_index", F.lit(1).cast("long").alias("video_id"), F.format_string("frame_%06d", F.col("frame_index")).alias("name"))
+
     box = F.struct(
         F.col("img_bbox_tl_x").alias("x"), F.col("img_bbox_tl_y").alias("y"),
         (F.col("img_bbox_br_x") - F.col("img_bbox_tl_x")).alias("w"), (F.col("img_bbox_br_y") - F.col("img_bbox_tl_y")).alias("h"),
     )
-    a = number_rows(a, ["track_id", "frame_index", "img_bbox_tl_x", "img_bbox_tl_y"], "id").select(
-        "id", "image_id",
-        F.when(F.col("object_type_id") >= 0, F.col("object_type_id").cast("long")).alias("category_id"),
-        F.col("track_id").cast("long").cast("string").alias("track_id"), box.alias("bbox"), F.col("confidence").alias("score"),
-    )
-    tracks = a.select(F.col("track_id").alias("id"), F.concat(F.lit("track_"), "track_id").alias("name")).distinct()
-    return empty(spark).with_tables(
-        videos=conform_table(spark.createDataFrame([(1, video)], "id bigint, name string"), "videos"), images=conform_table(im, "images"),
-        categories=conform_table(cats.select("id", F.concat(F.lit("class_"), "id").alias("name")), "categories"),
-        tracks=conform_table(tracks, "tracks"), annotations=conform_table(a, "annotations"),
-    )
+    track = F.col("track_id").cast("long").cast("string")
+    told = {
+        "category_id": F.when(F.col("object_type_id") >= 0, F.col("object_type_id").cast("long")), "track_id": track, "bbox": box, "score": F.col("confidence"),
+    }
+
+    def annotations(wanted: tuple):
+        a = framed.where("frame_index is not null")
+        if "image_id" in wanted:
+            a = a.join(images().select("frame_index", F.col("id").alias("image_id")), "frame_index")
+        if "id" in wanted:
+            a = number_rows(a, ["track_id", "frame_index", "img_bbox_tl_x", "img_bbox_tl_y"], "id")
+        return conform_table(a.select(*[c for c in ("id", "image_id") if c in wanted], *[col.alias(c) for c, col in told.items()]), "annotations")
+
+    def tracks():
+        t = framed.where("frame_index is not null").select(track.alias("id")).distinct()
+        return conform_table(t.withColumn("name", F.concat(F.lit("track_"), "id")), "tracks")
+
+    def categories():
+        cats = rows.select(F.col("object_type_id").cast("long").alias("id")).where("id >= 0").distinct()
+        return conform_table(cats.select("id", F.concat(F.lit("class_"), "id").alias("name")), "categories")
+
+    none = empty(spark)
+    makers = {name: functools.partial(getattr, none, name) for name in TABLES} | {
+        "videos": lambda: conform_table(spark.createDataFrame([(1, video)], "id bigint, name string"), "videos"), "images": lambda: conform_table(images(), "images"),
+        "categories": categories, "tracks": tracks, "annotations": lambda: annotations(("id", "image_id")),
+    }
+    return DeferredManifest(makers, parts={"annotations": annotations})
 
 
 def read_labelme(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
