@@ -109,6 +109,7 @@ def _sweep(table: pa.Table, by_image: bool) -> Iterator[pa.RecordBatch]:
     levels, level = np.unique(np.append(score, 0.0), return_inverse=True)
     names = table["cls"].combine_chunks().dictionary_encode()
     cls, names = names.indices.to_numpy(), [SALIENT, *names.dictionary.to_pylist()]
+    parts, bare = [], []
     for a, b in R.spans(depth, R.HELD):
         m, runs = b - a, np.flatnonzero((lo < b) & (hi > a))
         begin = np.maximum(lo[runs], a) - a
@@ -137,22 +138,24 @@ def _sweep(table: pa.Table, by_image: bool) -> Iterator[pa.RecordBatch]:
         name = np.append(np.zeros(len(where), np.int64), spot // m + 1)
         weight = np.append(weights["all"][where], weights["each"][spot % m]) * size[a + stretch]
         keys = ((group_of[a + stretch] if by_image else 0) * len(names) + name) * 2 + is_true
-        keys, of = np.unique(keys * len(levels) + height, return_inverse=True)
-        in_image = np.unique(group_of[a + where])
-        bare = np.searchsorted(in_image, group_of[a + where])
-        image = pa.array(gid[first])
-        keyed = keys // len(levels)
-        gids = image.take(pa.array(keyed // (2 * len(names)))) if by_image else pa.nulls(len(keys), pa.int64())
-        none = np.zeros(len(in_image), np.int64)
-        cols = [
-            pa.concat_arrays([gids, image.take(pa.array(in_image))]),
-            pa.concat_arrays([pa.array(names, pa.string()).take(pa.array(keyed // 2 % len(names))), pa.nulls(len(none), pa.string())]),
-            pa.array(np.append(keyed % 2, none), pa.int64()), pa.array(np.append(levels[keys % len(levels)], none)),
-            pa.array(np.append(np.bincount(of, weight, len(keys)), np.bincount(bare, (weights["each"] * size[a:b])[where], len(none)))),
-            pa.array(np.append(np.bincount(of, size[a + stretch], len(keys)), np.bincount(bare, size[a + where], len(none))).astype(np.int64)),
-            pa.array(np.append(np.bincount(of, seen, len(keys)) > 0, none > 0)),
-        ]
-        yield pa.RecordBatch.from_arrays(cols, ["gid", "cls", "is_true", "pred_score", "weight", "n", "found"])
+        parts.append(_summed(keys * len(levels) + height, weight, size[a + stretch], seen))
+        bare.append(_summed(group_of[a + where], (weights["each"] * size[a:b])[where], size[a + where], np.zeros(len(where), bool)))
+    keys, weight, n, seen = _summed(*(np.concatenate(c) for c in zip(*parts)))
+    image, w_bare, n_bare, _ = _summed(*(np.concatenate(c) for c in zip(*bare)))
+    gids, none, keyed = pa.array(gid[first]), np.zeros(len(image), np.int64), keys // len(levels)
+    cols = [
+        pa.concat_arrays([gids.take(pa.array(keyed // (2 * len(names)))) if by_image else pa.nulls(len(keys), pa.int64()), gids.take(pa.array(image))]),
+        pa.concat_arrays([pa.array(names, pa.string()).take(pa.array(keyed // 2 % len(names))), pa.nulls(len(none), pa.string())]),
+        pa.array(np.append(keyed % 2, none), pa.int64()), pa.array(np.append(levels[keys % len(levels)], none)),
+        pa.array(np.append(weight, w_bare)), pa.array(np.append(n, n_bare).astype(np.int64)), pa.array(np.append(seen, none > 0)),
+    ]
+    yield pa.RecordBatch.from_arrays(cols, ["gid", "cls", "is_true", "pred_score", "weight", "n", "found"])
+
+
+def _summed(keys: np.ndarray, weight: np.ndarray, n: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, with the sums of weights and numbers, and whether it was seen."""
+    keys, of = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(of, weight, len(keys)), np.bincount(of, n, len(keys)), np.bincount(of, seen, len(keys)) > 0
 
 
 def _swept(strokes: DataFrame, by_image: bool) -> DataFrame:
